@@ -181,23 +181,26 @@ def running_base(
 
 def block_topk(
     queries: DataFrame, catalogue: DataFrame, k: int, query_vec: str = "vector", item_vec: str = "vector",
-    block_rows: int = 2048, exclude_self: bool = False,
+    block_rows: int = 2048, exclude_self: bool = False, group: str | None = None, bonus: str | None = None,
 ) -> DataFrame:
     """Exact inner-product top-k of every query against every catalogue vector.
 
     Both sides are (id, vector). Vectors are packed into blocks; each pair of
     blocks is one group scored with a single matrix product, and only the best
     ``k`` per query leave the group, so the score matrix never becomes rows.
-    The number of blocks follows from the two row counts.
+    The number of blocks follows from the two row counts. With ``group`` and
+    ``bonus`` the query's bonus is added where both sides share the group.
     """
     nq, nc = queries.count(), catalogue.count()
     qb, cb = max(1, -(-nq // block_rows)), max(1, -(-nc // block_rows))
+    grp = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    extra = F.col(bonus).cast("double") if bonus else F.lit(0.0)
     q = queries.select(
-        F.col("id").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"), F.lit(True).alias("is_q"),
+        grp.alias("grp"), extra.alias("bonus"), F.col("id").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"), F.lit(True).alias("is_q"),
         F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
     c = catalogue.select(
-        F.col("id").alias("id"), F.col(item_vec).cast("array<double>").alias("vec"), F.lit(False).alias("is_q"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("long").alias("qb"),
+        grp.alias("grp"), F.lit(0.0).alias("bonus"), F.col("id").alias("id"), F.col(item_vec).cast("array<double>").alias("vec"), F.lit(False).alias("is_q"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qb"),
         F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int").alias("cb"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,6 +209,8 @@ def block_topk(
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         scores = np.stack(qs.vec.to_numpy()) @ np.stack(cs.vec.to_numpy()).T
         ids, qids = cs.id.to_numpy(), qs.id.to_numpy()
+        if bonus:
+            scores = scores + np.where(qs.grp.to_numpy()[:, None] == cs.grp.to_numpy()[None, :], qs.bonus.to_numpy()[:, None], 0.0)
         if exclude_self:
             scores = np.where(qids[:, None] == ids[None, :], -np.inf, scores)
         rounded = np.round(scores, 6)
