@@ -113,7 +113,7 @@ def permutation_importance(model, test: DataFrame, repeats: int = 8, seed: int =
     r2 = lambda: 1 - F.sum(F.pow(F.log("price") - F.col("log_pred"), F.lit(2.0))) / (F.var_pop(F.log("price")) * F.count("*"))
     base = predict(model, test).agg(r2().alias("b")).scalar()
     per = predict(model, mixed).groupBy("feature", "rep").agg(r2().alias("r"))
-    return per.groupBy("feature").agg(F.round(F.avg(base - F.col("r")), 6).alias("importance"))
+    return per.groupBy("feature").agg(F.avg("r").alias("r")).select("feature", F.round(base - F.col("r"), 6).alias("importance"))
 
 
 def _numbered(df: DataFrame, seed: int, buckets: int = 256) -> DataFrame:
@@ -147,7 +147,7 @@ def opportunities(predictions: DataFrame, products: DataFrame, direction: str =
 def narrative(outlook: DataFrame, drivers: Column | str = "drivers") -> DataFrame:
     """One sentence per product from trend, delta_pct and a driver text."""
     d = F.col(drivers) if isinstance(drivers, str) else drivers
-    pct = F.format_string("%.1f", F.abs("delta_pct"))
+    pct = F.format_string("%.1f", F.floor(F.abs("delta_pct") * 10 + 0.5) / 10.0)
     text = F.when(F.col("price_trend") == "up", F.concat(
         F.lit("The model prices this "), pct, F.lit("% above its current listing, driven mainly by "), d, F.lit(". There may be room to raise the price."))).when(
         F.col("price_trend") == "down", F.concat(

@@ -257,13 +257,11 @@ def _(t):
     return PR.opportunities(outlook(t), t.products)
 
 
-@query("pr_09_narratives", f"""WITH {OUTLOOK} SELECT id, CASE price_trend WHEN 'up' THEN 'The model prices this ' || printf('%.1f', abs(round(delta * 100, 3))) || '% above its current listing, driven mainly by market context. There may be room to raise the price.'
-  WHEN 'down' THEN 'The model prices this ' || printf('%.1f', abs(round(delta * 100, 3))) || '% below its current listing, driven mainly by market context. It may be priced above what the market supports.'
-  ELSE 'The current price is consistent with what the model expects for this product (within ' || printf('%.1f', abs(round(delta * 100, 3))) || '%), based on market context.' END AS explanation FROM oo WHERE round(delta * 1000, 2) - floor(round(delta * 1000, 2)) NOT BETWEEN 0.49 AND 0.51""")
+@query("pr_09_narratives", f"""WITH {OUTLOOK} SELECT id, CASE price_trend WHEN 'up' THEN 'The model prices this ' || printf('%.1f', floor(abs(round(delta * 100, 3)) * 10 + 0.5) / 10.0) || '% above its current listing, driven mainly by market context. There may be room to raise the price.'
+  WHEN 'down' THEN 'The model prices this ' || printf('%.1f', floor(abs(round(delta * 100, 3)) * 10 + 0.5) / 10.0) || '% below its current listing, driven mainly by market context. It may be priced above what the market supports.'
+  ELSE 'The current price is consistent with what the model expects for this product (within ' || printf('%.1f', floor(abs(round(delta * 100, 3)) * 10 + 0.5) / 10.0) || '%), based on market context.' END AS explanation FROM oo""")
 def _(t):
-    tenths = F.round((F.exp("log_pred") - F.col("price")) / F.col("price") * 1000, 2)
-    clear = outlook(t).where(~(tenths - F.floor(tenths)).between(0.49, 0.51))
-    return PR.narrative(clear, F.lit("market context")).select("id", "explanation")
+    return PR.narrative(outlook(t), F.lit("market context")).select("id", "explanation")
 
 
 @query("pr_10_price_evaluation", f"""WITH {OUTLOOK}, a AS (SELECT unnest(['model','category_baseline']) AS arm, price AS actual, unnest([exp(ln(category_mean_price_loo) + 0.01::DOUBLE), category_mean_price_loo]) AS predicted FROM pf)
