@@ -209,12 +209,16 @@ def normalise_weights(weights: Mapping[str, float] | None = None) -> dict[str, f
     return {k: v / total for k, v in w.items()} if total > 0 else dict(SEARCH_WEIGHTS)
 
 
-def _span(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Per-query min-max; a constant positive list becomes ones."""
-    m = df.where(F.col(value).isNotNull()).groupBy("query_id").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    flat = F.when(F.col("_hi") > 0, 1.0).otherwise(0.0)
-    return df.join(m, "query_id", "left").withColumn(
-        out, F.coalesce(minmax(F.col(value), F.col("_lo"), F.col("_hi"), flat), F.lit(0.0))).drop("_lo", "_hi")
+def _spans(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Per-query min-max of several columns from one aggregate; a constant positive list becomes ones."""
+    m = df.groupBy("query_id").agg(*[f(c).alias(f"{n}{c}") for c in columns for n, f in (("_lo", F.min), ("_hi", F.max))])
+    out = df.join(m, "query_id")
+    scaled = {}
+    for c, name in columns.items():
+        lo, hi = F.col(f"_lo{c}"), F.col(f"_hi{c}")
+        value = minmax(F.col(c), lo, hi, F.when(hi > 0, 1.0).otherwise(0.0))
+        scaled[name] = F.when(F.col(c).isNull(), 0.0).otherwise(value)
+    return out.withColumns(scaled).drop(*[f"{n}{c}" for c in columns for n in ("_lo", "_hi")])
 
 
 def candidates(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -236,8 +240,7 @@ def rank_candidates(
     rows = found.join(intents, "query_id").join(p, "id")
     rows = rows.where((F.col("budget").isNull() | (F.col("effective_price") <= F.col("budget"))) & (~F.col("in_stock") | (F.col("inventory") > 0)))
     rows = rows.withColumn("_pop", F.log1p("rating_count"))
-    for value, out in (("lexical", "text"), ("semantic", "semantic_n"), ("_pop", "popularity")):
-        rows = _span(rows, value, out)
+    rows = _spans(rows, {"lexical": "text", "semantic": "semantic_n", "_pop": "popularity"})
     rating = clip(F.col("rating_avg") / 5.0, 0.0, 1.0)
     rows = rows.drop("semantic", "lexical", "_pop").withColumnRenamed("semantic_n", "semantic").withColumns({
         "rating": F.when(F.col("quality_bias"), F.least(rating * 1.25, F.lit(1.0))).otherwise(rating),

@@ -112,7 +112,7 @@ def _(t):
 def _(t):
     text = S.product_text(t.products)
     v = S.fit_text_embedder(text, dim=16, features=1024)(text)
-    return S.cosine_topk(v.limit(50).withColumnRenamed("id", "query_id"), v, 5)
+    return S.cosine_topk(v.withColumnRenamed("id", "query_id"), v, 5)
 
 
 KNN = """kn AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.vector, v.vector) AS score, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 6) DESC, v.id) AS INTEGER) AS rank
@@ -184,8 +184,8 @@ def _(t):
     return ranked(t).select("query_id", "id", "explanation")
 
 
-@query("sr_13_facets", f"""WITH {RANKED} SELECT query_id, 'category' AS facet, category_slug AS value, count(*) AS n FROM rk GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 15
-UNION ALL SELECT query_id, 'brand', brand_name AS value, count(*) AS n FROM rk GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 15
+@query("sr_13_facets", f"""WITH {RANKED} SELECT query_id, 'category' AS facet, category_slug AS value, count(*) AS n FROM rk GROUP BY query_id, category_slug QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 15
+UNION ALL SELECT query_id, 'brand', brand_name AS value, count(*) AS n FROM rk GROUP BY query_id, brand_name QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, value) <= 15
 UNION ALL SELECT query_id, unnest(['rating','rating','rating','rating','stock','stock','sale']), unnest(['any','4+','3+','2+','in','out','on']),
   unnest([count(*), count(*) FILTER (WHERE rating_avg >= 4), count(*) FILTER (WHERE rating_avg >= 3), count(*) FILTER (WHERE rating_avg >= 2), count(*) FILTER (WHERE inventory > 0), count(*) FILTER (WHERE inventory <= 0), count(*) FILTER (WHERE discount_pct > 0)]) FROM rk GROUP BY query_id""")
 def _(t):
@@ -199,7 +199,7 @@ def _(t):
 
 @query("sr_14_personal_signal", f"""WITH {RECENT}{AFF.format(d='category')}{AFF.format(d='brand')},
 pb AS (SELECT user_id, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM rec WHERE {W_SQL} > 0 GROUP BY 1)
-SELECT q.query_id, p.id, round(least(0.6::DOUBLE * coalesce(c.affinity, 0) + 0.25::DOUBLE * coalesce(b.affinity, 0) + CASE WHEN effective_price BETWEEN lo AND hi THEN 0.15::DOUBLE ELSE 0 END, 1), 5) AS personal
+SELECT q.query_id, p.id, round(least(0.6::DOUBLE * coalesce(c.affinity, 0) + 0.25::DOUBLE * coalesce(b.affinity, 0) + CASE WHEN effective_price BETWEEN lo AND hi THEN 0.15::DOUBLE ELSE 0 END, 1), 9) AS personal
 FROM lt_pqueries q JOIN lt_products p ON p.title = (SELECT title FROM lt_products WHERE id = q.query_id) LEFT JOIN category_aff c ON c.user_id = q.query_id % 50 AND c.category_id = p.category_id
 LEFT JOIN brand_aff b ON b.user_id = q.query_id % 50 AND b.brand_id = p.brand_id LEFT JOIN pb ON pb.user_id = q.query_id % 50""")
 def _(t):
@@ -208,7 +208,7 @@ def _(t):
     named = t.products.groupBy("title").agg(F.min("id").alias("query_id"))
     pairs = t.products.join(named, "title").select("query_id", "id", "category_id", "brand_id", "effective_price")
     s = S.personal_signal(pairs, who, P.affinity(recent, "category_id", t.events_as_of), P.affinity(recent, "brand_id", t.events_as_of), P.price_band(recent))
-    return s.withColumn("personal", F.round("personal", 5))
+    return s.withColumn("personal", F.round("personal", 9))
 
 
 @query("sr_15_autocomplete", f"""
