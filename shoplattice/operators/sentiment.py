@@ -36,21 +36,38 @@ def stratified_split(labelled: DataFrame, test_share: float = 0.25) -> DataFrame
 # ---- text model ------------------------------------------------------------
 def fit_classifier(train: DataFrame, vocab: int = 40000, max_iter: int = 50, c: float = 4.0):
     """Word 1-2 gram and character 3-5 gram sublinear TF-IDF into balanced multinomial logistic regression."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
-    stages = [StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep")]
-    for name, min_df in (("word", 2), ("char", 3)):
-        stages += [CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=vocab, minDF=min_df),
-                   IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_x")]
-    stages.append(VectorAssembler(inputCols=["word_x", "char_x"], outputCol="features"))
-    counts = train.groupBy("label").agg(F.count("*").alias("n"))
-    stats = {r["label"]: r["n"] for r in counts.collect()}
-    n, k = sum(stats.values()), len(stats)
-    weight = F.create_map(*[F.lit(x) for label, m in stats.items() for x in (label, n / (k * m))])[F.col("label")]
-    lr = LogisticRegression(labelCol="target", featuresCol="features", weightCol="weight", family="multinomial", regParam=1.0 / (c * n),
-                            standardization=False, maxIter=max_iter)
-    return Pipeline(stages=[*stages, lr]).fit(_grams(train).withColumn("weight", weight))
+    rows = _spread(train)
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, k = sum(counts.values()), len(counts)
+    weight = F.create_map(*[F.lit(x) for label, m in counts.items() for x in (label, n / (k * m))])[F.col("label")]
+    grams = _grams(rows).withColumn("weight", weight)
+    indexer = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows.select("label"))
+    vectorizers = [CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=vocab, minDF=min_df).fit(grams.select(name))
+                   for name, min_df in (("word", 2), ("char", 3))]
+    counted = grams
+    for stage in (indexer, *vectorizers):
+        counted = stage.transform(counted)
+    # n-grams are built once more here; everything after works on the compact sparse counts
+    counted = counted.select("target", "weight", "word_tf", "char_tf").persist()
+    try:
+        tail = []
+        for name in ("word", "char"):
+            tail += [IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_x")]
+        tail.append(VectorAssembler(inputCols=["word_x", "char_x"], outputCol="features"))
+        lr = LogisticRegression(labelCol="target", featuresCol="features", weightCol="weight", family="multinomial", regParam=1.0 / (c * n),
+                                standardization=False, maxIter=max_iter)
+        fitted = Pipeline(stages=[*tail, lr]).fit(counted)
+    finally:
+        counted.unpersist()
+    return PipelineModel(stages=[indexer, *vectorizers, *fitted.stages])
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Texts over all cores: building n-grams is CPU-bound, and a single file would keep it in one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "id")
 
 
 def _grams(df: DataFrame) -> DataFrame:
@@ -62,7 +79,7 @@ def score_text(model, texts: DataFrame) -> DataFrame:
     """Add ``label`` and ``score`` = P(positive) - P(negative) to any frame with ``text``."""
     from pyspark.ml.functions import vector_to_array
     names = list(model.stages[0].labels)
-    scored = model.transform(_grams(texts.withColumn("label", F.lit(names[0])))).withColumn("_p", vector_to_array("probability"))
+    scored = model.transform(_grams(_spread(texts).withColumn("label", F.lit(names[0])))).withColumn("_p", vector_to_array("probability"))
     p = lambda name: F.col("_p")[names.index(name)] if name in names else F.lit(0.0)
     labels = F.array(*[F.lit(x) for x in names])
     return scored.select(*texts.columns, F.element_at(labels, (F.least(F.col("prediction"), F.lit(float(len(names) - 1))) + 1).cast("int")).alias("label"),

@@ -11,6 +11,7 @@ from shoplattice.operators import analytics as A, evaluate as E, monitoring as M
 from shoplattice.plans.analytics_queries import SERVING_SQL
 from shoplattice.plans.recommender_queries import SIGNALS, signals
 from shoplattice.plans.registry import query, sql_tokens
+from shoplattice.session import materialise
 from shoplattice.sources import sinks
 
 
@@ -100,7 +101,7 @@ def _(t):
 
 
 def _classifier(t):
-    rows = SE.stratified_split(SE.weak_labels(t.reviews))
+    rows = materialise(SE.stratified_split(SE.weak_labels(t.reviews)), "labelled")
     return rows, SE.fit_classifier(rows.where("NOT is_test"), vocab=2000, max_iter=10)
 
 
