@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shoplattice.constants import PRICE_FEATURES
 from shoplattice.functions.scalars import day
 from shoplattice.operators import forecast as FC, pricing as PR
-from shoplattice.plans.registry import query
+from shoplattice.plans.registry import fitted_once, query
 from shoplattice.session import materialise
 from shoplattice.sources.readers import daily_demand
 
@@ -165,6 +165,10 @@ def _(t):
 
 
 def _fitted(t):
+    return fitted_once(t, "forecasting", _fit_forecast)
+
+
+def _fit_forecast(t):
     data = materialise(FC.naive_predict(rows(t), profile(t)), "panel")
     return data, FC.fit_residual(data.where("NOT is_test"), max_iter=5, depth=3)
 
@@ -273,6 +277,10 @@ def _(t):
 
 
 def _price_model(t):
+    return fitted_once(t, "price_prediction", _fit_price)
+
+
+def _fit_price(t):
     data = materialise(PR.split(prices(t)), "prices")
     return data, PR.fit(data.where("NOT is_test"), max_iter=5, depth=3)
 

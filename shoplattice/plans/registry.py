@@ -30,6 +30,17 @@ def runnable(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+_FITTED: dict[tuple[str, str, str], object] = {}
+
+
+def fitted_once(t: Tables, name: str, build: Callable[[Tables], object]) -> object:
+    """Train a model once per session and dataset and let every query score with it."""
+    key = (t.spark.sparkContext.applicationId, t.path, name)
+    if key not in _FITTED:
+        _FITTED[key] = build(t)
+    return _FITTED[key]
+
+
 def with_logical_tables(sql: str) -> str:
     """Prefix the logical-table CTEs a query refers to, in dependency order."""
     needed: list[str] = []

@@ -10,7 +10,7 @@ from shoplattice.functions.scalars import ntz
 from shoplattice.operators import analytics as A, evaluate as E, monitoring as M, segments as SG, sentiment as SE
 from shoplattice.plans.analytics_queries import SERVING_SQL
 from shoplattice.plans.recommender_queries import SIGNALS, signals
-from shoplattice.plans.registry import query, sql_tokens
+from shoplattice.plans.registry import fitted_once, query, sql_tokens
 from shoplattice.session import materialise
 from shoplattice.sources import sinks
 
@@ -101,6 +101,10 @@ def _(t):
 
 
 def _classifier(t):
+    return fitted_once(t, "sentiment", _fit_classifier)
+
+
+def _fit_classifier(t):
     rows = materialise(SE.stratified_split(SE.weak_labels(t.reviews)), "labelled")
     return rows, SE.fit_classifier(rows.where("NOT is_test"), vocab=2000, max_iter=10)
 
