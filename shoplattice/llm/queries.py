@@ -7,9 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplattice.llm import bpe, decontam, quality, simhash, suffix
+from shoplattice.llm import bpe, decontam, hosts, licences, quality, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The stated rules for urls.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -22,6 +24,16 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.recognise(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentence_ids"),
+                        F.array_join("licences", ",").alias("licences"), F.col("rest").alias("unmatched"))
+
+
+def op3_host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     encoded = bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -47,6 +59,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_repeats": op1_repeats,
+    "op2_licences": op2_licences,
+    "op3_host_links": op3_host_links,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_weak_quality": op8_weak_quality,
     "op9_decontamination": op9_decontamination,
@@ -54,6 +68,8 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_licences": licences.sql(),
+    "op3_host_links": hosts.sql(URL_RULES),
     "op9_decontamination": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
