@@ -7,11 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplattice.llm import bpe, decontam, hosts, licences, quality, simhash, suffix
+from shoplattice.llm import bpe, decontam, hosts, langid, licences, quality, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The stated rules for urls.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+#: Order of the chain: whether a text is junk is known before it is judged toxic.
+TOXIC_CHAIN = {"junk": "1 - quality", "toxic": "toxic"}
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -34,6 +36,20 @@ def op3_host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, _read(spark, sf_dir, "labels"), TOXIC_CHAIN)
+    scored = toxicity.score(docs, chain).select("doc_id", *(F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in TOXIC_CHAIN))
+    return scored.withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.learn(docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     encoded = bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -61,7 +77,9 @@ QUERIES: dict[str, Query] = {
     "op1_repeats": op1_repeats,
     "op2_licences": op2_licences,
     "op3_host_links": op3_host_links,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language": op6_language,
     "op8_weak_quality": op8_weak_quality,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
