@@ -7,13 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplattice.llm import bpe, decontam, hosts, langid, licences, quality, simhash, suffix, toxicity
+from shoplattice.llm import bpe, decontam, hosts, langid, licences, packing, quality, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The stated rules for urls.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Order of the chain: whether a text is junk is known before it is judged toxic.
 TOXIC_CHAIN = {"junk": "1 - quality", "toxic": "toxic"}
+#: Probability from which a document is rejected.
+TOXIC_FROM = 0.5
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -40,7 +42,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, _read(spark, sf_dir, "labels"), TOXIC_CHAIN)
     scored = toxicity.score(docs, chain).select("doc_id", *(F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in TOXIC_CHAIN))
-    return scored.withColumn("rejected", F.col("p_toxic") >= 0.5)
+    return scored.withColumn("rejected", F.col("p_toxic") >= TOXIC_FROM)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(packing.byte_ids(_read(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_ids", "offsets", "cu_seqlens", F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"), F.size("doc_ids").cast("long").alias("n_segments"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
@@ -80,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language": op6_language,
+    "op7_packing": op7_packing,
     "op8_weak_quality": op8_weak_quality,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,

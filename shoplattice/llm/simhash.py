@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplattice.llm.common import id_and_text, utf8
@@ -47,14 +47,14 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp`` (the 64 bits as a signed long) of every whole text."""
+    """doc_id, ``fp`` (the 64 bits as a signed long) and ``mark`` (a hash of the text) of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(text) for text in utf8(batch.column("text"))], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("mark")], ["doc_id", "fp", "mark"])
 
-    source = id_and_text(docs)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    source = id_and_text(docs).withColumn("mark", F.xxhash64("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint, mark bigint")
 
 
 def signatures(classes: DataFrame) -> DataFrame:
@@ -126,13 +126,31 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links, itself included) of every row."""
+def _rooted(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's fingerprint; every fingerprint's smallest doc_id and the root of its component."""
     prints = materialise(fingerprints(docs), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes, most), "simhash-links")
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-roots")
+    return prints, materialise(rooted, "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links, itself included) of every row."""
+    prints, rooted = _rooted(docs, most)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one row left of each component: that of the smallest doc_id (nulls last, then by a hash of
+    the text); of repeated rows one stays."""
+    prints, rooted = _rooted(docs, most)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
+    chosen = prints.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(
+        F.col("first.null").alias("__null"), F.coalesce("first.id", F.lit(-1)).alias("__id"), F.col("first.mark").alias("__mark")).distinct()
+    keys = ["__null", "__id", "__mark"]
+    keyed = docs.withColumns({"__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(-1)), "__mark": F.xxhash64(F.col("text").cast("string"))})
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    return keyed.join(chosen, keys).withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)

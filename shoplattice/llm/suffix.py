@@ -324,15 +324,16 @@ def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
     return covered.groupBy("did", "tag").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``cut``, a struct of ``kept`` (the bytes left), n_bytes, n_removed and n_spans (maximal removed runs);
+def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """``docs`` without text and with ``cut``, a struct of ``kept`` (the bytes left, or with ``as_text`` the text that they
+    are, without characters of which a part was removed), n_bytes, n_removed and n_spans (maximal removed runs);
     a column of docs that has this name is left out."""
     names = [c for c in docs.columns if c not in ("cut", "text")]
     keyed = docs.select(*names, "text").withColumns({
         "__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__tag": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     found = spans(docs, repeat, gram).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), "spans")
     joined = _packed(keyed, [*names, "__did", "__tag"]).join(found, ["__did", "__tag"], "left").select(*names, "packed", F.col("spans").alias("__spans"))
-    kind = pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+    kind = pa.struct([("kept", pa.string() if as_text else pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
@@ -341,8 +342,8 @@ def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> D
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("__spans").to_pylist()):
                 text = loosen.decompress(packed)
                 kept, removed, runs = cut(text, [(s["start"], s["stop"]) for s in found or []])
-                rows.append({"kept": kept, "n_bytes": len(text), "n_removed": removed, "n_spans": runs})
+                rows.append({"kept": kept.decode("utf-8", "ignore") if as_text else kept, "n_bytes": len(text), "n_removed": removed, "n_spans": runs})
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], [*names, "cut"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(run, f"{schema}, cut struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
+    return joined.mapInArrow(run, f"{schema}, cut struct<kept: {'string' if as_text else 'binary'}, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
