@@ -319,6 +319,7 @@ def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
         contents = materialise(contents, "frame-contents")
         found = _scanned(contents.where(F.col("m") <= GROUP), repeat).union(_frequent(contents.where(F.col("m") > GROUP), repeat))
     extents = found.union(copied).groupBy("key", "body").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    extents = materialise(extents, "extents")  # so that both sides are dealt for the join, which may then split a hot frame
     at = F.shiftright("place", 20)
     covered = members.join(extents, ["key", "body"]).select("did", "tag", F.struct((at - F.col("l")).alias("start"), (at + F.col("r")).alias("stop")).alias("span"))
     return covered.groupBy("did", "tag").agg(F.collect_set("span").alias("spans"))
