@@ -22,7 +22,8 @@ WINDOW = 10
 #: Grams of about 70 bytes: some 40 MB at most.
 BROADCAST_GRAMS = 500_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same in text that isn't lower-cased yet.
+_RAW_GAP, _RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _words(text: Column) -> Column:
@@ -78,7 +79,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     if remove == "documents":
         return docs.join(found, same, "left_anti")
     joined = docs.join(found, same, "left")
-    pieces = F.regexp_extract_all("text", F.lit(f"({_GAP}*{_WORD}+|{_GAP}+$)"), F.lit(1))
+    pieces = F.regexp_extract_all("text", F.lit(f"({_RAW_GAP}*{_RAW_WORD}+|{_RAW_GAP}+$)"), F.lit(1))
     kept = F.array_join(F.filter(pieces, lambda p, at: ~F.array_contains("__hits", at + 1)), "")
     text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(kept)
     clean = joined.withColumn("text", text)

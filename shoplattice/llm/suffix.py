@@ -135,7 +135,7 @@ def widest(group: list[tuple[int, bytes]], repeat: int) -> list[tuple[int, int]]
     return extents
 
 
-def blocks(left: int, content: bytes, key: int, repeat: int, size: int = BLOCK) -> Iterator[tuple[int, int, int, int]]:
+def blocks(left: int, content: bytes, key: int, repeat: int, size: int) -> Iterator[tuple[int, int, int, int]]:
     """The frame's strings, ``size`` neighbouring starts at a time, counted from the anchor: the block's key (the hash of
     the bytes all its strings share), the hash of the block, and the distances from the anchor to its last and first start."""
     least, most = repeat - (len(content) - left), left
@@ -185,10 +185,10 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = pa.array([squeeze.compress(text) for text in utf8(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), packed], [*columns, "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), packed], [*columns, "__packed"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, packed binary")
+    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, __packed binary")
 
 
 def _all_frames(numbered: DataFrame, repeat: int, gram: int) -> DataFrame:
@@ -211,14 +211,14 @@ def _all_frames(numbered: DataFrame, repeat: int, gram: int) -> DataFrame:
 def _contents(numbered: DataFrame, classes: DataFrame) -> DataFrame:
     """key, body, m, left and the content of each class's representative."""
     wanted = classes.groupBy("did", "tag").agg(F.collect_list(F.struct("key", "body", "m", "place")).alias("frames"))
-    joined = _packed(numbered, ["did", "tag"]).join(wanted, ["did", "tag"]).select("packed", "frames")
+    joined = _packed(numbered, ["did", "tag"]).join(wanted, ["did", "tag"]).select("__packed", "frames")
     names, types = ["key", "body", "m", "left", "content"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
         rows = []
         for batch in batches:
-            for packed, found in zip(batch.column("packed"), batch.column("frames")):
+            for packed, found in zip(batch.column("__packed"), batch.column("frames")):
                 text = loosen.decompress(packed.as_py())
                 for frame in found.as_py():
                     at, left, right = frame["place"] >> 20, frame["place"] >> 10 & 1023, frame["place"] & 1023
@@ -266,15 +266,16 @@ def _sized(classes: DataFrame) -> DataFrame:
     return classes.join(keys, "key")
 
 
-def _frequent(contents: DataFrame, repeat: int) -> DataFrame:
+def _frequent(contents: DataFrame, repeat: int, gram: int) -> DataFrame:
     """As ``_scanned``, for keys with more different frames than a task may hold."""
+    size = min(BLOCK, max(1, (repeat - gram) // 4))
     names = ["key", "body", "block", "part", "near", "far"]
     types = [pa.int64()] * 4 + [pa.int32()] * 2
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _batch([(key, body, *block) for key, body, left, content in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "left", "content")))
-                          for block in blocks(left, content, key, repeat)], names, types)
+                          for block in blocks(left, content, key, repeat, size)], names, types)
 
     contents = materialise(contents, "frequent-frames")
     parts = materialise(contents.mapInArrow(cut_up, "key bigint, body bigint, block bigint, part bigint, near int, far int"), "frequent-blocks")
@@ -317,7 +318,7 @@ def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
         found = _scanned(contents, repeat)
     else:
         contents = materialise(contents, "frame-contents")
-        found = _scanned(contents.where(F.col("m") <= GROUP), repeat).union(_frequent(contents.where(F.col("m") > GROUP), repeat))
+        found = _scanned(contents.where(F.col("m") <= GROUP), repeat).union(_frequent(contents.where(F.col("m") > GROUP), repeat, gram))
     extents = found.union(copied).groupBy("key", "body").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     extents = materialise(extents, "extents")  # so that both sides are dealt for the join, which may then split a hot frame
     at = F.shiftright("place", 20)
@@ -332,15 +333,15 @@ def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, as_t
     names = [c for c in docs.columns if c not in ("cut", "text")]
     keyed = docs.select(*names, "text").withColumns({
         "__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__tag": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    found = spans(docs, repeat, gram).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), "spans")
-    joined = _packed(keyed, [*names, "__did", "__tag"]).join(found, ["__did", "__tag"], "left").select(*names, "packed", F.col("spans").alias("__spans"))
+    found = spans(docs, repeat, gram).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    joined = _packed(keyed, [*names, "__did", "__tag"]).join(found, ["__did", "__tag"], "left").select(*names, "__packed", "__spans")
     kind = pa.struct([("kept", pa.string() if as_text else pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, found in zip(batch.column("packed").to_pylist(), batch.column("__spans").to_pylist()):
+            for packed, found in zip(batch.column("__packed").to_pylist(), batch.column("__spans").to_pylist()):
                 text = loosen.decompress(packed)
                 kept, removed, runs = cut(text, [(s["start"], s["stop"]) for s in found or []])
                 rows.append({"kept": kept.decode("utf-8", "ignore") if as_text else kept, "n_bytes": len(text), "n_removed": removed, "n_spans": runs})
