@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from shoplattice.llm.common import id_and_text
+from shoplattice.llm.common import id_and_text, slices
 
 #: Words remembered per task before the memory starts anew.
 WORD_MEMORY = 400_000
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encoder.encode(text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         table = [b""] * (max(vocabulary.value.values()) + 1)
         for token, rank in vocabulary.value.items():
             table[rank] = token
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary())], [*names, "decoded"])
 
