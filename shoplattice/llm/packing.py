@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplattice.llm.common import id_and_text, utf8
+from shoplattice.llm.common import id_and_text, slices, utf8
 
 ROW = 4096
 BLOCK_TOKENS = 4_000_000
@@ -81,7 +81,7 @@ def byte_ids(docs: DataFrame) -> DataFrame:
     """doc_id and ``ids``: the text's UTF-8 bytes and the end token, as packed little-endian 16-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END], "<u2").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(text, np.uint8).astype("<u2").tobytes() + end for text in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -122,7 +122,7 @@ def pack(documents: DataFrame, row: int = ROW, pad: int = PAD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], t) for n, t in zip(names, types)], names)
 
         held, tokens = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column("doc_id").type
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 held.append((doc_id, np.frombuffer(ids.as_py() or b"", "<u2")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplattice.llm.common import id_and_text, utf8
+from shoplattice.llm.common import id_and_text, slices, utf8
 from shoplattice.session import materialise
 
 SYMBOLS = b"#*$%&|<>"
@@ -94,7 +94,7 @@ def measure(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *MEASURES, "votes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             judged = list(zip(*map(judge, utf8(batch.column("text"))))) or [[]] * 6
             columns = [pa.array(list(c), pa.int64()) for c in judged[:5]] + [pa.array(list(judged[5]), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplattice.llm.common import id_and_text, utf8
+from shoplattice.llm.common import id_and_text, slices, utf8
 from shoplattice.session import materialise
 
 SEED = 42
@@ -49,7 +49,7 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, ``fp`` (the 64 bits as a signed long) and ``mark`` (a hash of the text) of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(text) for text in utf8(batch.column("text"))], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("mark")], ["doc_id", "fp", "mark"])
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplattice.llm.common import utf8
+from shoplattice.llm.common import slices, utf8
 from shoplattice.session import materialise
 
 REPEAT = 400
@@ -183,7 +183,7 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The texts compressed, so that a shuffle of them stays below the size of the stored table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             packed = pa.array([squeeze.compress(text) for text in utf8(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), packed], [*columns, "__packed"])
 
@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, as_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for packed, found in zip(batch.column("__packed").to_pylist(), batch.column("__spans").to_pylist()):
                 text = loosen.decompress(packed)
