@@ -159,6 +159,18 @@ SEGMENT_FEATURES = (
     "recency_days", "frequency", "monetary", "avg_order_value", "product_diversity",
     "session_frequency", "discount_affinity", "tenure_days", "review_count",
 )
+# For each segment name, in order of choice, the weight of every feature's rank; a negative weight counts the
+# rank from above.
+SEGMENT_RULES = (
+    ("high_value", {"monetary": 0.5, "avg_order_value": 0.3, "recency_days": -0.2}),
+    ("at_risk", {"recency_days": 0.6, "tenure_days": 0.25, "frequency": -0.15}),
+    ("new_customer", {"tenure_days": -0.7, "frequency": -0.3}),
+    ("loyal_customer", {"frequency": 0.4, "tenure_days": 0.3, "recency_days": -0.3}),
+    ("discount_seeker", {"discount_affinity": 0.75, "frequency": 0.25}),
+    ("frequent_buyer", {"frequency": 0.55, "product_diversity": 0.45}),
+    ("occasional_buyer", {"frequency": -0.5, "monetary": -0.5}),
+)
+SEGMENT_REST = "occasional_buyer"
 SEGMENT_CANDIDATE_K = (4, 5, 6, 7, 8)
 SILHOUETTE_TOLERANCE = 0.88
 PRICE_FEATURES = (
@@ -167,3 +179,8 @@ PRICE_FEATURES = (
     "category_mean_price_loo", "category_p25_price", "category_p75_price", "days_since_launch",
     "spec_weight_g", "warranty_months", "description_length", "tag_count",
 )
+
+# Grid of the recommender's weights ----------------------------
+GRID_SHARES = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0)
+GRID_BUSINESS = (0.0, 0.02, 0.05, 0.1)
+GRID_MARGIN = 1.002

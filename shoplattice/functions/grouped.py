@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 1024
+from shoplattice.session import materialise
+
+SLICES = 64
 
 
 def scalar(df: DataFrame, expr: Column) -> Column:
@@ -21,16 +23,18 @@ def scalar(df: DataFrame, expr: Column) -> Column:
 
 
 def grouped_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group.
 
     1. collapse equal values to (key, value, count), combined map-side;
-    2. cut every group's value range into buckets and count them, so that a
-       prefix sum over at most ``buckets`` rows per group tells where each
-       wanted rank lies;
+    2. cut every group's distinct values at approximate quantiles into coarse
+       slices of about equal size, and each slice into equal widths; count the
+       buckets, so that a prefix sum over at most SLICES * SLICES rows per group
+       tells where each wanted rank lies;
     3. rank only the rows of the buckets that hold a wanted rank, per bucket.
-    No step sorts a whole group in one task.
+    The quantiles only balance the buckets, so an outlier moves one slice's
+    values together at most, and the result stays exact.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull())
@@ -40,11 +44,14 @@ def grouped_percentiles(
         keys_ = keys
     counts = base.groupBy(*keys_, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     span = counts.groupBy(*keys_).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    slot = F.when(F.col("_hi") > F.col("_lo"),
-                  F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-                          F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    slotted = _null_safe_join(counts, span, keys_).withColumn("_b", slot)
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"),
+        F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)], 1000).alias("_e"))
+    edges = F.concat(F.array("_lo"), F.col("_e"), F.array("_hi"))
+    slotted = _null_safe_join(counts, span.withColumn("_e", edges), keys_)
+    slotted = slotted.withColumn("_s", F.greatest(F.size(F.filter("_e", lambda e: e < F.col("_v"))), F.lit(1)))
+    low, high = F.element_at("_e", F.col("_s")), F.element_at("_e", F.least(F.col("_s") + 1, F.lit(SLICES + 1)))
+    inside = F.when(high > low, F.least(F.floor((F.col("_v") - low) / (high - low) * SLICES), F.lit(SLICES - 1))).otherwise(0)
+    slotted = slotted.withColumn("_b", (F.col("_s") * SLICES + inside).cast("int")).drop("_e", "_s")
     per_bucket = slotted.groupBy(*keys_, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
     w = W.partitionBy(*keys_).orderBy("_b")
     before = F.coalesce(F.sum("_bc").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -148,6 +155,31 @@ def top_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: i
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], pos: str = "pos") -> DataFrame:
+    """Rows with dense positions from 1 in the given total order.
+
+    The rows are dealt by range, ranked inside each range and shifted by the rows of the ranges before; only the ranges'
+    sizes meet in one task. The dealt rows are written first, so that a lost executor can't deal them anew.
+    """
+    placed = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_i", inside).join(sizes.select("_range", before.alias("_before")), "_range").withColumn(
+        pos, F.col("_before") + F.col("_i")).drop("_range", "_i", "_before")
+
+
+def best_unseen(ranking: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """(user_id, product_id, pos, rank): the first ``k`` products of a shared ranking (product_id, pos) that a user hasn't
+    seen. A user with s seen products finds them among the first k + s, so each user reads just that many."""
+    known = seen.select("user_id", "product_id").distinct()
+    depth = known.groupBy("user_id").agg(F.count("*").alias("_s"))
+    reach = users.select("user_id").distinct().join(depth, "user_id", "left").select(
+        "user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_s", F.lit(0)) + k)).alias("pos"))
+    open_ = reach.join(ranking.select("product_id", "pos"), "pos").join(known, ["user_id", "product_id"], "left_anti")
+    return top_k(open_, ["user_id"], [F.col("pos")], k)
+
+
 def running_base(
     df: DataFrame, key: str, bucket: str, ts: str, tiebreak: str, gap_seconds: int,
 ) -> DataFrame:

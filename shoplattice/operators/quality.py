@@ -130,6 +130,6 @@ class DataQualityError(ValueError):
 def training_gate(report: DataFrame) -> None:
     """Raise when a ``minimum_rows`` or rule report holds a problem (the report has one row per rule)."""
     bad = "NOT ok" if "ok" in report.columns else "violations > 0"
-    problems = report.where(bad).limit(20).collect()
+    problems = report.where(bad).collect()
     if problems:
         raise DataQualityError("; ".join(str(r.asDict()) for r in problems))

@@ -370,18 +370,21 @@ def hybrid_topk(user_rows: DataFrame, item_rows: DataFrame, k: int = 10, weights
         cont = _scale(cont, us.lo_cont.to_numpy(float), us.hi_cont.to_numpy(float))
         blend, bus, ids = it.blend.to_numpy(), it.business.to_numpy(), it.id.to_numpy()
         damp = (0.35 + 0.65 * it.availability.to_numpy())[None, :]
-        seen = [np.isin(ids, list(h)) if h is not None else np.zeros(len(ids), bool) for h in us.history]
+        seen = np.stack([np.isin(ids, list(h)) if h is not None else np.zeros(len(ids), bool) for h in us.history])
+        n, few, who = len(ids), min(k, len(ids)), us.user_id.to_numpy()
+        after = np.argsort(np.argsort(-ids))  # of equal scores the smaller id comes first
         frames = []
         for g, w in enumerate(options):
             score = (w["collaborative"] * coll + w["content"] * cont + w["popularity"] * blend[None, :]
                      + w["personalization"] * pers + w["business"] * bus[None, :]) * damp
-            for i, uid in enumerate(us.user_id):
-                open_ = np.flatnonzero(~seen[i])
-                order = np.lexsort((ids[open_], -np.round(score[i][open_], 6)))[:k]
-                best = open_[order]
-                frames.append(pd.DataFrame({
-                    "grid_id": g, "user_id": uid, "product_id": ids[best], "score": score[i][best], "collaborative": coll[i][best],
-                    "content": cont[i][best], "popularity": blend[best], "personalization": pers[i][best], "business": bus[best]}))
+            key = np.where(seen, np.iinfo(np.int64).min, np.rint(np.round(score, 6) * 1e6).astype(np.int64) * n + after[None, :])
+            best = np.argpartition(-key, few - 1, axis=1)[:, :few] if few < n else np.broadcast_to(np.arange(n), key.shape)
+            row = np.broadcast_to(np.arange(len(us))[:, None], best.shape)
+            open_ = ~seen[row, best]
+            row, best = row[open_], best[open_]
+            frames.append(pd.DataFrame({
+                "grid_id": g, "user_id": who[row], "product_id": ids[best], "score": score[row, best], "collaborative": coll[row, best],
+                "content": cont[row, best], "popularity": blend[best], "personalization": pers[row, best], "business": bus[best]}))
         return pd.concat(frames)[cols]
 
     schema3 = "grid_id int, user_id long, product_id long, score double, " + ", ".join(f"{p} double" for p in parts)

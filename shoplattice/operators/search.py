@@ -94,7 +94,7 @@ def deletions(term: Column, depth: int = 2) -> Column:
     return F.array_distinct(out)
 
 
-def closest_terms(words: DataFrame, vocabulary: DataFrame, max_distance: int = 2, k: int = 5) -> DataFrame:
+def closest_terms(words: DataFrame, vocabulary: DataFrame, max_distance: int = 2, k: int | None = 5) -> DataFrame:
     """(word, term, distance, df, rank) for words outside the vocabulary.
 
     Deletion neighbourhoods turn the edit-distance join into an equi-join, so
@@ -108,7 +108,7 @@ def closest_terms(words: DataFrame, vocabulary: DataFrame, max_distance: int = 2
     near = cand.where((F.abs(F.length("word") - F.length("term")) <= max_distance)
                       & (F.levenshtein("word", "term", 2 * max_distance) >= 0))
     near = near.withColumn("distance", osa_distance("word", "term")).where(F.col("distance") <= max_distance)
-    return top_k(near, ["word"], [F.col("distance"), F.col("df").desc(), F.col("term")], k)
+    return near if k is None else top_k(near, ["word"], [F.col("distance"), F.col("df").desc(), F.col("term")], k)
 
 
 def correct_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -301,10 +301,12 @@ def price_facet(ranked: DataFrame) -> DataFrame:
 
 
 # ---- suggestions -----------------------------------------------------------
-def suggestion_terms(products: DataFrame, k: int = 4000) -> DataFrame:
+def suggestion_terms(products: DataFrame, k: int | None = None) -> DataFrame:
+    """Terms by document count; the best ``k`` of them, or all."""
     text = F.concat_ws(" ", "title", F.array_join("tags", " "), "brand_name", "category_name")
     n = products.select("id", F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return n.where(F.length("term") > 2).orderBy(F.col("n").desc(), "term").limit(k)
+    long_enough = n.where(F.length("term") > 2)
+    return long_enough if k is None else long_enough.orderBy(F.col("n").desc(), "term").limit(k)
 
 
 def autocomplete(prefixes: DataFrame, products: DataFrame, searches: DataFrame, suggestions: DataFrame, k: int = 8) -> DataFrame:

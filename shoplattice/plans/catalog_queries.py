@@ -471,7 +471,7 @@ def _(t):
 
 @query("topk_07_dimension_lists", """
 (SELECT 'category' AS kind, CAST(id AS BIGINT) AS id, name FROM lt_categories ORDER BY name) UNION ALL
-(SELECT 'brand', id, name FROM lt_brands ORDER BY name LIMIT 200)""")
+(SELECT 'brand', id, name FROM lt_brands ORDER BY name)""")
 def _(t):
     c = t.categories.orderBy("name").select(F.lit("category").alias("kind"), F.col("id").cast("long").alias("id"), "name")
-    return c.unionByName(t.brands.orderBy("name").limit(200).select(F.lit("brand").alias("kind"), "id", "name"))
+    return c.unionByName(t.brands.orderBy("name").select(F.lit("brand").alias("kind"), "id", "name"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoplattice.constants import SEGMENT_FEATURES
+from shoplattice.constants import SEGMENT_FEATURES, SEGMENT_REST, SEGMENT_RULES
 from shoplattice.functions.scalars import micros
 from shoplattice.operators import features as FE, personal as P, segments as SG
 from shoplattice.plans.registry import query
@@ -229,12 +229,14 @@ def _fit(t, **kw):
 
 @query("sg_03_kmeans_segments")
 def _(t):
-    _, z, fit = _fit(t, ks=(4, 5), seeds=(42,), max_iter=8)
+    _, z, fit = _fit(t)
     return SG.assign(z, fit["centroids"]).groupBy("cluster_id").agg(
         F.count("*").alias("customers"), F.round(F.avg("confidence"), 3).alias("avg_confidence"))
 
 
-@query("sg_04_silhouette")
+@query("sg_04_silhouette", Z_SQL + CENTS + """,
+d AS (SELECT user_id, min(CASE WHEN cl = cluster_id THEN list_distance(z, c) END) AS own, min(CASE WHEN cl <> cluster_id THEN list_distance(z, c) END) AS other FROM zz, ct GROUP BY 1)
+SELECT count(*) AS customers, round(avg((other - own) / greatest(own, other)), 5) AS silhouette FROM d""")
 def _(t):
     z = _labelled(t)
     return z.agg(F.count("*").alias("customers")).withColumn("silhouette", F.lit(round(SG.silhouette(z), 5)))
@@ -242,14 +244,37 @@ def _(t):
 
 @query("sg_05_k_selection")
 def _(t):
-    _, z, fit = _fit(t, ks=(4, 6), seeds=(42,), max_iter=5)
+    _, z, fit = _fit(t)
     return z.agg(F.count("*").alias("customers")).withColumn("chosen_k", F.lit(fit["k"]))
 
 
-@query("sg_06_cluster_names")
+PROFILE_SQL = SG.RFM_SQL + ", pr AS (SELECT CAST(user_id % 5 AS INTEGER) AS cluster_id, count(*) AS customers, " + ", ".join(f"avg({f}) AS {f}" for f in SEGMENT_FEATURES) + " FROM rfm GROUP BY 1)"
+RANK_SQL = PROFILE_SQL + ", up AS (" + " UNION ALL ".join(
+    f"SELECT cluster_id, '{f}' AS feature, (row_number() OVER (ORDER BY {f}, cluster_id) - 1) / greatest(count(*) OVER () - 1, 1)::DOUBLE AS up FROM pr" for f in SEGMENT_FEATURES) + ")"
+
+
+def _naming_sql() -> str:
+    """The rules one after another, each over the clusters that are still free."""
+    picks = []
+    for nth, (label, weights) in enumerate(SEGMENT_RULES):
+        fit = " + ".join(f"CASE WHEN feature = '{f}' THEN {w} * up ELSE 0 END" if w > 0 else
+                         f"CASE WHEN feature = '{f}' THEN {-w} * (1 - up) ELSE 0 END" for f, w in weights.items())
+        free = "".join(f" AND cluster_id NOT IN (SELECT cluster_id FROM n{i})" for i in range(nth))
+        picks.append(f"n{nth} AS (SELECT cluster_id, '{label}' AS segment_label FROM (SELECT cluster_id, round(sum({fit}), 9) AS fit FROM up WHERE true{free} GROUP BY 1) ORDER BY fit DESC, cluster_id LIMIT 1)")
+    named = " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(len(SEGMENT_RULES)))
+    return f"{RANK_SQL}, {', '.join(picks)} SELECT cluster_id, customers, coalesce(segment_label, '{SEGMENT_REST}') AS segment_label FROM pr LEFT JOIN ({named}) USING (cluster_id)"
+
+
+def _profiles(t):
+    return _labelled(t).groupBy("cluster_id").agg(F.count("*").alias("customers"), *[F.avg(c).alias(c) for c in SEGMENT_FEATURES])
+
+
+@query("win_06_centroid_ranks", RANK_SQL + " SELECT cluster_id, feature, round(up, 6) AS up FROM up")
 def _(t):
-    lab = _labelled(t)
-    profiles = {r["cluster_id"]: r.asDict() for r in lab.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in SEGMENT_FEATURES]).collect()}
-    names = SG.name_clusters(profiles)
-    label = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
-    return lab.groupBy("cluster_id").agg(F.count("*").alias("customers")).withColumn("segment_label", label[F.col("cluster_id")])
+    return SG.feature_ranks(_profiles(t)).withColumn("up", F.round("up", 6))
+
+
+@query("sg_06_cluster_names", _naming_sql())
+def _(t):
+    profiles = _profiles(t)
+    return profiles.select("cluster_id", "customers").join(SG.name_clusters(profiles), "cluster_id")

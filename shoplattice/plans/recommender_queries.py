@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from shoplattice.functions.grouped import scalar, top_k
+from shoplattice.functions.grouped import best_unseen, numbered, scalar, top_k
 from shoplattice.functions.scalars import minmax
 from shoplattice.operators import analytics as A, catalog as C, evaluate as E, personal as P, recommend as R
 from shoplattice.plans.customer_queries import AFF, RECENT, W_SQL
@@ -231,13 +231,12 @@ def _(t):
     return cart_minus_bought(t).select("user_id", "product_id", "rank")
 
 
-@query("jn_06_exclude_history", f"""WITH {HIST}, {SIGNALS} SELECT u.user_id, s.id AS product_id FROM (SELECT DISTINCT user_id FROM hs) u,
-  (SELECT id FROM sig ORDER BY round(blend, 6) DESC, id LIMIT 20) s WHERE (u.user_id, s.id) NOT IN (SELECT (user_id, product_id) FROM hs)""")
+@query("jn_06_exclude_history", f"""WITH {HIST}, {SIGNALS} SELECT user_id, id AS product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY b DESC, id) AS INTEGER) AS rank
+  FROM (SELECT u.user_id, s.id, round(s.blend, 6) AS b FROM (SELECT DISTINCT user_id FROM hs) u, sig s) x WHERE NOT EXISTS (SELECT 1 FROM hs WHERE hs.user_id = x.user_id AND hs.product_id = x.id) QUALIFY rank <= 20""")
 def _(t):
     hist = R.user_history(t.events).select("user_id", "product_id")
-    top = signals(t).select("id", "blend").orderBy(F.round("blend", 6).desc(), "id").limit(20).agg(F.collect_list("id")).scalar()
-    users = hist.select("user_id").distinct()
-    return users.select("user_id", F.explode(top).alias("product_id")).join(hist, ["user_id", "product_id"], "left_anti")
+    ranking = numbered(signals(t).select(F.col("id").alias("product_id"), F.round("blend", 6).alias("blend")), [F.col("blend").desc(), F.col("product_id")])
+    return best_unseen(ranking, hist, hist, 20).select("user_id", "product_id", "rank")
 
 
 @query("jn_14_hydrate_ranked", f"""WITH {SIGNALS} SELECT s.id AS product_id, CAST(row_number() OVER (ORDER BY round(s.blend, 6) DESC, s.id) AS INTEGER) AS rank, title, brand_name FROM sig s QUALIFY rank <= 50""")
@@ -277,7 +276,7 @@ def hybrid_inputs(t):
     hist = R.user_history(t.events)
     recent = P.last_events(t.events, t.products)
     weighted = materialise(R.bm25_weighted(matrix(t)), "matrix")
-    uf, itf = R.latent_factors(weighted, rank=16, iterations=4)
+    uf, itf = R.latent_factors(weighted, rank=32, iterations=8)
     users = hist.select("user_id").distinct()
     rows = R.user_inputs(users, uf, hist, R.item_neighbours(weighted), t.vectors, P.affinity(recent, "category_id", t.events_as_of),
                          P.affinity(recent, "brand_id", t.events_as_of), t.products)
@@ -286,7 +285,7 @@ def hybrid_inputs(t):
 
 @query("rc_04_latent_factors")
 def _(t):
-    uf, itf = R.latent_factors(R.bm25_weighted(matrix(t)), rank=16, iterations=4)
+    uf, itf = R.latent_factors(R.bm25_weighted(matrix(t)), rank=32, iterations=8)
     return uf.withColumn("side", F.lit("user")).unionByName(itf.withColumn("side", F.lit("item"))).groupBy("side").agg(
         F.count("*").alias("n"), F.max(F.size("vector")).alias("rank"))
 
@@ -294,7 +293,7 @@ def _(t):
 @query("rc_10_collaborative_scores")
 def _(t):
     from shoplattice.functions.grouped import block_topk
-    uf, itf = R.latent_factors(R.bm25_weighted(matrix(t)), rank=16, iterations=4)
+    uf, itf = R.latent_factors(R.bm25_weighted(matrix(t)), rank=32, iterations=8)
     return block_topk(uf, itf, 10).select(F.col("query_id").alias("user_id"), F.col("id").alias("product_id"), F.round("score", 4).alias("score"), "rank")
 
 
@@ -317,7 +316,10 @@ def _(t):
 
 @query("rc_24_weight_grid")
 def _(t):
-    return E.weight_grid(t.events, t.products, t.events_as_of)
+    recent = materialise(P.last_events(t.events, t.products), "grid-recent")
+    affinities = P.affinity(recent, "category_id", t.events_as_of), P.affinity(recent, "brand_id", t.events_as_of)
+    grid = E.weight_grid(t.events, t.products, t.events_as_of, t.vectors, affinities)
+    return grid.select("grid_id", "evaluated_users", F.round("ndcg", 5).alias("ndcg"), *[F.col(n).alias(f"w_{n}") for n in E.RECOMMENDER_WEIGHTS], "chosen")
 
 
 # ---- normalisation windows -------------------------------------------------
@@ -351,15 +353,12 @@ def _(t):
 
 
 @query("topk_01_topk_with_exclusion", """SELECT user_id, id AS product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rating_avg DESC, id) AS INTEGER) AS rank FROM
-  (SELECT DISTINCT user_id FROM lt_events) u, (SELECT id, rating_avg FROM lt_products ORDER BY rating_avg DESC, id LIMIT 200) p
+  (SELECT DISTINCT user_id FROM lt_events) u, lt_products p
   WHERE NOT EXISTS (SELECT 1 FROM lt_events e WHERE e.user_id = u.user_id AND e.product_id = p.id) QUALIFY rank <= 5""")
 def _(t):
-    seen = t.events.select("user_id", "product_id").distinct()
-    head = t.products.orderBy(F.col("rating_avg").desc(), "id").limit(200).agg(F.collect_list(F.struct("id", "rating_avg"))).scalar()
-    cand = seen.select("user_id").distinct().select("user_id", F.explode(head).alias("h")).select(
-        "user_id", F.col("h.id").alias("product_id"), F.col("h.rating_avg").alias("rating_avg"))
-    left = cand.join(seen, ["user_id", "product_id"], "left_anti")
-    return top_k(left, ["user_id"], [F.col("rating_avg").desc(), F.col("product_id")], 5).drop("rating_avg")
+    seen = t.events.select("user_id", "product_id")
+    ranking = numbered(t.products.select(F.col("id").alias("product_id"), "rating_avg"), [F.col("rating_avg").desc(), F.col("product_id")])
+    return best_unseen(ranking, seen, seen, 5).select("user_id", "product_id", "rank")
 
 
 @query("topk_02_per_group_topk", "SELECT user_id, product_id, n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n DESC, product_id) AS INTEGER) AS rank FROM (SELECT user_id, product_id, count(*) AS n FROM lt_events GROUP BY 1, 2) QUALIFY rank <= 12")

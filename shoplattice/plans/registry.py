@@ -146,8 +146,8 @@ LOGICAL_SQL: dict[str, str] = {
           TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id % 700 AS INTEGER)) AS created_at
         FROM documents d JOIN labels l ON l.doc_id = d.doc_id)""",
     "lt_search": r"""
-        SELECT k AS id, conv_id % (SELECT count(*) FROM customer) AS user_id, text[1:255] AS query,
-          trim(regexp_replace(lower(text), '\s+', ' ', 'g'))[1:255] AS normalized_query,
+        SELECT k AS id, conv_id % (SELECT count(*) FROM customer) AS user_id, text AS query,
+          trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS normalized_query,
           CASE WHEN k % 6 = 0 THEN 0 ELSE k % 40 END AS result_count,
           CASE WHEN k % 3 = 0 THEN k % 100 END AS clicked_product_id, k % 12 = 0 AS converted,
           CAST(k % 50 AS DOUBLE) / 10.0 AS latency_ms, TIMESTAMP '2024-01-01' + to_minutes(CAST(k % 40000 AS INTEGER)) AS occurred_at

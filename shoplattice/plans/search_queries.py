@@ -68,7 +68,7 @@ def _(t):
 @query("jn_11_fuzzy_join", f"WITH {PRODS}, {POST}, {TYPOS}, {CLOSE} SELECT word, term FROM cl")
 def _(t):
     vocab = S.postings(S.product_text(t.products)).groupBy("term").agg(F.count("*").alias("df"))
-    return S.closest_terms(_typos(t), vocab, k=1_000_000).select("word", "term")
+    return S.closest_terms(_typos(t), vocab, k=None).select("word", "term")
 
 
 @query("scl_07_osa_distance", f"WITH {PRODS}, {POST}, {TYPOS} SELECT word, term, CAST(damerau_levenshtein(word, term) AS INTEGER) AS distance FROM ty, ts WHERE damerau_levenshtein(word, term) <= 1")
@@ -213,7 +213,7 @@ def _(t):
 
 @query("sr_15_autocomplete", f"""
 WITH pf AS (SELECT DISTINCT left(title, 4) AS prefix FROM lt_products UNION SELECT DISTINCT normalized_query[1:2] FROM lt_search WHERE length(trim(normalized_query[1:2])) = 2),
-sg AS (SELECT term, count(DISTINCT id) AS n FROM (SELECT id, unnest({sql_tokens("title || ' ' || array_to_string(tags, ' ') || ' ' || brand_name || ' ' || category_name")}) AS term FROM lt_products) WHERE length(term) > 2 GROUP BY 1 ORDER BY n DESC, term LIMIT 4000),
+sg AS (SELECT term, count(DISTINCT id) AS n FROM (SELECT id, unnest({sql_tokens("title || ' ' || array_to_string(tags, ' ') || ' ' || brand_name || ' ' || category_name")}) AS term FROM lt_products) WHERE length(term) > 2 GROUP BY 1),
 al AS (SELECT prefix, title AS text, 'product' AS type, 0 AS source, min(id) AS pos FROM pf JOIN lt_products ON contains(lower(title), trim(prefix)) GROUP BY 1, 2
 UNION ALL SELECT prefix, normalized_query, 'query', 1, -count(*) FROM pf JOIN lt_search ON starts_with(normalized_query, trim(prefix)) GROUP BY 1, 2
 UNION ALL SELECT prefix, term, 'term', 2, -n FROM pf JOIN sg ON starts_with(term, trim(prefix))),
@@ -227,7 +227,7 @@ def _(t):
 @query("sr_16_suggestion_terms", f"""SELECT term, count(DISTINCT id) AS n FROM (SELECT id, unnest({sql_tokens("title || ' ' || array_to_string(tags, ' ') || ' ' || brand_name || ' ' || category_name")}) AS term FROM lt_products)
 WHERE length(term) > 2 GROUP BY 1 ORDER BY n DESC, term LIMIT 4000""")
 def _(t):
-    return S.suggestion_terms(t.products)
+    return S.suggestion_terms(t.products, 4000)
 
 
 @query("sr_17_index_stats", f"WITH {PRODS}, {POST} SELECT (SELECT count(*) FROM corp) AS documents, (SELECT count(*) FROM ts) AS vocabulary, (SELECT count(*) FROM lt_vectors) AS vector_count")

@@ -226,8 +226,8 @@ class Tables:
         key = F.col("conv_id") * 100 + F.col("turn")
         customers = self.raw("customer").agg(F.count("*")).scalar()
         return self.raw("conversations").where(F.col("role") == "user").select(
-            key.alias("id"), (F.col("conv_id") % customers).alias("user_id"), F.left("text", F.lit(255)).alias("query"),
-            F.left(normalise_query("text"), F.lit(255)).alias("normalized_query"),
+            key.alias("id"), (F.col("conv_id") % customers).alias("user_id"), F.col("text").alias("query"),
+            normalise_query("text").alias("normalized_query"),
             F.when(key % 6 == 0, 0).otherwise(key % 40).alias("result_count"),
             F.when(key % 3 == 0, key % 100).alias("clicked_product_id"),
             (key % 12 == 0).alias("converted"), (key % 50 / 10.0).alias("latency_ms"),

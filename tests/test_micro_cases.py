@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoplattice.functions.grouped import block_topk, grouped_percentiles, item_pairs
+from shoplattice.functions.grouped import best_unseen, block_topk, grouped_percentiles, item_pairs, numbered
 from shoplattice.functions.scalars import minmax
 from shoplattice.operators import catalog, evaluate, forecast, monitoring, personal, recommend, search, segments, sentiment
 
@@ -53,7 +53,7 @@ def test_percentiles_match_numpy_under_skew(spark):
     rng = np.random.default_rng(2)
     data = [(1, float(v)) for v in rng.exponential(10, 900)] + [(2, 5.0)] * 40 + [(3, 1.5)]
     df = spark.createDataFrame(data, "g int, v double")
-    got = {r["g"]: (r["a"], r["b"]) for r in grouped_percentiles(df, ["g"], "v", {"a": 0.1, "b": 0.75}, buckets=8).collect()}
+    got = {r["g"]: (r["a"], r["b"]) for r in grouped_percentiles(df, ["g"], "v", {"a": 0.1, "b": 0.75}).collect()}
     for g in (1, 2, 3):
         vals = [v for k, v in data if k == g]
         assert got[g] == pytest.approx((np.percentile(vals, 10), np.percentile(vals, 75)))
@@ -138,10 +138,51 @@ def test_aspects_on_real_sentences(spark):
     assert got["sound_quality"] == "positive" and got["shipping"] == "negative"
 
 
-def test_cluster_names_are_unique():
-    profiles = {i: {f: float((i * 3 + j) % 5) for j, f in enumerate(segments.SEGMENT_FEATURES)} for i in range(5)}
-    names = segments.name_clusters(profiles)
-    assert len(set(names.values())) == 5
+def test_cluster_names_are_unique(spark):
+    profiles = spark.createDataFrame([(i, *(float((i * 3 + j) % 5) for j in range(len(segments.SEGMENT_FEATURES)))) for i in range(5)],
+                                     "cluster_id int, " + ", ".join(f"{f} double" for f in segments.SEGMENT_FEATURES))
+    names = [r["segment_label"] for r in segments.name_clusters(profiles).collect()]
+    assert len(names) == len(set(names)) == 5
+
+
+def test_silhouette_falls_with_wrong_labels(spark):
+    points = [(0, [0.0, 0.0]), (0, [0.1, 0.0]), (0, [0.0, 0.1]), (1, [5.0, 5.0]), (1, [5.1, 5.0]), (1, [5.0, 5.1])]
+    right = spark.createDataFrame(points, "cluster_id int, z array<double>")
+    wrong = spark.createDataFrame([(1 if i == 2 else c, z) for i, (c, z) in enumerate(points)], "cluster_id int, z array<double>")
+    assert segments.silhouette(right) > 0.9 > segments.silhouette(wrong)
+    swapped = spark.createDataFrame([(0, [0.0]), (0, [10.0]), (1, [1.0]), (1, [9.5])], "cluster_id int, z array<double>")
+    assert segments.silhouette(swapped) < 0
+
+
+def test_percentiles_with_an_outlier(spark):
+    values = [float(n) for n in range(1000)] + [1e12]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    row = grouped_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).first()
+    assert row["p50"] == 500.0 and row["p95"] == 950.0
+
+
+def test_unseen_rankings(spark):
+    products = spark.createDataFrame([(n * 7,) for n in range(1, 41)], "product_id long")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    seen = spark.createDataFrame([(1, 7), (1, 21)] + [(2, n * 7) for n in range(1, 39)], "user_id long, product_id long")
+    ranked = numbered(products, [F.col("product_id")])
+    assert sorted(r["pos"] for r in ranked.collect()) == list(range(1, 41))
+    got = {}
+    for r in best_unseen(ranked, users, seen, 3).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append(r["product_id"])
+    assert got == {1: [14, 28, 35], 2: [273, 280], 3: [7, 14, 21]}
+    drawn = {}
+    for r in evaluate.random_unseen(products, users, seen, 5).collect():
+        drawn.setdefault(r["user_id"], []).append(r["product_id"])
+    assert {u: len(set(p)) for u, p in drawn.items()} == {1: 5, 2: 2, 3: 5} and sorted(drawn[2]) == [273, 280]
+    assert all(p % 7 == 0 for ps in drawn.values() for p in ps) and not {7, 21} & set(drawn[1])
+
+
+def test_weight_vectors_cover_the_grid(spark):
+    vectors = evaluate.weight_vectors(spark)
+    assert len(vectors) == 402 and len({tuple(sorted(v.items())) for v in vectors[2:]}) == 400
+    assert all(abs(sum(v.values()) - 1) < 1e-4 for v in vectors[2:])
+    assert evaluate.choose_weights({0: 0.5, 1: 0.5005, 2: 0.51}, vectors)[0] == 2
 
 
 def test_k_rule_prefers_larger_k_within_tolerance():
