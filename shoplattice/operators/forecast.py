@@ -129,7 +129,7 @@ def assembler():
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
 
 
-def fit_residual(train: DataFrame, max_iter: int = 40, depth: int = 5, step: float = 0.1):
+def fit_residual(train: DataFrame, max_iter: int = 400, depth: int = 6, step: float = 0.1):
     """Boosted trees on units minus naive, with a hash-picked validation slice for early stopping."""
     from pyspark.ml.regression import GBTRegressor
     rows = assembler().transform(train.withColumn("residual", F.col("units") - F.col("naive")).withColumn(
@@ -168,9 +168,16 @@ def naive_weekly(profile: DataFrame, last_week: date | datetime, weeks: int, res
     return steps.select("product_id", "step", "week", *_points(value, spread), F.lit("seasonal_naive").alias("model"))
 
 
+def with_last_week(profile: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add the index and price ratio of each product's last panel week; the price is carried forward."""
+    last = rows.groupBy("product_id").agg(F.max_by(F.struct(F.col("week_index").alias("last_index"), "price_ratio"), "week").alias("_l"))
+    return profile.join(last.select("product_id", "_l.*"), "product_id")
+
+
 def weekly_forecast(model, profile: DataFrame, products: DataFrame, last_week: date, weeks: int, residual_std: float,
                     checkpoint_every: int = 4) -> DataFrame:
-    """Roll every product forward together; each prediction becomes the next week's lag.
+    """Roll every product forward together; each prediction becomes the next week's lag. ``profile`` carries each product's
+    last ``week_index`` and ``price_ratio`` (``with_last_week``), so the model sees the features it was fitted on.
 
     The history travels as an array column, so a step is one narrow transform.
     Lineage is cut every few steps by writing to the shared folder.
@@ -192,10 +199,10 @@ def weekly_forecast(model, profile: DataFrame, products: DataFrame, last_week: d
                                            / F.greatest(F.size(tail(n)) - 1, F.lit(1)))
         cols["roll_max_12"] = F.array_max(tail(12))
         rows = state.withColumns(cols).withColumns({
-            "trend_4_12": F.col("roll_mean_4") - F.col("roll_mean_12"), "week": F.lit(week), "week_index": F.col("_n0") + step,
-            "price_ratio": 1.0 - F.col("discount_pct") / 100.0})
+            "trend_4_12": F.col("roll_mean_4") - F.col("roll_mean_12"), "week": F.lit(week), "week_index": F.col("last_index") + step})
         rows = calendar_features(rows).withColumn("on_promotion", (F.col("price_ratio") < 0.95).cast("int")).withColumn("naive", naive_value(F.col("month")))
-        value = predict_units(model, rows).select("product_id", "recent_mean", "factors", *META, "_n0", F.col("advanced"), "hist")
+        value = predict_units(model, rows).select(
+            "product_id", "recent_mean", "factors", "last_index", "price_ratio", *META, "_n0", F.col("advanced"), "hist")
         state = value.withColumn("hist", F.concat("hist", F.array("advanced")))
         if step % checkpoint_every == 0 or step == weeks:
             state = materialise(state, "rollout")

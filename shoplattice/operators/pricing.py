@@ -58,7 +58,8 @@ def _assembled(frame: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(PRICE_FEATURES), outputCol="features").transform(frame)
 
 
-def fit(train: DataFrame, max_iter: int = 40, depth: int = 5, step: float = 0.1):
+def fit(train: DataFrame, max_iter: int = 400, depth: int = 6, step: float = 0.1):
+    """Boosted trees on the log price; a hash-picked validation slice stops the boosting early."""
     from pyspark.ml.regression import GBTRegressor
     rows = _assembled(train).withColumn("label", F.log("price")).withColumn("is_val", F.pmod(F.xxhash64("id"), F.lit(100)) < 15)
     return GBTRegressor(labelCol="label", featuresCol="features", maxIter=max_iter, maxDepth=depth, stepSize=step, minInstancesPerNode=12,
@@ -154,3 +155,14 @@ def narrative(outlook: DataFrame, drivers: Column | str = "drivers") -> DataFram
             F.lit("The model prices this "), pct, F.lit("% below its current listing, driven mainly by "), d, F.lit(". It may be priced above what the market supports."))).otherwise(
         F.concat(F.lit("The current price is consistent with what the model expects for this product (within "), pct, F.lit("%), based on "), d, F.lit(".")))
     return outlook.withColumn("explanation", text)
+
+
+def residual_std(scored: DataFrame) -> Column:
+    """Deviation of the log price from the model on held-out products, as a scalar."""
+    return scored.agg(F.coalesce(F.stddev_pop(F.log("price") - F.col("log_pred")), F.lit(0.0))).scalar()
+
+
+def drivers(contributed: DataFrame, k: int = 2) -> DataFrame:
+    """(id, drivers): the names of the k strongest contributions, as words."""
+    best = contributed.where(F.col("rank") <= k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature"))).alias("f"))
+    return best.select("id", F.array_join(F.transform("f", lambda x: F.replace(x["feature"], F.lit("_"), F.lit(" "))), " and ").alias("drivers"))

@@ -3,11 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml import Transformer
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplattice.constants import ASPECT_LEXICON, CLAUSE_BREAK, LEXICON_FRAGMENT, NEGATION_TERMS
 from shoplattice.functions.grouped import grouped_percentiles, top_k
 from shoplattice.functions.scalars import char_wb_ngrams, contains_any, ratio, title_label, tokens, word_ngrams
+from shoplattice.session import materialise
 
 LABELS = ("negative", "neutral", "positive")
 
@@ -34,17 +38,40 @@ def stratified_split(labelled: DataFrame, test_share: float = 0.25) -> DataFrame
 
 
 # ---- text model ------------------------------------------------------------
+class SublinearTfIdf(Transformer):
+    """Counts to (1 + ln tf) * idf with idf = ln((1 + n) / (1 + df)) + 1, each block scaled to length one, side by side."""
+
+    def __init__(self, blocks: Sequence[tuple[str, Sequence[float]]], target: str):
+        super().__init__()
+        self.names, self.idfs, self.target = [n for n, _ in blocks], [np.asarray(idf) for _, idf in blocks], target
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        idfs = self.idfs
+
+        @F.udf(VectorUDT())
+        def weigh(*blocks):
+            at, indices, values = 0, [], []
+            for counts, idf in zip(blocks, idfs):
+                v = (1 + np.log(counts.values)) * idf[counts.indices]
+                indices.append(counts.indices + at)
+                values.append(v / (np.sqrt((v * v).sum()) or 1.0))
+                at += counts.size
+            return SparseVector(at, np.concatenate(indices), np.concatenate(values))
+
+        return dataset.withColumn(self.target, weigh(*self.names))
+
+
 def fit_classifier(train: DataFrame, vocab: int = 40000, max_iter: int = 50, c: float = 4.0):
     """Word 1-2 gram and character 3-5 gram sublinear TF-IDF into balanced multinomial logistic regression."""
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
     rows = _spread(train)
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n, k = sum(counts.values()), len(counts)
     weight = F.create_map(*[F.lit(x) for label, m in counts.items() for x in (label, n / (k * m))])[F.col("label")]
     grams = _grams(rows).withColumn("weight", weight)
-    indexer = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows.select("label"))
+    indexer = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="error").fit(rows.select("label"))
     vectorizers = [CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=vocab, minDF=min_df).fit(grams.select(name))
                    for name, min_df in (("word", 2), ("char", 3))]
     counted = grams
@@ -53,21 +80,18 @@ def fit_classifier(train: DataFrame, vocab: int = 40000, max_iter: int = 50, c:
     # n-grams are built once more here; everything after works on the compact sparse counts
     counted = counted.select("target", "weight", "word_tf", "char_tf").persist()
     try:
-        tail = []
-        for name in ("word", "char"):
-            tail += [IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_x")]
-        tail.append(VectorAssembler(inputCols=["word_x", "char_x"], outputCol="features"))
+        weighed = SublinearTfIdf([(f"{name}_tf", IDF(inputCol=f"{name}_tf", outputCol="_").fit(counted).idf.toArray() + 1) for name in ("word", "char")], "features")
         lr = LogisticRegression(labelCol="target", featuresCol="features", weightCol="weight", family="multinomial", regParam=1.0 / (c * n),
-                                standardization=False, maxIter=max_iter)
-        fitted = Pipeline(stages=[*tail, lr]).fit(counted)
+                                standardization=False, maxIter=max_iter).fit(weighed.transform(counted))
     finally:
         counted.unpersist()
-    return PipelineModel(stages=[indexer, *vectorizers, *fitted.stages])
+    return PipelineModel(stages=[indexer, *vectorizers, weighed, lr])
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Texts over all cores: building n-grams is CPU-bound, and a single file would keep it in one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, "id")
+    """Texts over all cores: building n-grams is CPU-bound, and a single file would keep it in one task. Adaptive execution
+    splits and merges the parts by size."""
+    return df.hint("rebalance", "id")
 
 
 def _grams(df: DataFrame) -> DataFrame:
@@ -76,13 +100,21 @@ def _grams(df: DataFrame) -> DataFrame:
 
 
 def score_text(model, texts: DataFrame) -> DataFrame:
-    """Add ``label`` and ``score`` = P(positive) - P(negative) to any frame with ``text``."""
+    """Add ``label`` and ``score`` = P(positive) - P(negative) to any frame with ``text``.
+
+    The counts are written once, compact, before they are weighed in Python."""
     from pyspark.ml.functions import vector_to_array
     names = list(model.stages[0].labels)
-    scored = model.transform(_grams(_spread(texts).withColumn("label", F.lit(names[0])))).withColumn("_p", vector_to_array("probability"))
+    counted = _grams(_spread(texts))
+    for vectorizer in model.stages[1:-2]:
+        counted = vectorizer.transform(counted)
+    scored = materialise(counted.select(*texts.columns, "word_tf", "char_tf"), "review-counts")
+    for stage in model.stages[-2:]:
+        scored = stage.transform(scored)
+    scored = scored.withColumn("_p", vector_to_array("probability"))
     p = lambda name: F.col("_p")[names.index(name)] if name in names else F.lit(0.0)
     labels = F.array(*[F.lit(x) for x in names])
-    return scored.select(*texts.columns, F.element_at(labels, (F.least(F.col("prediction"), F.lit(float(len(names) - 1))) + 1).cast("int")).alias("label"),
+    return scored.select(*texts.columns, F.element_at(labels, (F.col("prediction") + 1).cast("int")).alias("label"),
                          F.round(p("positive") - p("negative"), 5).alias("score"))
 
 

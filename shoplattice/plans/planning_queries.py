@@ -153,7 +153,8 @@ def _(t):
     return FC.stockout_risk(FC.horizon_totals(naive_daily(t)), t.products).select("product_id", "horizon", "will_stock_out", "worst_case_stock_out")
 
 
-@query("fc_13_top_demand")
+@query("fc_13_top_demand", f"""WITH {PATH} SELECT product_id, predicted_30d, title, CAST(inventory AS INTEGER) AS inventory FROM
+  (SELECT product_id, round(sum(round(predicted, 4)), 6) AS predicted_30d FROM dy GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) JOIN lt_products p ON p.id = product_id""")
 def _(t):
     return FC.top_demand(naive_daily(t), t.products)
 
@@ -170,7 +171,7 @@ def _fitted(t):
 
 def _fit_forecast(t):
     data = materialise(FC.naive_predict(rows(t), profile(t)), "panel")
-    return data, FC.fit_residual(data.where("NOT is_test"), max_iter=5, depth=3)
+    return data, FC.fit_residual(data.where("NOT is_test"))
 
 
 @query("fc_06_residual_model")
@@ -188,9 +189,13 @@ def _(t):
 @query("fc_09_recursive_rollout")
 def _(t):
     data, model = _fitted(t)
-    p = FC.naive_profile(data.where("NOT is_test"))
-    last = data.where("NOT is_test").agg(F.max("week")).first()[0]
-    return FC.weekly_forecast(model, p, t.products, last, 5, 1.0)
+    known = data.where("NOT is_test")
+    last = known.agg(F.max("week")).first()[0]
+    chosen = FC.select_model(FC.predict_units(model, data.where("is_test"))).first()
+    p = FC.with_last_week(FC.naive_profile(known), known)
+    if chosen["selected_model"] == "seasonal_naive":
+        return FC.naive_weekly(p, last, 5, chosen["residual_std"])
+    return FC.weekly_forecast(model, p, t.products, last, 5, chosen["residual_std"])
 
 
 @query("fc_14_accuracy_summary")
@@ -282,7 +287,7 @@ def _price_model(t):
 
 def _fit_price(t):
     data = materialise(PR.split(prices(t)), "prices")
-    return data, PR.fit(data.where("NOT is_test"), max_iter=5, depth=3)
+    return data, PR.fit(data.where("NOT is_test"))
 
 
 @query("pr_03_price_model")
@@ -294,10 +299,33 @@ def _(t):
 @query("pr_05_permutation_importance")
 def _(t):
     data, model = _price_model(t)
-    return PR.permutation_importance(model, data.where("is_test"), repeats=2)
+    return PR.permutation_importance(model, data.where("is_test"), repeats=8)
 
 
 @query("pr_06_local_contributions")
 def _(t):
     data, model = _price_model(t)
     return PR.contributions(model, PR.predict(model, data), PR.category_stats(data))
+
+
+def _model_outlook(t):
+    """All products priced by the fitted model, with its deviation on the held-out ones."""
+    data, model = _price_model(t)
+    return PR.price_outlook(PR.predict(model, data), PR.residual_std(PR.predict(model, data.where("is_test"))))
+
+
+@query("pr_07_model_outlook")
+def _(t):
+    return _model_outlook(t).select("id", "predicted_price", "price_trend", "delta_pct", "confidence", "lower_bound", "upper_bound")
+
+
+@query("pr_08_model_opportunities")
+def _(t):
+    return PR.opportunities(_model_outlook(t), t.products)
+
+
+@query("pr_09_model_narratives")
+def _(t):
+    data, model = _price_model(t)
+    named = PR.drivers(PR.contributions(model, PR.predict(model, data), PR.category_stats(data)))
+    return PR.narrative(_model_outlook(t).join(named, "id", "left").withColumn("drivers", F.coalesce("drivers", F.lit("market context")))).select("id", "drivers", "explanation")

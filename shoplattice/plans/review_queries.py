@@ -5,7 +5,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from shoplattice.constants import ASPECT_LEXICON, NEGATION_TERMS
+from shoplattice.constants import ASPECT_LEXICON, MODEL_NAMES, NEGATION_TERMS
 from shoplattice.functions.scalars import ntz
 from shoplattice.operators import analytics as A, evaluate as E, monitoring as M, segments as SG, sentiment as SE
 from shoplattice.plans.analytics_queries import SERVING_SQL
@@ -81,13 +81,21 @@ def _(t):
     return SE.keywords(t.reviews.withColumn("grp", F.col("id") % 20), by="grp").drop("rank")
 
 
-@query("se_09_product_summary", """WITH r AS (SELECT id % 20 AS product_id, count(*) AS review_count, count(*) FILTER (WHERE rating = 5) / count(*) AS s FROM lt_reviews GROUP BY 1)
-SELECT product_id, review_count, CASE WHEN s >= 0.7 THEN 'Reviews are strongly positive (' WHEN s >= 0.45 THEN 'Reviews are mixed but lean positive (' ELSE 'Reviews are mostly critical (only ' END || CAST(round_even(s * 100, 0) AS INTEGER) || '% favourable).' AS summary FROM r""")
+LEADS = """rv AS (SELECT d.doc_id % (SELECT count(*) FROM part) AS product_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+rr AS (SELECT product_id, count(*) AS review_count, count(*) FILTER (WHERE label = 'positive') / greatest(count(label), 1) AS s FROM rv GROUP BY 1),
+ag AS (SELECT product_id, replace(aspect, '_', ' ') AS aspect, count(*) AS m, round((count(*) FILTER (WHERE polarity = 'positive') - count(*) FILTER (WHERE polarity = 'negative')) / count(*), 4) AS sentiment FROM ra JOIN alld USING (id) GROUP BY 1, 2),
+pz AS (SELECT product_id, aspect FROM ag WHERE sentiment > 0.2 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY m DESC, aspect) = 1),
+cz AS (SELECT product_id, aspect FROM ag WHERE sentiment < -0.1 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY sentiment, m DESC, aspect) = 1)"""
+
+
+@query("se_09_product_summary", f"""WITH {ASPECTS}, {LEADS}
+SELECT rr.product_id, review_count, CASE WHEN s >= 0.7 THEN 'Reviews are strongly positive (' WHEN s >= 0.45 THEN 'Reviews are mixed but lean positive (' ELSE 'Reviews are mostly critical (only ' END || CAST(round_even(s * 100, 0) AS INTEGER) || '% favourable).'
+  || coalesce(' Customers consistently praise ' || pz.aspect || '.', '') || coalesce(' The most common complaint concerns ' || cz.aspect || '.', '') AS summary
+FROM rr LEFT JOIN pz USING (product_id) LEFT JOIN cz USING (product_id)""")
 def _(t):
-    folded = t.reviews.withColumn("product_id", F.col("id") % 20)
-    roll = SE.product_rollup(folded)
-    none = SE.praise_and_complaints(SE.aspect_rollup(SE.review_aspects(mentions(t)), folded)).where("mentions < 0")
-    return SE.product_summary(roll, none)
+    reviews = every_review(t)
+    leads = SE.praise_and_complaints(SE.aspect_rollup(SE.review_aspects(mentions(t)), reviews))
+    return SE.product_summary(SE.product_rollup(reviews), leads)
 
 
 @query("se_10_aspect_evaluation", f"""WITH {ASPECTS}, tr AS (SELECT id, aspect, CASE WHEN id % 2 = 0 THEN 'neutral' ELSE polarity END AS polarity FROM ra WHERE id % 5 <> 0 UNION ALL SELECT id, 'value', 'positive' FROM alld WHERE id % 50 = 1),
@@ -106,7 +114,7 @@ def _classifier(t):
 
 def _fit_classifier(t):
     rows = materialise(SE.stratified_split(SE.weak_labels(t.reviews)), "labelled")
-    return rows, SE.fit_classifier(rows.where("NOT is_test"), vocab=2000, max_iter=10)
+    return rows, SE.fit_classifier(rows.where("NOT is_test"))
 
 
 @query("se_03_tfidf_features")
@@ -275,11 +283,16 @@ def _(t):
 SELECT coalesce(b.model, c.model) AS model, coalesce(b.feature, c.feature) AS feature, CASE WHEN b.value IS NULL OR c.value IS NULL THEN 'unavailable' WHEN abs(c.value - b.value) / abs(b.value) > 0.2 THEN 'drift_detected' ELSE 'ok' END AS status,
   round(coalesce(abs(c.value - b.value) / abs(b.value), -1), 5) AS relative_change FROM bs b FULL JOIN cu c ON c.model = b.model AND c.feature = b.feature""")
 def _(t):
-    cur = current(t)
+    return drift(t).select("model", "feature", "status", F.coalesce("relative_change", F.lit(-1.0)).alias("relative_change"))
+
+
+def drift(t):
+    """Current statistics against a shifted baseline, with one statistic on either side only."""
+    cur = materialise(current(t), "statistics")
     factor = F.when(F.col("feature") == "price_level", 1.5).otherwise(0.95)
     base = cur.where("model <> 'segmentation'").withColumn("value", F.col("value") * factor)
     gone = cur.limit(1).select(F.lit("ranking").alias("model"), F.lit("gone").alias("feature"), F.lit(1.0).alias("value"))
-    return M.compare(base.unionByName(gone), cur).select("model", "feature", "status", F.coalesce("relative_change", F.lit(-1.0)).alias("relative_change"))
+    return M.compare(base.unionByName(gone), cur)
 
 
 @query("dr_03_prediction_distribution", """SELECT model_name, count(*) AS samples, round(avg(prediction), 5) AS mean, round(stddev_pop(prediction), 5) AS std, round(quantile_cont(prediction, 0.05), 5) AS p05, round(quantile_cont(prediction, 0.95), 5) AS p95
@@ -341,8 +354,12 @@ def _(t):
     return out
 
 
-@query("agg_30_monitoring_summary")
+@query("agg_30_monitoring_summary", CURRENT + f""", {LATEST}, sv AS ({SERVING_SQL}), nm AS (SELECT unnest([{', '.join(map(_q, MODEL_NAMES))}]) AS name),
+hl AS (SELECT nm.name, version, calls, error_rate FROM nm LEFT JOIN (SELECT * FROM r2 WHERE n = 1) c ON c.name = nm.name LEFT JOIN sv ON model_name = nm.name)
+SELECT count(*) AS models_total, count(calls) AS models_loaded, count(*) FILTER (WHERE version IS NULL) AS models_missing, count(*) FILTER (WHERE version IS NOT NULL AND calls IS NOT NULL AND error_rate > 0.05) AS models_degraded,
+  (SELECT count(DISTINCT model) FROM cu WHERE model <> 'segmentation' AND abs(value - value * CASE WHEN feature = 'price_level' THEN 1.5::DOUBLE ELSE 0.95::DOUBLE END) / abs(value * CASE WHEN feature = 'price_level' THEN 1.5::DOUBLE ELSE 0.95::DOUBLE END) > 0.2) AS drift_detected,
+  (SELECT count(*) FROM r2 WHERE n <= 20) AS registry_size, (SELECT count(*) FROM lt_preds) AS sampled_predictions FROM hl""")
 def _(t):
-    h = M.health(M.latest_cards(registered(t)), A.serving_stats(t.predictions))
-    cur = current(t)
-    return M.monitoring_summary(h, M.compare(cur, cur), registered(t), t.predictions)
+    cards_now = materialise(registered(t), "registry")
+    h = M.health(M.latest_cards(cards_now), A.serving_stats(t.predictions))
+    return M.monitoring_summary(h, drift(t), cards_now, t.predictions)
