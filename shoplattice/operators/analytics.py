@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shoplattice.constants import REVENUE_STATUSES, TRENDING_TYPES, VIEW_TYPES
 from shoplattice.functions.grouped import top_k
 from shoplattice.functions.scalars import day, ntz, pct_change, ratio, title_label
+from shoplattice.operators.sessions import sessionise
 
 
 def is_revenue(c: str = "status") -> Column:
@@ -28,11 +29,15 @@ def trailing_windows(df: DataFrame, ts: str, as_of: datetime, days: int) -> Data
 
 # ---- business --------------------------------------------------------------
 def business_metrics(
-    orders: DataFrame, session_events: DataFrame, users: DataFrame, products: DataFrame,
+    orders: DataFrame, events: DataFrame, users: DataFrame, products: DataFrame,
     orders_as_of: datetime, events_as_of: datetime, days: int = 30,
 ) -> DataFrame:
     """One row of KPIs for the window ending at ``as_of`` against the window before.
 
+    Sessions of the window are counted, so only its events are read: a session
+    that began earlier still is one session of the window, its first event in
+    the window opens it.
+
     Orders are scanned once: a per-buyer pre-aggregate carries both windows and
     the fact of an earlier purchase, so repeat buyers need no second scan.
     """
@@ -50,7 +55,7 @@ def business_metrics(
         F.sum("pn").alias("p_orders"), F.coalesce(F.sum("pamount"), F.lit(0.0)).alias("p_revenue"),
         F.count_if(F.col("n") > 0).alias("unique_buyers"),
         F.count_if((F.col("n") > 0) & (F.col("earlier") > 0)).alias("repeat_buyers"))
-    live = session_events.where(within("occurred_at", events_as_of, days))
+    live = sessionise(events.where(within("occurred_at", events_as_of, days)))
     per_session = live.groupBy("user_id", "session_id").agg(
         F.max((F.col("event_type") == "purchase").cast("int")).alias("bought"))
     traffic = per_session.agg(F.struct(

@@ -10,6 +10,7 @@ from shoplattice.constants import (
     FORECAST_HOLDOUT_WEEKS, FORECAST_HORIZONS, FORECAST_LAGS, FORECAST_MIN_UNITS, FORECAST_MIN_WEEKS, FORECAST_WINDOWS,
 )
 from shoplattice.functions.scalars import cyclic, ratio, week_start
+from shoplattice.session import materialise
 
 META = ("category_id", "brand_id", "price", "inventory", "discount_pct", "rating_avg")
 FEATURES = (
@@ -36,7 +37,7 @@ def weekly_panel(daily: DataFrame, products: DataFrame) -> DataFrame:
     The calendar is generated per product from two scalars; windows run over
     one product's weeks, a series no longer than the calendar.
     """
-    weekly = weekly_units(daily)
+    weekly = materialise(weekly_units(daily), "weekly")  # read by the calendar, the eligibility and the join
     span = weekly.agg(F.struct(F.min("week").alias("lo"), F.max("week").alias("hi"))).scalar()
     grid = eligible_products(weekly).withColumn("_s", span).select(
         "product_id", F.explode(F.sequence(F.col("_s.lo"), F.col("_s.hi"), F.expr("interval 7 days"))).alias("week"), F.col("_s.lo").alias("_start"))
@@ -182,7 +183,6 @@ def weekly_forecast(model, profile: DataFrame, products: DataFrame, last_week: d
     The history travels as an array column, so a step is one narrow transform.
     Lineage is cut every few steps by writing to the shared folder.
     """
-    from shoplattice.session import materialise
     meta = products.select(F.col("id").alias("product_id"), *META)
     state = profile.join(meta, "product_id").withColumnRenamed("tail", "hist").withColumn("_n0", F.size("hist"))
     done = None

@@ -21,6 +21,7 @@ from shoplattice.constants import (
 from shoplattice.functions.grouped import block_topk, both_directions, grouped_percentiles, item_pairs, top_k
 from shoplattice.functions.scalars import age_days, clip, dot, event_weight, minmax, ntz, top_labels
 from shoplattice.operators.catalog import margin
+from shoplattice.session import materialise
 
 WEIGHTED = tuple(k for k in EVENT_WEIGHTS if k != "search")
 POSITIVE = ("purchase", "add_to_cart", "wishlist", "click", "product_view")
@@ -55,6 +56,7 @@ def interaction_matrix(events: DataFrame, as_of: datetime) -> DataFrame:
 
 def bm25_weighted(matrix: DataFrame, n_users: int | None = None, k1: float = 1.6, b: float = 0.75) -> DataFrame:
     """Damp heavy users and popular items. ``n_users`` defaults to the users present."""
+    matrix = materialise(matrix, "interactions")  # read by users, items, facts and the join
     users = matrix.groupBy("user_id").agg(F.sum("weight").alias("len"))
     items = matrix.groupBy("product_id").agg(F.count("*").alias("df"))
     facts = users.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg"))).scalar()
@@ -67,6 +69,7 @@ def bm25_weighted(matrix: DataFrame, n_users: int | None = None, k1: float = 1.6
 
 def item_neighbours(matrix: DataFrame, k: int = 50) -> DataFrame:
     """Top-k cosine neighbours per item, exact, from block-wise pairs of every user's items."""
+    matrix = materialise(matrix, "weighted-interactions")  # read by norms and by the pairs' two sides
     norms = matrix.groupBy("product_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     unit = matrix.join(norms, "product_id").select("user_id", "product_id", (F.col("weight") / F.col("norm")).alias("w"))
     sims = item_pairs(unit, "user_id", "product_id", ["w"]).groupBy("a", "b").agg(

@@ -13,6 +13,7 @@ from shoplattice.constants import (
 )
 from shoplattice.functions.grouped import block_topk, salted_join, top_k
 from shoplattice.functions.scalars import clip, contains_any, minmax, normalise_query, tokens, top_labels
+from shoplattice.session import materialise
 
 SIGNALS = tuple(SEARCH_WEIGHTS)
 
@@ -46,12 +47,16 @@ def term_stats(post: DataFrame, n: Column) -> DataFrame:
 def bm25(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATE_POOL, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` matching documents per query.
 
-    The index is cut to the terms that occur in the queries before anything is
-    shuffled by term, and a frequent term's postings are salted over tasks.
+    The corpus is tokenised once, into a written table. Each document is cut to
+    the terms that occur in the queries before anything is exploded or shuffled
+    by term, and a frequent term's postings are salted over tasks.
     """
     q = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q_tf"))
-    facts = corpus_facts(corpus)
-    post = postings(corpus).join(q.select("term").distinct(), "term", "left_semi")
+    q = materialise(q, "query-terms")
+    cut = materialise(corpus.select("id", tokens("text").alias("t")).select("id", "t", F.size("t").alias("doc_len")), "corpus-tokens")
+    facts = cut.agg(F.struct(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))).scalar()
+    hits = cut.select("id", "doc_len", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    post = materialise(hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), "postings")
     stats = term_stats(post, facts["n"])
     qt = q.join(stats, "term").withColumn("avg_len", facts["avg_len"])
     joined = salted_join(post, qt, ["term"], "id")

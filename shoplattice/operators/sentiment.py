@@ -1,6 +1,7 @@
 """Review sentiment: weak labels, text model, aspects from clauses, product rollups."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -133,7 +134,8 @@ def clause_table(reviews: DataFrame) -> DataFrame:
 
 
 def aspect_mentions(clause_rows: DataFrame, score: str | None = None) -> DataFrame:
-    """(id, pos, aspect, polarity, strength) for every clause that mentions an aspect.
+    """(id, pos, aspect, polarity, strength) for every clause that mentions an aspect. Clauses without any aspect's keyword
+    leave after one pattern match.
 
     Phrase evidence wins with strength 1; otherwise the clause score (0 without a
     model) is flipped under negation and cut at +-0.10. Lexicon tests are column
@@ -141,7 +143,8 @@ def aspect_mentions(clause_rows: DataFrame, score: str | None = None) -> DataFra
     """
     text = F.col("clause")
     s = F.col(score) if score else F.lit(0.0)
-    rows = clause_rows.withColumn("_e", F.when(contains_any(text, NEGATION_TERMS), -s).otherwise(s))
+    any_keyword = "|".join(sorted({re.escape(k) for keywords, _, _ in ASPECT_LEXICON.values() for k in keywords}))
+    rows = clause_rows.where(text.rlike(any_keyword)).withColumn("_e", F.when(contains_any(text, NEGATION_TERMS), -s).otherwise(s))
     found = []
     for aspect, (keywords, positive, negative) in ASPECT_LEXICON.items():
         lexical = _lexicon_polarity(text, positive, negative)

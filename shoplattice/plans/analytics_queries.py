@@ -35,7 +35,7 @@ FROM cur, prv, rep, se"""
 
 @query("agg_01_business_metrics", BUSINESS_SQL)
 def _(t):
-    return A.business_metrics(t.orders, t.session_events, t.users, t.products, t.orders_as_of, t.events_as_of)
+    return A.business_metrics(t.orders, t.events, t.users, t.products, t.orders_as_of, t.events_as_of)
 
 
 @query("agg_02_revenue_timeseries", f"""

@@ -13,7 +13,7 @@ def dashboard(t, days: int = 30) -> dict[str, DataFrame]:
     """Every dashboard section as a lazy DataFrame."""
     shown = attribution.attribute(t.impressions, t.events)
     return {
-        "business": A.business_metrics(t.orders, t.session_events, t.users, t.products, t.orders_as_of, t.events_as_of, days),
+        "business": A.business_metrics(t.orders, t.events, t.users, t.products, t.orders_as_of, t.events_as_of, days),
         "recommendation": A.recommendation_metrics(shown, t.events_as_of, days),
         "by_strategy": A.ctr_by_strategy(shown, t.events_as_of, days),
         "search": A.search_metrics(t.search_events, t.events_as_of, days),
