@@ -380,7 +380,7 @@ def hybrid_topk(user_rows: DataFrame, item_rows: DataFrame, k: int = 10, weights
         for g, w in enumerate(options):
             score = (w["collaborative"] * coll + w["content"] * cont + w["popularity"] * blend[None, :]
                      + w["personalization"] * pers + w["business"] * bus[None, :]) * damp
-            key = np.where(seen, np.iinfo(np.int64).min, np.rint(np.round(score, 6) * 1e6).astype(np.int64) * n + after[None, :])
+            key = np.where(seen, -(1 << 62), np.rint(np.round(score, 6) * 1e6).astype(np.int64) * n + after[None, :])
             best = np.argpartition(-key, few - 1, axis=1)[:, :few] if few < n else np.broadcast_to(np.arange(n), key.shape)
             row = np.broadcast_to(np.arange(len(us))[:, None], best.shape)
             open_ = ~seen[row, best]

@@ -212,3 +212,38 @@ def test_rates_stay_in_unit_interval(spark, tables):
     for section, cols in (("recommendation", ("ctr", "conversion_rate")), ("search", ("ctr", "zero_result_rate"))):
         row = d[section].first()
         assert all(0 <= row[c] <= 1 for c in cols)
+
+
+def test_hybrid_ranking_against_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    users, items, k = 50, 80, 7
+    combos = [f"{c}|{b}" for c in range(4) for b in range(3)]
+    item_rows = [(int(i * 3), float(rng.random()), float(rng.random()), float(rng.integers(0, 2)), combos[rng.integers(12)],
+                  rng.normal(size=4).tolist() if i % 9 else None, rng.normal(size=3).tolist()) for i in range(items)]
+    user_rows = [(u, rng.normal(size=4).tolist() if u % 7 else None, rng.normal(size=3).tolist() if u % 5 else None,
+                  {int(p): float(rng.random()) for p in rng.choice(items, 6, replace=False) * 3} if u % 3 else None,
+                  {c: float(rng.random()) for c in combos[:5]} if u % 4 else None, [int(p) for p in rng.choice(items, 9, replace=False) * 3] if u % 6 else None) for u in range(users)]
+    it = spark.createDataFrame(item_rows, "id long, blend double, business double, availability double, combo string, latent array<double>, content array<double>")
+    us = spark.createDataFrame(user_rows, recommend.USER_SCHEMA)
+    weights = {"collaborative": 0.4, "content": 0.3, "popularity": 0.2, "personalization": 0.1, "business": 0.05}
+    got = {}
+    for r in recommend.hybrid_topk(us, it, k, weights, block_rows=16).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append((r["product_id"], round(r["score"], 6)))
+
+    def scale(x):
+        return np.zeros_like(x) if x.max() - x.min() < 1e-9 else (x - x.min()) / (x.max() - x.min())
+
+    blend = np.array([r[1] for r in item_rows])
+
+    def without_popularity(x):
+        return scale(x - ((x - x.mean()) * (blend - blend.mean())).sum() / ((blend - blend.mean()) ** 2).sum() * blend)
+
+    for u, latent, profile, cf, personal, history in user_rows:
+        raw = [np.array([np.dot(latent, r[5]) if latent and r[5] else 0.0 for r in item_rows]), np.array([(cf or {}).get(r[0], 0.0) for r in item_rows]),
+               np.array([np.dot(profile, r[6]) if profile else 0.0 for r in item_rows]), np.array([(personal or {}).get(r[4], 0.0) for r in item_rows])]
+        lat, near, content, own = map(scale, raw)
+        coll = without_popularity(0.6 * lat + 0.4 * near if history else lat)
+        score = (0.4 * coll + 0.3 * without_popularity(content) + 0.2 * blend + 0.1 * own + 0.05 * np.array([r[2] for r in item_rows])) * (0.35 + 0.65 * np.array([r[3] for r in item_rows]))
+        best = sorted((-round(float(s), 6), r[0]) for s, r in zip(score, item_rows) if r[0] not in (history or []))[:k]
+        assert [i for i, _ in got[u]] == [i for _, i in best]
+        assert all(abs(a + b) < 2e-6 for (_, a), (b, _) in zip(got[u], best))
