@@ -316,9 +316,7 @@ def _(t):
 
 @query("rc_24_weight_grid")
 def _(t):
-    recent = materialise(P.last_events(t.events, t.products), "grid-recent")
-    affinities = P.affinity(recent, "category_id", t.events_as_of), P.affinity(recent, "brand_id", t.events_as_of)
-    grid = E.weight_grid(t.events, t.products, t.events_as_of, t.vectors, affinities)
+    grid = E.weight_grid(t.events, t.products, t.events_as_of, t.vectors)
     return grid.select("grid_id", "evaluated_users", F.round("ndcg", 5).alias("ndcg"), *[F.col(n).alias(f"w_{n}") for n in E.RECOMMENDER_WEIGHTS], "chosen")
 
 
