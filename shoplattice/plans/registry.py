@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoplattice.sources.tables import Tables
 
@@ -30,12 +30,14 @@ def runnable(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-_FITTED: dict[tuple[str, str, str], object] = {}
+_FITTED: dict[tuple[str, int, str], object] = {}
 
 
 def fitted_once(t: Tables, name: str, build: Callable[[Tables], object]) -> object:
-    """Train a model once per session and dataset and let every query score with it."""
-    key = (t.spark.sparkContext.applicationId, t.path, name)
+    """Train a model once per session and state of the dataset's files and let every query score with it."""
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(t.path).select("path", "modificationTime", "length")
+    state = files.agg(F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()[0]
+    key = (t.spark.sparkContext.applicationId, state, name)
     if key not in _FITTED:
         _FITTED[key] = build(t)
     return _FITTED[key]

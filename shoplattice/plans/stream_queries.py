@@ -10,13 +10,14 @@ from shoplattice.plans.registry import query
 from shoplattice.streaming import events as ST
 
 
-def stream(t):
-    return ST.event_stream(t.spark, t.path)
+def stream(t, repeat: str | None = None):
+    """The event table, delivered in four slices of time and read one slice a trigger."""
+    return ST.event_stream(t.spark, ST.time_slices(t.raw("events"), repeat=repeat))
 
 
 @query("st_01_ingest", """SELECT CASE WHEN event_type IN ('signup', 'error') THEN 'Unknown event_type ''' || event_type || '''.' ELSE 'accepted' END AS reason, count(*) AS n FROM events GROUP BY 1""")
 def _(t):
-    raw = stream(t).withColumn("event_type", F.when(F.col("raw_type") == "view", "product_view").otherwise(F.col("raw_type"))).drop("raw_type")
+    raw = stream(t, repeat="30 minutes").withColumn("event_type", F.when(F.col("raw_type") == "view", "product_view").otherwise(F.col("raw_type"))).drop("raw_type")
     good, bad = ST.ingest(raw, t.products, t.users)
     a = t.spark.read.parquet(good).select(F.lit("accepted").alias("reason"))
     return a.unionByName(t.spark.read.parquet(bad).select("reason")).groupBy("reason").agg(F.count("*").alias("n"))

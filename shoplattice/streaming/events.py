@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,10 +13,29 @@ from shoplattice.session import work_dir
 LATENESS = "1 hour"
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def time_slices(raw: DataFrame, parts: int = 4, repeat: str | None = None) -> str:
+    """Write raw events into a folder as slices of time, one after another, as a collector would deliver them; with
+    ``repeat`` (an interval) each slice delivers the end of the one before it again."""
+    folder = work_dir(raw.sparkSession, "slices")
+    events = raw.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span["lo"] is None:
+        events.write.mode("append").parquet(folder)
+        return folder
+    edges = [span["lo"] + (span["hi"] - span["lo"]) * n / parts for n in range(parts)] + [span["hi"] + timedelta(seconds=1)]
+    for low, high in zip(edges, edges[1:]):
+        start = F.lit(low.isoformat(sep=" ")).cast("timestamp_ntz")
+        since = start - F.expr(f"interval {repeat}") if repeat and low != edges[0] else start
+        events.where((F.col("ts") >= since) & (F.col("ts") < F.lit(high.isoformat(sep=" ")).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
     """Parquet folder as a stream with the logical event columns and an event-time timestamp."""
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     kind = F.col("event_type")
     mapped = (F.when(kind == "view", "product_view").when((kind == "click") & (F.col("event_id") % 10 == 0), "wishlist")
               .when(kind == "signup", "add_to_cart").when(kind == "error", "remove_from_cart").otherwise(kind))
@@ -56,10 +76,13 @@ def ingest(stream: DataFrame, products: DataFrame, users: DataFrame, dedupe_with
     clean = stream.withWatermark("occurred_at", dedupe_within).dropDuplicatesWithinWatermark(["id"]) if dedupe_within else stream
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_events(batch, products, users)
-        accepted, rejected = split_valid(checked)
-        accepted.write.mode("overwrite").parquet(f"{good}/part={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{bad}/part={batch_id}")
+        checked = validate_events(batch, products, users).persist()  # the stateful batch runs once for both folders
+        try:
+            accepted, rejected = split_valid(checked)
+            accepted.write.mode("overwrite").parquet(f"{good}/part={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{bad}/part={batch_id}")
+        finally:
+            checked.unpersist()
 
     query = clean.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
@@ -131,13 +154,18 @@ def late_rows(events: DataFrame, delay_minutes: int = 60, bucket: str = "hour")
     """Batch twin of the watermark: rows older than the newest earlier arrival minus the delay.
 
     Arrival order is the id. A running maximum over everything would need one
-    task, so arrivals are cut into id ranges: the maximum of earlier ranges is a
-    prefix maximum over one row per range, the rest is a window inside a range.
+    task, so arrivals are cut into id ranges and those into wider ranges, each a
+    thousand times the one below: an ordered window never holds more than the
+    rows of one range, or the summaries of one wider range, until a few are left.
     """
     from pyspark.sql import Window as W
-    cut = events.withColumn("_r", F.floor(F.col("id") / 10_000)).withColumn("_us", F.unix_micros(F.col("occurred_at").cast("timestamp")))
-    per = cut.groupBy("_r").agg(F.max("_us").alias("_m"))
-    before = per.withColumn("_base", F.max("_m").over(W.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(W.unboundedPreceding, -1))).drop("_m")
-    inner = F.max("_us").over(W.partitionBy("_r").orderBy("id").rowsBetween(W.unboundedPreceding, -1))
-    seen = cut.withColumn("_in", inner).join(before, "_r").withColumn("_seen", F.greatest("_in", "_base"))
+    cut = events.withColumns({"_r": F.floor(F.col("id") / 1000), "_us": F.unix_micros(F.col("occurred_at").cast("timestamp"))})
+    before = lambda value, part, order: F.max(value).over(W.partitionBy(part).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    per = cut.groupBy("_r").agg(F.max("_us").alias("_m")).withColumn("_w", F.floor(F.col("_r") / 1000))
+    wide = per.groupBy("_w").agg(F.max("_m").alias("_m")).withColumn("_t", F.floor(F.col("_w") / 1000))
+    top = wide.groupBy("_t").agg(F.max("_m").alias("_m"))
+    top = top.select("_t", before("_m", F.lit(1), "_t").alias("_b"))
+    wide = wide.join(top, "_t").select("_w", F.greatest(before("_m", "_t", "_w"), "_b").alias("_b"))
+    per = per.join(wide, "_w").select("_r", F.greatest(before("_m", "_w", "_r"), "_b").alias("_base"))
+    seen = cut.withColumn("_in", before("_us", "_r", "id")).join(per, "_r").withColumn("_seen", F.greatest("_in", "_base"))
     return seen.where(F.col("_us") < F.col("_seen") - delay_minutes * 60_000_000).drop("_r", "_us", "_in", "_base", "_seen")

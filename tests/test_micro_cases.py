@@ -247,3 +247,10 @@ def test_hybrid_ranking_against_plain_loops(spark):
         best = sorted((-round(float(s), 6), r[0]) for s, r in zip(score, item_rows) if r[0] not in (history or []))[:k]
         assert [i for i, _ in got[u]] == [i for _, i in best]
         assert all(abs(a + b) < 2e-6 for (_, a), (b, _) in zip(got[u], best))
+
+
+def test_streams_run_in_several_batches(spark, tables):
+    from shoplattice.streaming import events as ST
+    stream = ST.event_stream(spark, ST.time_slices(tables.raw("events")))
+    table = ST.run_to_table(ST.last_active(stream), "active", "update")
+    assert table.select("batch_id").distinct().count() >= 3
