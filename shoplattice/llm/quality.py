@@ -107,22 +107,31 @@ def measure(docs: DataFrame) -> DataFrame:
 def estimate(patterns: list[tuple[str, int]], rounds: int = 100) -> tuple[float, list[float], dict[str, float]]:
     """Share of good documents, accuracy of each rule and posterior of each vote pattern, by expectation-maximisation.
 
-    A rule that votes is right with its accuracy, for good and bad documents alike, and rules err independently. The
-    start is the balance of the votes; accuracies stay in [0.55, 0.99], so a rule can't turn into its opposite, and the
-    share of good documents stays in [0.05, 0.95]."""
+    Each rule has a rate of good votes, bad votes and abstentions among good documents, and another among bad ones; rules
+    err independently. So a rule that approves of nearly everything says little, and one that seldom rejects good
+    documents says much when it rejects. The start takes documents without a bad vote for good ones and halves the belief
+    with every bad vote. A rule's accuracy is the share of its votes that agree with the posterior; rules that reject more
+    of the good documents than of the bad ones keep the same rate for both, so that no rule turns into its opposite."""
     if not patterns:
         return 0.5, [], {}
-    signs = np.array([[{"+": 1, "-": -1, "0": 0}[v] for v in votes] for votes, _ in patterns], float)
     weight = np.array([n for _, n in patterns], float)
-    voted, good = np.abs(signs), (signs > 0).astype(float)
-    posterior = (good.sum(1) + 0.5) / (voted.sum(1) + 1)
+    votes = np.array([["+-0".index(v) for v in pattern] for pattern, _ in patterns])
+    cast = np.eye(3)[votes]  # pattern, rule, kind of vote
+    posterior = 0.95 * 0.5 ** (votes == 1).sum(1)
     for _ in range(rounds):
         share = float(np.clip((weight * posterior).sum() / weight.sum(), 0.05, 0.95))
-        agreed = np.where(signs > 0, posterior[:, None], 1 - posterior[:, None]) * voted
-        accuracy = np.clip((weight @ agreed + 0.7) / (weight @ voted + 1), 0.55, 0.99)
-        odds = np.log(share / (1 - share)) + signs @ np.log(accuracy / (1 - accuracy))
-        posterior = 1 / (1 + np.exp(-odds))
-    return share, accuracy.tolist(), {votes: float(p) for (votes, _), p in zip(patterns, posterior)}
+        rates = []
+        for belief in (posterior, 1 - posterior):
+            total = np.einsum("p,prk->rk", weight * belief, cast) + np.array([1.0, 1.0, 1.0])
+            rates.append(total / total.sum(1, keepdims=True))
+        good, bad = rates
+        turned = good[:, 1] > bad[:, 1]
+        bad = np.where(turned[:, None], good, bad)
+        odds = np.log(share / (1 - share)) + (cast * np.log(good / bad)).sum((1, 2))
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+    agreed = weight @ np.where(votes == 0, posterior[:, None], np.where(votes == 1, 1 - posterior[:, None], 0))
+    accuracy = (agreed + 0.5) / (weight @ (votes < 2) + 1)
+    return share, accuracy.tolist(), {pattern: float(p) for (pattern, _), p in zip(patterns, posterior)}
 
 
 def score(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
