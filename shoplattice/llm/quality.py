@@ -104,8 +104,9 @@ def measure(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {counts}, votes string")
 
 
-def estimate(patterns: list[tuple[str, int]], rounds: int = 100) -> tuple[float, list[float], dict[str, float]]:
-    """Share of good documents, accuracy of each rule and posterior of each vote pattern, by expectation-maximisation.
+def estimate(patterns: list[tuple[str, int]], rounds: int = 1000) -> tuple[float, list[float], dict[str, float]]:
+    """Share of good documents, accuracy of each rule and posterior of each vote pattern, by expectation-maximisation
+    until nothing changes (``rounds`` at most).
 
     Each rule has a rate of good votes, bad votes and abstentions among good documents, and another among bad ones; rules
     err independently. So a rule that approves of nearly everything says little, and one that seldom rejects good
@@ -128,7 +129,9 @@ def estimate(patterns: list[tuple[str, int]], rounds: int = 100) -> tuple[float,
         turned = good[:, 1] > bad[:, 1]
         bad = np.where(turned[:, None], good, bad)
         odds = np.log(share / (1 - share)) + (cast * np.log(good / bad)).sum((1, 2))
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        if np.abs(posterior - before).max() < 1e-9:
+            break
     agreed = weight @ np.where(votes == 0, posterior[:, None], np.where(votes == 1, 1 - posterior[:, None], 0))
     accuracy = (agreed + 0.5) / (weight @ (votes < 2) + 1)
     return share, accuracy.tolist(), {pattern: float(p) for (pattern, _), p in zip(patterns, posterior)}
