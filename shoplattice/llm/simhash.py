@@ -59,52 +59,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def signatures(classes: DataFrame) -> DataFrame:
     """One row per distinct fingerprint and signature: segment, wiped bit (32: none) and the segment's other bits, packed
-    into one long without loss."""
+    into one long without loss, and ``side``, the wiped bit's value (2: none wiped)."""
     segments = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
     rows = []
     for number, segment in enumerate(segments):
         for bit in range(33):
             left = segment if bit == 32 else segment.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << bit)))
-            rows.append(left + F.lit(((number * 33 + bit) << 32)))
-    return classes.select("fp", F.explode(F.array(*rows)).alias("signature"))
-
-
-def _forest(members: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected at ``most`` differing bits among ``members``, one fewer than each tree has nodes."""
-    links, rest = [], members
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            node = queue.pop()
-            near = np.bitwise_count(rest ^ node) <= most
+            side = F.lit(2) if bit == 32 else F.shiftrightunsigned(segment, bit).bitwiseAND(F.lit(1)).cast("int")
+            rows.append(F.struct((left + F.lit((number * 33 + bit) << 32)).alias("signature"), side.alias("side")))
+    return classes.select("fp", F.explode(F.array(*rows)).alias("s")).select("fp", "s.signature", "s.side")
+
+
+def _forest(some: np.ndarray, others: np.ndarray | None, most: int) -> list[tuple[int, int]]:
+    """Links that connect what pairs at ``most`` differing bits connect, fewer than there are nodes: pairs among ``some``,
+    or with ``others`` pairs of one from each."""
+    links, rest = [], [some] if others is None else [some, others]
+    across = len(rest) - 1
+    while all(map(len, rest)):
+        queue, rest[0] = [(rest[0][0], across)], rest[0][1:]  # a node and the side on which its partners are
+        while queue:
+            node, side = queue.pop()
+            near = np.bitwise_count(rest[side] ^ node) <= most
             if near.any():
-                found, rest = rest[near], rest[~near]
+                found, rest[side] = rest[side][near], rest[side][~near]
                 links += [(int(node), int(other)) for other in found]
-                queue += list(found)
+                queue += [(other, across - side) for other in found]
     return links
 
 
 def links(classes: DataFrame, most: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all pairs with ``most`` or fewer differing
-    bits; ``most`` may be up to 3, for which two segments are enough."""
+    bits; ``most`` may be up to 3, for which two segments are enough.
+
+    Fingerprints with an equal segment meet under its exact value alone; under a wiped bit only those meet that differ in
+    that bit, so a dense cluster isn't compared once for each of its common signatures."""
     if not 0 <= most <= 3:
         raise ValueError("two segments with one wiped bit find at most 3 differing bits")
     signed = signatures(classes)
-    shared = signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    counts = signed.groupBy("signature").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
+    shared = counts.where("n > 1 and (low = 2 or low <> high)").select("signature", "n")
     members = signed.join(shared, "signature")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = members.select("signature", "fp", blocks.alias("blocks"), mine.alias("mine")).select(
-        "signature", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "mine")
-    groups = dealt.groupBy("signature", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).agg(F.collect_set("fp").alias("fps"))
+    dealt = members.select("signature", "side", "fp", blocks.alias("blocks"), mine.alias("mine")).select(
+        "signature", "side", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "mine")
+    groups = dealt.groupBy("signature", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")).agg(
+        F.collect_set(F.when(F.col("side") != 1, F.col("fp"))).alias("some"), F.collect_set(F.when(F.col("side") == 1, F.col("fp"))).alias("others"),
+        F.max("side").alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {link for fps in batch.column("fps").to_pylist() for link in _forest(np.array(fps, "<i8").view("<u8"), most)}
+            found: set[tuple[int, int]] = set()
+            for some, others, side in zip(*(batch.column(c).to_pylist() for c in ("some", "others", "side"))):
+                either = np.array(others, "<i8").view("<u8") if side != 2 else None
+                found.update(_forest(np.array(some, "<i8").view("<u8"), either, most))
             pairs = np.array(sorted(found), "<u8").reshape(-1, 2).view("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.where(F.size("fps") > 1).select("fps").mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.where(F.size("some") + F.size("others") > 1).select("some", "others", "side").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(pairs: DataFrame, label: str = "components") -> DataFrame:
