@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,21 +177,19 @@ def _chosen(training: DataFrame, categories: list[str]) -> dict[str, int]:
     return chosen
 
 
-class _Columns(dict):
-    """Feature columns of words met before."""
+class _Columns:
+    """Feature columns of texts: all features are looked for at once in a text's distinct words."""
 
     def __init__(self, features: dict[str, int]):
-        super().__init__()
-        self.features = features
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > _FLUSH:
-            self.clear()
-        found = self[word] = tuple(self.features[g] for g in grams(word) if g in self.features)
-        return found
+        self.automaton = ahocorasick.Automaton()
+        for gram, column in features.items():
+            self.automaton.add_word(gram, column)
+        self.automaton.make_automaton()
 
     def of(self, text: str) -> list[int]:
-        return sorted({c for columns in map(self.__getitem__, words_of(text)) if columns for c in columns})
+        if not len(self.automaton):
+            return []
+        return sorted({column for _, column in self.automaton.iter(f"<{'><'.join(words_of(text))}>")})
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int = MAX_TRAINING) -> Chain:
