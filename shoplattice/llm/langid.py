@@ -1,6 +1,6 @@
 """Language spans of mixed-language text: script ranges narrow the candidates, then Viterbi over per-word scores.
 
-Learned from texts with a known language: per language, hashed character grams of all words (a fixed number of bins, so
+Learned from texts with a known language: per language, hashed runs of one to three characters of all words (a fixed number of bins, so
 the model's size depends on the languages alone) and the scripts its letters use. A word's candidates are the languages
 that use its script; its score under each is the sum of its grams' log-likelihoods. The best path over the words pays a
 penalty for each change of language, so that single odd words don't split a span.
@@ -12,16 +12,18 @@ learning, lang are read.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplattice.llm.common import slices
+
 BINS = 1 << 15
 SWITCH_PENALTY = 6.0
 UNKNOWN = "und"
@@ -41,17 +43,30 @@ SCRIPTS: tuple[tuple[str, int, int], ...] = (
 _NAMES = sorted({name for name, _, _ in SCRIPTS}) + ["other"]
 
 
-def script(word: str) -> int:
-    """The script of the word's first letter."""
-    point = ord(word[0])
-    return _NAMES.index(next((name for name, first, last in SCRIPTS if first <= point <= last), "other"))
+_FIRST, _LAST, _SCRIPT = (np.array(c) for c in zip(*sorted((first, last, _NAMES.index(name)) for name, first, last in SCRIPTS)))
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def scripts(words: list[str]) -> np.ndarray:
+    """The script of each word's first letter."""
+    points = np.array([ord(w[0]) for w in words], np.int64)
+    at = np.maximum(np.searchsorted(_FIRST, points, side="right") - 1, 0)
+    return np.where((points >= _FIRST[at]) & (points <= _LAST[at]), _SCRIPT[at], len(_NAMES) - 1)
 
 
-def grams(word: str) -> list[int]:
-    """Bins of the word and of its runs of one to four characters, with its ends marked."""
-    marked = f"<{word}>"
-    parts = {marked[at:at + size] for size in (1, 2, 3, 4) for at in range(len(marked) - size + 1)}
-    return [zlib.crc32(part.encode("utf-8", "surrogatepass")) % BINS for part in sorted(parts | {marked})]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of all words' runs of one to three characters, with the words' ends marked, and the word of each bin."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    word, stop = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    place = np.arange(len(points))
+    bins, owners, run = [], [], np.zeros(len(points), np.uint64)
+    for size in (1, 2, 3):
+        run = run[:len(points) - size + 1] + points[size - 1:] * _MIX[size - 1]
+        inside = place[:len(run)] + size <= stop[:len(run)]
+        bins.append(((run[inside] * _MIX[0] + np.uint64(size)) * _MIX[1] >> np.uint64(40)).astype(np.int64) % BINS)
+        owners.append(word[:len(run)][inside])
+    return np.concatenate(bins), np.concatenate(owners)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -75,10 +90,12 @@ def learn(labelled: DataFrame) -> Model:
         bins: dict[str, np.ndarray] = {}
 
         def add(lang: str) -> None:
-            total = bins.setdefault(lang, np.zeros(BINS + len(_NAMES), np.int64))
-            for word, n in seen[lang].items():
-                np.add.at(total, grams(word), n)
-                total[BINS + script(word)] += n * len(word)
+            words, n = list(seen[lang]), np.fromiter(seen[lang].values(), np.int64, len(seen[lang]))
+            if words:
+                total = bins.setdefault(lang, np.zeros(BINS + len(_NAMES)))
+                at, owner = grams(words)
+                total[:BINS] += np.bincount(at, n[owner], BINS)
+                total[BINS:] += np.bincount(scripts(words), n * np.array([len(w) for w in words]), len(_NAMES))
             seen[lang].clear()
 
         for batch in batches:
@@ -91,7 +108,7 @@ def learn(labelled: DataFrame) -> Model:
             add(lang)
         for lang, total in bins.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at].astype(np.int64))], ["lang", "bin", "n"])
 
     counted = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null").mapInArrow(run, "lang string, bin bigint, n bigint")
     rows = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # BINS rows a language at most
@@ -105,23 +122,17 @@ def learn(labelled: DataFrame) -> Model:
     return Model(languages, weights.astype(np.float32), uses)
 
 
-class _Scores(dict):
-    """Row of each word in the task's table of scores; words without candidates count for all languages alike."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows, self.sizes = model, [], []
-
-    def __missing__(self, word: str) -> int:
-        bins = grams(word)
-        scores = self.model.weights[bins].mean(0) * min(len(bins), 12)
-        can = self.model.uses[script(word)]
-        if can.any():
-            scores = np.where(can, scores, scores[can].min() - 20)
-        self.rows.append(scores - scores.max())
-        self.sizes.append(len(word))
-        row = self[word] = len(self.rows) - 1
-        return row
+def word_scores(words: list[str], model: Model) -> np.ndarray:
+    """Score of each word under each language, the best one zero. Languages that don't use the word's script fall behind
+    all that do; a script that no language uses decides nothing."""
+    at, owner = grams(words)
+    counts = np.bincount(owner, minlength=len(words))
+    means = np.column_stack([np.bincount(owner, model.weights[at, lang], len(words)) for lang in range(len(model.languages))]) / counts[:, None]
+    scores = means * np.minimum(counts, 12)[:, None]
+    can = model.uses[scripts(words)]
+    barred = ~can & can.any(1)[:, None]
+    scores = np.where(barred, np.where(can, scores, np.inf).min(1, keepdims=True) - 20, scores)
+    return (scores - scores.max(1, keepdims=True)).astype(np.float32)
 
 
 def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -144,16 +155,15 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
     return path
 
 
-def label(texts: list[str | None], model: Model, memory: _Scores) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, its share of the letters, and the spans (first word, words, language) of each text."""
-    if len(memory) > WORD_MEMORY:
-        memory.clear()
-        memory.rows, memory.sizes = [], []
-    rows = [[memory[w] for w in words_of(text)] for text in texts] if model.languages else [[] for _ in texts]
+    number: dict[str, int] = defaultdict(count().__next__)
+    rows = [[number[w] for w in words_of(text)] for text in texts] if model.languages else [[] for _ in texts]
     found: list = [(UNKNOWN, 0.0, [])] * len(texts)
-    if not memory.rows:
+    if not number:
         return found
-    table, sizes = np.array(memory.rows, np.float32), np.array(memory.sizes)
+    words = list(number)
+    table, sizes = word_scores(words, model), np.array([len(w) for w in words])
     order = sorted((n for n in range(len(texts)) if rows[n]), key=lambda n: len(rows[n]))
     while order:
         longest = len(rows[order[-1]])
@@ -179,14 +189,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Scores(shared.value)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                found = label(part.column("text").to_pylist(), shared.value, memory)
-                spans = [[{"first_word": a, "words": n, "lang": lang} for a, n, lang in spans] for _, _, spans in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)],
-                                                 ["doc_id", "lang_pred", "score", "spans"])
+        for part in slices(batches, 2500):
+            found = label(part.column("text").to_pylist(), shared.value)
+            spans = [[{"first_word": a, "words": n, "lang": lang} for a, n, lang in spans] for _, _, spans in found]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)],
+                                             ["doc_id", "lang_pred", "score", "spans"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>")
