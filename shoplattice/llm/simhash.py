@@ -158,7 +158,11 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
     """The rows of ``docs`` with one row left of each component: that of the smallest doc_id (nulls last, then by a hash of
     the text); of repeated rows one stays."""
-    prints, rooted = _rooted(docs, most)
+    return first_rows(docs, *_rooted(docs, most))
+
+
+def first_rows(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` leaves: ``prints`` has doc_id, fp and mark of each row, ``rooted`` fp and root."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
     chosen = prints.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(
         F.col("first.null").alias("__null"), F.coalesce("first.id", F.lit(-1)).alias("__id"), F.col("first.mark").alias("__mark")).distinct()

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from shoplattice.llm import bpe, decontam, hosts, queries, simhash, toxicity
+from shoplattice.llm import bpe, decontam, hosts, nearcopies, queries, simhash, toxicity
 from tests.conftest import DATA
 from tests.llm import brute
 from tests.oracle import connection, rows as cells
@@ -203,6 +203,28 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert got == {i: (encoder.encode(t), len(encoder.encode(t)) // 4, t) for i, t in state.items()}
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, block):
+    """Copies with changed words, 0.8 alike on five-word shingles but over 3 bits of SimHash apart."""
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    rows = [(900, None), (901, " "), (902, "few words"), (903, "FEW  words"), (904, "few other words")]
+    for n in range(12):
+        base = [word() for _ in range(200)]
+        for copy in range(7):
+            changed = list(base)
+            for at in draw.sample(range(200), copy * 2):
+                changed[at] = word()
+            rows.append((n * 10 + copy, " ".join(changed)))
+    sets = [set(zip(*(w[at:] for at in range(5)))) if len(w) > 5 else {tuple(w)} for _, t in rows for w in [(t or "").lower().split()]]
+    roots = brute.groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    want = {rows[n][0] for n in set(roots)}
+    assert len(want) < len(set(brute.groups([brute.simhash(t) for _, t in rows], brute.near)))
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_sql(spark, name):
     got = entry.queries()[name](spark, DATA).toPandas()
