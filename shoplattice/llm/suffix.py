@@ -15,9 +15,14 @@ into single strings, which need only be counted. No case is capped or dropped.
 
 Defined results: null text is empty; texts shorter than ``repeat`` have no repeats; repeated rows repeat each other;
 matches never cross documents; rows with a null doc_id take part like others.
+
+With ``words``, passages of so many words are found in the same way whatever their bytes: each word becomes a code of
+``CODE`` bytes, and strings of ``words`` codes are looked for in the coded texts. A match between two codes would need a
+code's bytes to agree by chance, so a passage of one word less isn't taken.
 """
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +43,11 @@ GRAM = 100
 GROUP = 2048
 #: Starts of the strings in one block of a frequent key.
 BLOCK = 32
+#: Bytes that stand for a word, and words of the gram that anchors a passage.
+CODE = 8
+WORD_GRAM = 13
+_WORD = re.compile(rb"\S+")
+_CODES = 400_000
 _SLAB = 1 << 18
 _PLACE = (1 << 20) - 1
 _ODD = 0x9E3779B97F4A7C15
@@ -307,7 +317,10 @@ def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
     starts elsewhere, in this document or another. Stretches may overlap."""
     if repeat > 1023 or gram >= repeat:
         raise ValueError("frames hold strings of at most 1023 bytes, longer than their gram")
-    numbered = _numbered(docs)
+    return _spans(_numbered(docs), repeat, gram)
+
+
+def _spans(numbered: DataFrame, repeat: int, gram: int) -> DataFrame:
     members = materialise(_all_frames(numbered, repeat, gram), "frames")
     classes = members.groupBy("key", "body").agg(F.min(F.struct("did", "tag", "place")).alias("rep"), (F.count("*") > 1).alias("copies"))
     classes = materialise(_sized(classes).select("key", "body", "m", "copies", "rep.*"), "frame-classes")
@@ -326,24 +339,64 @@ def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
     return covered.groupBy("did", "tag").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+class _Codes(dict):
+    """Codes of words seen before, a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _CODES:
+            self.clear()
+        code = self[word] = xxhash.xxh64_digest(word)
+        return code
+
+
+def word_spans(docs: DataFrame, words: int) -> DataFrame:
+    """As ``spans``, for passages of ``words`` words or more that also start elsewhere; stretches are counted in bytes of the
+    coded text."""
+    numbered = _numbered(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for batch in slices(batches):
+            coded = pa.array([b"".join(map(codes.__getitem__, _WORD.findall(text))) for text in utf8(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tag"), coded], ["did", "tag", "text"])
+
+    if words <= WORD_GRAM or words * CODE > 1023:
+        raise ValueError("passages are longer than their gram and fit into a frame")
+    return _spans(numbered.mapInArrow(run, "did bigint, tag int, text binary"), words * CODE, WORD_GRAM * CODE)
+
+
+def in_bytes(text: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of the coded text as stretches of the text: all words that lie whole in them, with what is between."""
+    if not coded:
+        return []
+    places = [match.span() for match in _WORD.finditer(text)]
+    return [(places[-(-start // CODE)][0], places[stop // CODE - 1][1]) for start, stop in coded]
+
+
+def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, as_text: bool = False, words: int | None = None) -> DataFrame:
     """``docs`` without text and with ``cut``, a struct of ``kept`` (the bytes left, or with ``as_text`` the text that they
     are, without characters of which a part was removed), n_bytes, n_removed and n_spans (maximal removed runs);
-    a column of docs that has this name is left out."""
+    a column of docs that has this name is left out. With ``words``, repeated passages of so many words go too."""
     names = [c for c in docs.columns if c not in ("cut", "text")]
     keyed = docs.select(*names, "text").withColumns({
         "__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__tag": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     found = spans(docs, repeat, gram).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    joined = _packed(keyed, [*names, "__did", "__tag"]).join(found, ["__did", "__tag"], "left").select(*names, "__packed", "__spans")
+    if words is None:
+        found = found.withColumn("__words", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>"))
+    else:
+        passages = word_spans(docs, words).select(F.col("did").alias("__did"), F.col("tag").alias("__tag"), F.col("spans").alias("__words"))
+        found = found.join(passages, ["__did", "__tag"], "full")
+    joined = _packed(keyed, [*names, "__did", "__tag"]).join(found, ["__did", "__tag"], "left").select(*names, "__packed", "__spans", "__words")
     kind = pa.struct([("kept", pa.string() if as_text else pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
         for batch in slices(batches):
             rows = []
-            for packed, found in zip(batch.column("__packed").to_pylist(), batch.column("__spans").to_pylist()):
+            for packed, *found in zip(*(batch.column(c).to_pylist() for c in ("__packed", "__spans", "__words"))):
                 text = loosen.decompress(packed)
-                kept, removed, runs = cut(text, [(s["start"], s["stop"]) for s in found or []])
+                strings, passages = ([(s["start"], s["stop"]) for s in some or []] for some in found)
+                kept, removed, runs = cut(text, strings + in_bytes(text, passages))
                 rows.append({"kept": kept.decode("utf-8", "ignore") if as_text else kept, "n_bytes": len(text), "n_removed": removed, "n_spans": runs})
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], [*names, "cut"])
 

@@ -225,6 +225,18 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, block):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    draw = random.Random(23)
+    word = lambda size: "".join(draw.choices("abcdefghij", k=size))
+    own = [" ".join(word(7) for _ in range(60)) for _ in range(8)]
+    short, least, tiny = (" ".join(word(size) for _ in range(n)) for size, n in ((5, 50), (5, 51), (2, 51)))
+    assert len(least) < 400
+    rows = [(n, f"{own[2 * n]} {passage} {own[2 * n + 1]}") for n, passage in enumerate([short, least, tiny])] + [(3, f"{own[6]}\n{short} {least}  {tiny} é{own[7]}"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], 1: f"{own[2]}  {own[3]}", 2: f"{own[4]}  {own[5]}", 3: f"{own[6]}\n{short}    é{own[7]}", 4: ""}
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_sql(spark, name):
     got = entry.queries()[name](spark, DATA).toPandas()
