@@ -26,6 +26,8 @@ ROW = 4096
 BLOCK_TOKENS = 4_000_000
 #: Ids of the byte vocabulary: 0 to 255 are bytes.
 END, PAD = 256, 257
+#: Bytes of an id in the byte vocabulary and as the BPE encoder packs it.
+SHORT, LONG = 2, 4
 _ROWS = 200
 
 
@@ -89,11 +91,21 @@ def byte_ids(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def pack(documents: DataFrame, row: int = ROW, pad: int = PAD) -> DataFrame:
-    """Rows from documents (doc_id, ids as 16-bit integers): ``ids`` and ``positions`` (packed 16-bit integers, ``row`` of
-    them), ``cu_seqlens`` (0 and the end of each segment), and for each segment doc_id and its offset in the document."""
+def ended(encoded: DataFrame, end: int) -> DataFrame:
+    """doc_id and ``ids`` of the BPE encoder, with an end token after each document."""
+    mark = F.lit(bytearray(np.array([end], "<u4").tobytes()))
+    return encoded.select("doc_id", F.concat(F.coalesce("ids", F.lit(bytearray())), mark).alias("ids"))
+
+
+def pack(documents: DataFrame, row: int = ROW, pad: int = PAD, width: int = SHORT) -> DataFrame:
+    """Rows from documents (doc_id, ids as integers of ``width`` bytes): ``ids`` (``row`` of them, as wide) and ``positions``
+    (packed 16-bit integers), ``cu_seqlens`` (0 and the end of each segment), and for each segment doc_id and its offset in
+    the document."""
     if row > 1 << 16:
         raise ValueError("positions have 16 bits")
+    if width not in (SHORT, LONG) or pad >> 8 * width:
+        raise ValueError("ids have 2 or 4 bytes, which hold the padding")
+    ids_kind = f"<u{width}"
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = ["ids", "positions", "cu_seqlens", "doc_ids", "offsets"]
 
@@ -101,7 +113,7 @@ def pack(documents: DataFrame, row: int = ROW, pad: int = PAD) -> DataFrame:
         pieces = [(doc_id, ids[at:at + row], at) for doc_id, ids in held for at in range(0, len(ids), row)]
         for inside in best_fit_decreasing([len(ids) for _, ids, _ in pieces], row):
             ends = np.cumsum([0, *(len(pieces[p][1]) for p in inside)])
-            ids, positions = np.full(row, pad, "<u2"), np.zeros(row, "<u2")
+            ids, positions = np.full(row, pad, ids_kind), np.zeros(row, "<u2")
             for p, start, stop in zip(inside, ends, ends[1:]):
                 ids[start:stop] = pieces[p][1]
                 positions[start:stop] = np.arange(stop - start)
@@ -125,7 +137,7 @@ def pack(documents: DataFrame, row: int = ROW, pad: int = PAD) -> DataFrame:
         for batch in slices(batches):
             id_type = batch.column("doc_id").type
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                held.append((doc_id, np.frombuffer(ids.as_py() or b"", "<u2")))
+                held.append((doc_id, np.frombuffer(ids.as_py() or b"", ids_kind)))
                 tokens += len(held[-1][1])
                 if tokens >= BLOCK_TOKENS:
                     yield from batches_of(packed(held))
@@ -140,8 +152,8 @@ def write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def unpack(rows: DataFrame) -> DataFrame:
-    """doc_id, offset and ids of every segment: what was packed."""
+def unpack(rows: DataFrame, width: int = SHORT) -> DataFrame:
+    """doc_id, offset and ids (of ``width`` bytes) of every segment: what was packed."""
     segments = rows.select("ids", F.posexplode(F.arrays_zip("doc_ids", "offsets")).alias("nth", "segment"), "cu_seqlens")
     return segments.select(F.col("segment.doc_ids").alias("doc_id"), F.col("segment.offsets").alias("offset"), F.expr(
-        "substring(ids, 2 * cu_seqlens[nth] + 1, 2 * (cu_seqlens[nth + 1] - cu_seqlens[nth]))").alias("ids"))
+        f"substring(ids, {width} * cu_seqlens[nth] + 1, {width} * (cu_seqlens[nth + 1] - cu_seqlens[nth]))").alias("ids"))

@@ -60,7 +60,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pack(packing.byte_ids(_read(spark, sf_dir, "documents")))
+    path = public_tokenizers.path(RANKS)
+    end = 1 + max(bpe.lookup(path)[0].values())  # the first two ids after the vocabulary end a document and pad a row
+    encoded = bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    rows = packing.pack(packing.ended(encoded, end), pad=end + 1, width=packing.LONG)
     return rows.select(
         "doc_ids", "offsets", "cu_seqlens", F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"), F.size("doc_ids").cast("long").alias("n_segments"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))

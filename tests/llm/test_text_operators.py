@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from shoplattice.llm import bpe, langid, licences, packing, quality, suffix
+from shoplattice.llm import bpe, langid, licences, packing, quality, queries, suffix
 from tests.llm import brute
 
 SCHEMA = "doc_id bigint, text string, ids string, cut string, kept string, spans string, packed string"
@@ -141,6 +141,28 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack(packing.byte_ids(frame(spark, []))).count() == 0
 
 
+def test_packed_rows_hold_token_ids(spark, library, monkeypatch, tmp_path):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 9000)
+    rows = [(n, t) for n, (_, t) in enumerate(ODD)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    pack = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **b: seen.append(pack(*a, **b)) or seen[-1])
+    got = queries.op7_packing(spark, str(tmp_path)).collect()
+    end = 1 + max(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")).values())
+    want = {i: [*library.encode_ordinary(t or ""), end] for i, t in rows}
+    assert sum(r.n_tokens for r in got) == sum(map(len, want.values()))
+    parts: dict = {}
+    for r in sorted(packing.unpack(seen[0], packing.LONG).collect(), key=lambda r: r.offset):
+        parts.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert parts == want
+    with pytest.raises(ValueError):
+        pack(seen[0], pad=1 << 16)
+    wide = spark.createDataFrame([(1, bytearray(np.array([70000, 1], "<u4").tobytes()))], "doc_id bigint, ids binary")
+    row = pack(wide, 4, 99999, packing.LONG).first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [70000, 1, 99999, 99999] and row.cu_seqlens == [0, 2]
+
+
 def test_best_fit_takes_the_tightest_row():
     draw = random.Random(3)
     for _ in range(200):
