@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplattice.llm import bpe, decontam, hosts, langid, licences, packing, quality, simhash, suffix, toxicity
+from shoplattice.llm import (bpe, decontam, hosts, langid, licences, normbuckets, packing, quality, simhash, slicecodes, suffix, superkmers,
+                             toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The stated rules for urls.
@@ -85,6 +86,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = superkmers.remove_later_copies(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = slicecodes.compress(_read(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(slicecodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normbuckets.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_repeats": op1_repeats,
     "op2_licences": op2_licences,
@@ -96,6 +111,9 @@ QUERIES: dict[str, Query] = {
     "op8_weak_quality": op8_weak_quality,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_later_copies": op11_later_copies,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -117,4 +135,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_later_copies": superkmers.sql(),
+    "op12_vector_codes": slicecodes.sql(),
+    "op13_ranked_search": normbuckets.sql(),
 }
