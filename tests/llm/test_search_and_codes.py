@@ -174,7 +174,7 @@ def test_ranked_search_edges(spark):
     asked = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert normbuckets.search(frame(spark, []), asked).count() == 0
     assert normbuckets.search(frame(spark, [(1, "a")]), asked.where("false")).count() == 0
-    copies = frame(spark, [(n, "a b c") for n in range(500, 0, -1)])
+    copies = frame(spark, [(n, "a b c") for n in range(500, 0, -1)] + [(n, "c") for n in range(1000, 2000)])
     assert [r.doc_id for r in normbuckets.search(copies, asked).orderBy("rank").collect()] == list(range(1, 11))
     item = spark.createDataFrame([(1, "a"), (1, "a")], "item_id bigint, text string")
     assert normbuckets.search(frame(spark, [(3, "a"), (4, "b")]), item).count() == 2
