@@ -7,7 +7,7 @@ windows is kept, the others are later copies.
 
 Equal super-k-mers are collapsed before any text moves (by a 64-bit hash under the minimiser's 64 bits): only the first
 of them, by document and place, stands in its bucket, and every window of the others is a later copy. Minimisers with a
-single string need no bucket at all. A minimiser with more than ``GROUP`` different strings never goes to one task: its
+single super-k-mer are left out at once, and those with a single string need no bucket. A minimiser with more than ``GROUP`` different strings never goes to one task: its
 windows are dealt by their whole words instead and only their first places are kept, combined before the shuffle.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; rows with equal doc_id are versions of
@@ -223,10 +223,12 @@ def later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     if not 0 < window - gram < 16:
         raise ValueError("a super-k-mer holds at most 16 windows")
     numbered = _numbered(docs)
-    members = materialise(_members(numbered, window, gram), "super-kmers")
+    every = materialise(_members(numbered, window, gram), "super-kmers")
+    several = materialise(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-minimisers")
+    members = materialise(every.join(several, "key", "left_semi"), "shared-super-kmers")
     first = F.min(F.struct("did", "place", "tag"))
     classes = members.groupBy("key", "body").agg(first.alias("first"), (F.count("*") > 1).alias("copied"))
-    keys = classes.groupBy("key").agg(F.count("*").alias("m"), F.max("copied").alias("any")).where("m > 1 or any").select("key", "m")
+    keys = classes.groupBy("key").agg(F.count("*").alias("m"))
     classes = materialise(classes.join(keys, "key").select("key", "body", "m", "copied", "first.*"), "super-kmer-classes")
     strings = _strings(numbered, classes.where("m > 1"), window)
     if classes.where(F.col("m") > GROUP).isEmpty():
