@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
@@ -151,62 +150,6 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFra
     return block_topk(q, c, k)
 
 
-def approximate_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, bucket_length: float = 0.8, tables: int = 8, seed: int = 7) -> DataFrame:
-    """LSH candidates re-ranked by exact cosine (unit vectors: distance and cosine order agree)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from shoplattice.functions.scalars import dot
-    prep = lambda df, key: df.select(F.col(key).alias("id"), array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(prep(vectors, "id"))
-    near = model.approxSimilarityJoin(prep(queries, "query_id"), prep(vectors, "id"), 1.2, "distance")
-    scored = near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"),
-                         dot(vector_to_array(F.col("datasetA.features")), vector_to_array(F.col("datasetB.features"))).alias("score"))
-    return top_k(scored, ["query_id"], [F.round("score", 6).desc(), F.col("id")], k)
-
-
-def fit_text_embedder(texts: DataFrame, dim: int = 64, features: int = 4096, min_df: int = 2):
-    """Word 1-2 gram and character 3-5 gram sublinear TF-IDF, reduced by PCA directions and L2-normalised.
-
-    Hashing fixes the width, so the reduction is a (features x features) Gram
-    matrix built by executors whatever the corpus size.
-    Returns a function DataFrame(id, text) -> DataFrame(id, vector).
-    """
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-    from shoplattice.functions.scalars import char_wb_ngrams, word_ngrams
-
-    def grams(df: DataFrame) -> DataFrame:
-        w, all_ = tokens("text"), tokens("text", drop_stopwords=False)
-        return df.select("id", F.concat(w, word_ngrams(w, 2), F.transform(char_wb_ngrams(all_, 3, 5), lambda g: F.concat(F.lit("#"), g))).alias("grams"))
-
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=features)
-
-    def sublinear(df: DataFrame) -> DataFrame:
-        logged = F.transform(vector_to_array("tf"), lambda v: F.when(v > 0, 1 + F.log(v)).otherwise(0.0))
-        return tf.transform(grams(df)).select("id", array_to_vector(logged).alias("ltf"))
-
-    base = sublinear(texts)
-    idf = IDF(inputCol="ltf", outputCol="tfidf", minDocFreq=min_df).fit(base)
-    norm = Normalizer(inputCol="tfidf", outputCol="x")
-    prepared = norm.transform(idf.transform(base)).select("x")
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(prepared, "x")).computeGramianMatrix().toArray()
-    values, vectors = np.linalg.eigh(gram)
-    v = vectors[:, np.argsort(-values)[:dim]]
-
-    def embed(df: DataFrame) -> DataFrame:
-        ready = norm.transform(idf.transform(sublinear(df))).select("id", vector_to_array("x").alias("x"))
-
-        def project(batches):
-            for pdf in batches:
-                y = np.stack(pdf["x"].to_numpy()) @ v if len(pdf) else np.zeros((0, v.shape[1]))
-                n = np.linalg.norm(y, axis=1, keepdims=True)
-                yield pd.DataFrame({"id": pdf["id"], "vector": list(y / np.where(n == 0, 1.0, n))})
-        return ready.mapInPandas(project, "id long, vector array<double>")
-    return embed
-
-
 # ---- hybrid ranking --------------------------------------------------------
 def normalise_weights(weights: Mapping[str, float] | None = None) -> dict[str, float]:
     w = {k: max(v, 0.0) for k, v in {**SEARCH_WEIGHTS, **(weights or {})}.items()}

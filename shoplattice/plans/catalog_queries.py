@@ -195,7 +195,7 @@ def _(t):
 
 
 @query("snk_07_search_log_sink", r"""
-SELECT user_id, query, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS normalized_query, result_count, latency_ms FROM lt_search""")
+SELECT user_id, left(query, 255) AS query, left(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), 255) AS normalized_query, result_count, latency_ms FROM lt_search""")
 def _(t):
     path = work_dir(t.spark, "searches")
     S.write_table(S.search_log_rows(t.search_events), path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoplattice.functions.scalars import normalise_query, tokens
-from shoplattice.operators import personal as P, recommend as R, search as S
+from shoplattice.operators import personal as P, recommend as R, search as S, vectors as V
 from shoplattice.plans.customer_queries import AFF, RECENT, W_SQL
 from shoplattice.plans.recommender_queries import SIGNALS
-from shoplattice.plans.registry import query, sql_tokens
+from shoplattice.plans.registry import fitted_once, query, sql_tokens
+from shoplattice.session import materialise
 
 POST = f"""tk AS (SELECT id, {sql_tokens('text')} AS t FROM corp), po AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tk) GROUP BY 1, 2),
 dl AS (SELECT id, len(t) AS doc_len FROM tk), fa AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM tk),
@@ -101,18 +102,19 @@ def _(t):
                     F.coalesce("category_hint", F.lit("")).alias("category_hint"))
 
 
+def content_vectors(t):
+    return fitted_once(t, "text-embedder", lambda t: V.fit_text_embedder(S.product_text(t.products)))(S.product_text(t.products))
+
+
 @query("sr_07_text_embedding")
 def _(t):
-    text = S.product_text(t.products)
-    v = S.fit_text_embedder(text, dim=16, features=1024)(text)
-    return v.select("id", F.size("vector").alias("dim"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    return content_vectors(t).select("id", F.size("vector").alias("dim"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
 @query("rc_06_content_vectors")
 def _(t):
-    text = S.product_text(t.products)
-    v = S.fit_text_embedder(text, dim=16, features=1024)(text)
-    return S.cosine_topk(v.withColumnRenamed("id", "query_id"), v, 5)
+    v = materialise(content_vectors(t), "content-vectors")
+    return V.search_index(V.build_index(v, recall=0.99, k=5), v.withColumnRenamed("id", "query_id"), 5)
 
 
 KNN = """kn AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.vector, v.vector) AS score, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 6) DESC, v.id) AS INTEGER) AS rank
@@ -133,7 +135,7 @@ def _(t):
 
 @query("sr_09_approximate_knn")
 def _(t):
-    return S.approximate_knn(t.vectors.select(F.col("id").alias("query_id"), "vector"), t.vectors, 10)
+    return V.search_index(V.build_index(t.vectors), t.vectors.select(F.col("id").alias("query_id"), "vector"), 10)
 
 
 CAND = f"""{PRODS}, {PROD_Q}, {POST}, {SCORE}, sem AS (SELECT q.query_id, v.id, greatest(list_cosine_similarity(qv.vector, v.vector), 0) AS score,
