@@ -108,7 +108,7 @@ def _(t):
     return SE.aspect_evaluation(pred, truth.unionByName(extra))
 
 
-def _classifier(t):
+def classifier(t):
     return fitted_once(t, "sentiment", _fit_classifier)
 
 
@@ -119,13 +119,13 @@ def _fit_classifier(t):
 
 @query("se_03_tfidf_features")
 def _(t):
-    rows, model = _classifier(t)
+    rows, model = classifier(t)
     return SE.score_text(model, rows.where("is_test").select("id", "text")).select("id", "label", "score")
 
 
 @query("se_04_logistic_report")
 def _(t):
-    rows, model = _classifier(t)
+    rows, model = classifier(t)
     test = rows.where("is_test").withColumnRenamed("label", "actual").select("id", "text", "actual")
     scored = SE.score_text(model, test).withColumnRenamed("label", "predicted")
     return E.classification_report(scored.select("actual", "predicted"), SE.LABELS)
@@ -133,13 +133,13 @@ def _(t):
 
 @query("se_05_polarity_scores")
 def _(t):
-    _, model = _classifier(t)
+    _, model = classifier(t)
     return SE.score_text(model, SE.weak_labels(t.reviews).select("id", "text")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("avg_score"))
 
 
 @query("se_07_score_pending")
 def _(t):
-    _, model = _classifier(t)
+    _, model = classifier(t)
     pending = t.pending_reviews
     scored = SE.score_reviews(model, pending, "v1")
     done = sinks.write_back(pending.select("id", "sentiment_label", "sentiment_score"), scored, "id", ["sentiment_label", "sentiment_score"])
@@ -148,7 +148,7 @@ def _(t):
 
 @query("se_08_score_any_text")
 def _(t):
-    _, model = _classifier(t)
+    _, model = classifier(t)
     return SE.score_text(model, t.search_events.select("id", F.col("query").alias("text"))).select("id", "label", "score")
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoplattice.functions.scalars import micros
+from shoplattice.operators import sentiment as SE
 from shoplattice.operators.sessions import sessionise
 from shoplattice.plans.analytics_queries import ATTRIBUTED
 from shoplattice.plans.registry import query
-from shoplattice.streaming import events as ST
+from shoplattice.streaming import events as ST, state as KS
 
 
 def stream(t, repeat: str | None = None):
     """The event table, delivered in four slices of time and read one slice a trigger."""
-    return ST.event_stream(t.spark, ST.time_slices(t.raw("events"), repeat=repeat))
+    return ST.replayed(t.raw("events"), repeat=repeat)
 
 
 @query("st_01_ingest", """SELECT CASE WHEN event_type IN ('signup', 'error') THEN 'Unknown event_type ''' || event_type || '''.' ELSE 'accepted' END AS reason, count(*) AS n FROM events GROUP BY 1""")
@@ -25,8 +26,8 @@ def _(t):
 
 @query("st_02_stream_attribution", f"WITH {ATTRIBUTED} SELECT impression_id, converted FROM att WHERE clicked")
 def _(t):
-    pairs = ST.run_to_table(ST.attribution_pairs(stream(t)), "pairs")
-    return ST.credit_newest(pairs).groupBy("impression_id").agg(F.max(F.col("event_type") == "purchase").alias("converted"))
+    actions = ST.run_to_table(KS.credited_actions(stream(t), ST.LATENESS), "credited", keyed_state=True)
+    return actions.groupBy("impression_id").agg(F.max(F.col("event_type") == "purchase").alias("converted"))
 
 
 def closed(t, days: int):
@@ -61,13 +62,13 @@ def _(t):
 
 @query("st_05_cart_state", """SELECT user_id, product_id FROM lt_events WHERE event_type IN ('add_to_cart','remove_from_cart') GROUP BY 1, 2 HAVING arg_max(event_type, (occurred_at, id)) = 'add_to_cart'""")
 def _(t):
-    state = ST.newest(ST.run_to_table(ST.cart_updates(stream(t)), "cart", "update"), ["user_id", "product_id"])
+    state = ST.newest(ST.run_to_table(KS.cart_updates(stream(t), ST.LATENESS), "cart", "update", keyed_state=True), ["user_id", "product_id"])
     return state.where("event_type = 'add_to_cart'").select("user_id", "product_id")
 
 
 @query("st_06_last_active", "SELECT user_id, epoch_us(max(occurred_at)) AS last_us FROM lt_events GROUP BY 1")
 def _(t):
-    out = ST.newest(ST.run_to_table(ST.last_active(stream(t)), "active", "update"), ["user_id"])
+    out = ST.newest(ST.run_to_table(KS.last_active(stream(t), ST.LATENESS), "active", "update", keyed_state=True), ["user_id"])
     return out.select("user_id", F.unix_micros("last_active_at").alias("last_us"))
 
 
@@ -84,3 +85,22 @@ def _(t):
 def _(t):
     shifted = t.events.select("id", F.when(F.col("id") % 40 == 7, F.col("occurred_at") - F.expr("interval 3 hours")).otherwise(F.col("occurred_at")).alias("occurred_at"))
     return ST.late_rows(shifted).select("id")
+
+
+@query("st_08_late_stream", """SELECT id, occurred_at < seen - INTERVAL 1 HOUR AS late FROM (SELECT id, occurred_at, max(occurred_at) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT id, CASE WHEN id % 40 = 7 THEN occurred_at - INTERVAL 3 HOUR ELSE occurred_at END AS occurred_at FROM lt_events)) WHERE seen IS NOT NULL""")
+def _(t):
+    events = ST.arriving(t.raw("events"))
+    shifted = events.withColumn("occurred_at", F.when(F.col("id") % 40 == 7, F.col("occurred_at") - F.expr("interval 3 hours")).otherwise(F.col("occurred_at")))
+    on_time, late = ST.split_late(shifted.select("id", "occurred_at"))
+    both = on_time.select("id", F.lit(False).alias("late")).unionByName(late.select("id", F.lit(True).alias("late")))
+    return both.join(both.agg(F.min("id").alias("first")), F.col("id") > F.col("first")).select("id", "late")
+
+
+@query("st_07_model_scoring")
+def _(t):
+    from shoplattice.plans.review_queries import classifier
+    _, model = classifier(t)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.path).select(F.col("doc_id").alias("id"), "text")
+    return ST.score_incrementally(docs, lambda batch: SE.score_text(model, batch).select("id", "label", F.round("score", 5).alias("score")))

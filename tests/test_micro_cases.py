@@ -251,6 +251,6 @@ def test_hybrid_ranking_against_plain_loops(spark):
 
 def test_streams_run_in_several_batches(spark, tables):
     from shoplattice.streaming import events as ST
-    stream = ST.event_stream(spark, ST.time_slices(tables.raw("events")))
-    table = ST.run_to_table(ST.last_active(stream), "active", "update")
+    from shoplattice.streaming import state as KS
+    table = ST.run_to_table(KS.last_active(ST.replayed(tables.raw("events")), ST.LATENESS), "active", "update", keyed_state=True)
     assert table.select("batch_id").distinct().count() >= 3
