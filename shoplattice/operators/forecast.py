@@ -19,6 +19,8 @@ FEATURES = (
     "woy_sin", "woy_cos", "month_sin", "month_cos", *META,
 )
 Z_95 = 1.96
+#: Panel rows of one part.
+PANEL_ROWS = 100_000
 
 
 def weekly_units(daily: DataFrame) -> DataFrame:
@@ -34,22 +36,30 @@ def eligible_products(weekly: DataFrame) -> DataFrame:
 def weekly_panel(daily: DataFrame, products: DataFrame) -> DataFrame:
     """Dense weekly series of eligible products: zero units in empty weeks, price carried forward then back.
 
-    The calendar is generated per product from two scalars; windows run over
-    one product's weeks, a series no longer than the calendar.
+    A product's weeks are packed into one row, no longer than the calendar. The eligible products are dealt by id into a
+    number of parts that follows from products x weeks before the calendar is spread out, and everything after (fills,
+    lags, windows, features) keeps that dealing.
     """
-    weekly = materialise(weekly_units(daily), "weekly")  # read by the calendar, the eligibility and the join
-    span = weekly.agg(F.struct(F.min("week").alias("lo"), F.max("week").alias("hi"))).scalar()
-    grid = eligible_products(weekly).withColumn("_s", span).select(
-        "product_id", F.explode(F.sequence(F.col("_s.lo"), F.col("_s.hi"), F.expr("interval 7 days"))).alias("week"), F.col("_s.lo").alias("_start"))
+    weekly = materialise(weekly_units(daily), "weekly")
+    packed = F.map_from_entries(F.collect_list(F.struct("week", F.struct("units", "avg_price"))))
+    series = materialise(weekly.groupBy("product_id").agg(packed.alias("weeks"), F.sum("units").alias("_u"), F.count("*").alias("_w")).where(
+        (F.col("_u") >= FORECAST_MIN_UNITS) & (F.col("_w") >= FORECAST_MIN_WEEKS)).select("product_id", "weeks"), "weekly-series")
+    span = weekly.agg(F.min("week").alias("lo"), F.max("week").alias("hi")).first()
+    meta = products.select(F.col("id").alias("product_id"), *META)
+    if span["lo"] is None:
+        span = {"lo": date(1970, 1, 5), "hi": date(1970, 1, 5)}
+    parts = -(-series.count() * ((span["hi"] - span["lo"]).days // 7 + 1) // PANEL_ROWS)
+    calendar = F.sequence(F.lit(span["lo"]), F.lit(span["hi"]), F.expr("interval 7 days"))
     w = W.partitionBy("product_id").orderBy("week")
     back, fwd = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    meta = products.select(F.col("id").alias("product_id"), *META)
-    dense = grid.join(weekly, ["product_id", "week"], "left").withColumns({
+    grid = series.repartition(max(1, parts), "product_id").select("product_id", "weeks", F.explode(calendar).alias("week"))
+    known = F.try_element_at("weeks", F.col("week"))
+    dense = grid.select("product_id", "week", known["units"].alias("units"), known["avg_price"].alias("avg_price")).withColumns({
         "units": F.coalesce("units", F.lit(0.0)),
         "avg_price": F.coalesce(F.last("avg_price", ignorenulls=True).over(back), F.first("avg_price", ignorenulls=True).over(fwd))})
     return dense.join(meta, "product_id").withColumns({
         "avg_price": F.coalesce("avg_price", "price"),
-        "week_index": F.floor(F.datediff("week", "_start") / 7).cast("int")}).drop("_start")
+        "week_index": F.floor(F.datediff("week", F.lit(span["lo"])) / 7).cast("int")})
 
 
 def panel_features(panel: DataFrame) -> DataFrame:
@@ -130,7 +140,7 @@ def assembler():
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
 
 
-def fit_residual(train: DataFrame, max_iter: int = 400, depth: int = 6, step: float = 0.1):
+def fit_residual(train: DataFrame, max_iter: int = 400, depth: int = 6, step: float = 0.05):
     """Boosted trees on units minus naive, with a hash-picked validation slice for early stopping."""
     from pyspark.ml.regression import GBTRegressor
     rows = assembler().transform(train.withColumn("residual", F.col("units") - F.col("naive")).withColumn(

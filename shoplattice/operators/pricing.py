@@ -58,7 +58,7 @@ def _assembled(frame: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(PRICE_FEATURES), outputCol="features").transform(frame)
 
 
-def fit(train: DataFrame, max_iter: int = 400, depth: int = 6, step: float = 0.1):
+def fit(train: DataFrame, max_iter: int = 400, depth: int = 6, step: float = 0.055):
     """Boosted trees on the log price; a hash-picked validation slice stops the boosting early."""
     from pyspark.ml.regression import GBTRegressor
     rows = _assembled(train).withColumn("label", F.log("price")).withColumn("is_val", F.pmod(F.xxhash64("id"), F.lit(100)) < 15)

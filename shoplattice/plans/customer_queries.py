@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shoplattice.constants import SEGMENT_FEATURES, SEGMENT_REST, SEGMENT_RULES
 from shoplattice.functions.scalars import micros
 from shoplattice.operators import features as FE, personal as P, segments as SG
-from shoplattice.plans.registry import query
+from shoplattice.plans.registry import fitted_once, query
 
 W_SQL = "CASE event_type WHEN 'product_view' THEN 1 WHEN 'click' THEN 1.5 WHEN 'wishlist' THEN 3 WHEN 'add_to_cart' THEN 4 WHEN 'remove_from_cart' THEN -1 WHEN 'purchase' THEN 6 ELSE 0 END"
 RECENT = """rec AS (SELECT r.*, category_id, brand_id, price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at DESC, id DESC) AS rn
@@ -164,7 +164,7 @@ def _(t):
 
 
 Z = ", ".join(f"(({f}) - avg({f}) OVER ()) / coalesce(nullif(stddev_pop({f}) OVER (), 0), 1)" for f in SEGMENT_FEATURES)
-Z_SQL = SG.RFM_SQL + f", zz AS (SELECT user_id, CAST(user_id % 5 AS INTEGER) AS cluster_id, [{Z}] AS z FROM rfm)"
+Z_SQL = SG.RFM_SQL + f", zz AS MATERIALIZED (SELECT user_id, CAST(user_id % 5 AS INTEGER) AS cluster_id, [{Z}] AS z FROM rfm)"
 
 
 @query("sg_02_standardised", Z_SQL + """ SELECT user_id, CAST(i - 1 AS INTEGER) AS i, round(z[i], 5) AS z FROM zz, range(1, 10) t(i)""")
@@ -178,7 +178,7 @@ def _labelled(t):
     return SG.standardise(f, SG.scaling(f)).withColumn("cluster_id", (F.col("user_id") % 5).cast("int"))
 
 
-CENTS = """, ct AS (SELECT cluster_id AS cl, list(v ORDER BY i) AS c FROM (SELECT cluster_id, i, avg(z[i]) AS v FROM zz, range(1, 10) t(i) GROUP BY 1, 2) GROUP BY 1)"""
+CENTS = """, ct AS MATERIALIZED (SELECT cluster_id AS cl, list(v ORDER BY i) AS c FROM (SELECT cluster_id, i, avg(z[i]) AS v FROM zz, range(1, 10) t(i) GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query("sg_07_assignment", Z_SQL + CENTS + """,
@@ -221,10 +221,10 @@ def _(t):
     return m.select("user_id", "segment_label", "email", "full_name", F.round("rfm_score", 6).alias("rfm_score"), "rank")
 
 
-def _fit(t, **kw):
+def _fit(t):
     f = _frame(t)
     z = SG.standardise(f, SG.scaling(f))
-    return f, z, SG.fit_kmeans(z, **kw)
+    return f, z, fitted_once(t, "segments", lambda t: SG.fit_kmeans(z))
 
 
 @query("sg_03_kmeans_segments")
@@ -242,6 +242,16 @@ def _(t):
     return z.agg(F.count("*").alias("customers")).withColumn("silhouette", F.lit(round(SG.silhouette(z), 5)))
 
 
+@query("sg_04_pairwise_silhouette", Z_SQL.replace("zz AS MATERIALIZED", "z0 AS") + """, zz AS MATERIALIZED (SELECT * FROM z0 ORDER BY md5(CAST(user_id AS VARCHAR)), user_id LIMIT 2000),
+ds AS (SELECT a.user_id, a.cluster_id AS mine, b.cluster_id AS cl, sum(list_distance(a.z, b.z)) AS d, count(*) AS n FROM zz a, zz b GROUP BY ALL),
+ab AS (SELECT user_id, min(CASE WHEN cl = mine THEN d / greatest(n - 1, 1) END) AS own, min(CASE WHEN cl <> mine THEN d / n END) AS other, min(CASE WHEN cl = mine THEN n END) AS n FROM ds GROUP BY 1)
+SELECT count(*) AS customers, round(avg(CASE WHEN n = 1 THEN 0 ELSE (other - own) / greatest(own, other) END), 5) AS silhouette FROM ab""")
+def _(t):
+    z = _labelled(t)
+    counted = z.agg(F.least(F.count("*"), F.lit(SG.SILHOUETTE_SAMPLE)).alias("customers"))
+    return counted.withColumn("silhouette", F.lit(round(SG.pairwise_silhouette(z), 5)))
+
+
 @query("sg_05_k_selection")
 def _(t):
     _, z, fit = _fit(t)

@@ -12,20 +12,20 @@ from shoplattice.plans.registry import fitted_once, query
 from shoplattice.session import materialise
 from shoplattice.sources.readers import daily_demand
 
-PANEL = """wk AS (SELECT product_id, CAST(date_trunc('week', day) AS DATE) AS week, sum(units) AS units, avg(avg_price) AS avg_price FROM lt_demand GROUP BY 1, 2),
-el AS (SELECT product_id FROM wk GROUP BY 1 HAVING sum(units) >= 25 AND count(*) >= 20),
+PANEL = """wk AS MATERIALIZED (SELECT product_id, CAST(date_trunc('week', day) AS DATE) AS week, sum(units) AS units, avg(avg_price) AS avg_price FROM lt_demand GROUP BY 1, 2),
+el AS MATERIALIZED (SELECT product_id FROM wk GROUP BY 1 HAVING sum(units) >= 25 AND count(*) >= 20),
 cal AS (SELECT CAST(unnest(generate_series((SELECT min(week) FROM wk), (SELECT max(week) FROM wk), INTERVAL 7 DAY)) AS DATE) AS week),
 dn AS (SELECT el.product_id, cal.week, coalesce(units, 0.0) AS units, coalesce(last_value(avg_price IGNORE NULLS) OVER (PARTITION BY el.product_id ORDER BY cal.week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(avg_price IGNORE NULLS) OVER (PARTITION BY el.product_id ORDER BY cal.week ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS avg_price
   FROM el CROSS JOIN cal LEFT JOIN wk ON wk.product_id = el.product_id AND wk.week = cal.week),
-pn AS (SELECT dn.*, category_id, brand_id, price, inventory, discount_pct, rating_avg, CAST(date_diff('day', (SELECT min(week) FROM wk), week) // 7 AS INTEGER) AS week_index FROM dn JOIN lt_products p ON p.id = product_id)"""
-FEATS = PANEL + """, ft AS (SELECT *, """ + ", ".join(f"lag(units, {k}) OVER w AS lag_{k}" for k in FC.FORECAST_LAGS) + ", " + ", ".join(
+pn AS MATERIALIZED (SELECT dn.*, category_id, brand_id, price, inventory, discount_pct, rating_avg, CAST(date_diff('day', (SELECT min(week) FROM wk), week) // 7 AS INTEGER) AS week_index FROM dn JOIN lt_products p ON p.id = product_id)"""
+FEATS = PANEL + """, ft AS MATERIALIZED (SELECT *, """ + ", ".join(f"lag(units, {k}) OVER w AS lag_{k}" for k in FC.FORECAST_LAGS) + ", " + ", ".join(
     f"CASE WHEN count(units) OVER w{n} >= 2 THEN avg(units) OVER w{n} END AS roll_mean_{n}, CASE WHEN count(units) OVER w{n} >= 2 THEN stddev_samp(units) OVER w{n} END AS roll_std_{n}"
     for n in FC.FORECAST_WINDOWS) + """, CASE WHEN count(units) OVER w12 >= 2 THEN max(units) OVER w12 END AS roll_max_12, CAST(week(week) AS INTEGER) AS week_of_year, CAST(month(week) AS INTEGER) AS month,
   CAST(quarter(week) AS INTEGER) AS quarter, avg_price / price AS price_ratio FROM pn WINDOW w AS (PARTITION BY product_id ORDER BY week), """ + ", ".join(
     f"w{n} AS (PARTITION BY product_id ORDER BY week ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in FC.FORECAST_WINDOWS) + ")"
-PROFILE = FEATS + """, tr AS (SELECT * FROM ft WHERE lag_12 IS NOT NULL), sp AS (SELECT *, week > (SELECT max(week) FROM tr) - 56 AS is_test FROM tr), tn AS (SELECT * FROM sp WHERE NOT is_test),
-lv AS (SELECT product_id, avg(units) FILTER (WHERE r <= 4) AS recent_mean, coalesce(nullif(avg(units), 0), 1) AS overall_mean FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY week DESC) AS r FROM tn) GROUP BY 1),
+PROFILE = FEATS + """, tr AS (SELECT * FROM ft WHERE lag_12 IS NOT NULL), sp AS MATERIALIZED (SELECT *, week > (SELECT max(week) FROM tr) - 56 AS is_test FROM tr), tn AS MATERIALIZED (SELECT * FROM sp WHERE NOT is_test),
+lv AS MATERIALIZED (SELECT product_id, avg(units) FILTER (WHERE r <= 4) AS recent_mean, coalesce(nullif(avg(units), 0), 1) AS overall_mean FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY week DESC) AS r FROM tn) GROUP BY 1),
 mf AS (SELECT tn.product_id, month, avg(units) / any_value(overall_mean) AS factor FROM tn JOIN lv USING (product_id) GROUP BY 1, 2)"""
 
 
