@@ -142,6 +142,43 @@ def cold_start_items(signals: DataFrame, k: int = 10, per_category: bool = False
     return top_k(live.orderBy(*order).limit(k).withColumn("_g", F.lit(1)), ["_g"], order, k).drop("_g")
 
 
+def _head(ranking: DataFrame, scope: list[str], length: Column | int) -> DataFrame:
+    """The first products of each scope's ranking (product_id, pos) as one array."""
+    near = ranking.where(F.col("pos") <= length)
+    return near.groupBy(*scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "product_id"))), lambda r: r["product_id"]).alias("head"))
+
+
+def served_lists(
+    users: DataFrame, model: DataFrame, cold_category: DataFrame, cold: DataFrame, popular: DataFrame, exclude: DataFrame, k: int = 10,
+) -> DataFrame:
+    """(user_id, rank, product_id, strategy): ``k`` products for every user (user_id, strategy, category_id), if there are so many.
+
+    Users of the hybrid strategy start with their own list ``model`` (user_id, product_id, rank), others with the cold-start
+    ranking of their favourite category, ``cold_category`` (category_id, product_id, pos). What an arm leaves open the next
+    one fills: ``cold`` (product_id, pos), then ``popular``. No arm repeats a product or gives one of ``exclude``.
+
+    A user with s excluded products finds k among the first s + 2 k of a ranking, so only that much of each is packed; a
+    user's excluded products and lists are bounded by the user's history.
+    """
+    gone = exclude.groupBy("user_id").agg(F.collect_set("product_id").alias("gone"))
+    longest = gone.agg(F.coalesce(F.max(F.size("gone")), F.lit(0)) + 2 * k).scalar()
+    own = model.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id"))), lambda r: r["product_id"]).alias("own"))
+    none = F.array().cast("array<bigint>")
+    rows = users.join(gone, "user_id", "left").join(own, "user_id", "left").join(
+        _head(cold_category, ["category_id"], longest).withColumnRenamed("head", "near"), "category_id", "left").withColumns({
+            "gone": F.coalesce("gone", none), "own": F.when(F.col("strategy") == "hybrid", F.coalesce("own", none)).otherwise(none),
+            "near": F.when(F.col("strategy") == "hybrid", none).otherwise(F.coalesce("near", none)),
+            "cold": F.coalesce(_head(cold, [], longest).select("head").scalar(), none), "popular": F.coalesce(_head(popular, [], longest).select("head").scalar(), none)})
+    free = lambda head, *taken: F.array_except(head, F.concat("gone", *taken))
+    rows = rows.withColumn("a1", F.slice(free("own"), 1, k))
+    rows = rows.withColumn("a2", F.slice(free(F.concat("near", "cold"), "a1"), F.lit(1), k - F.size("a1")))
+    rows = rows.withColumn("a3", F.slice(free("popular", "a1", "a2"), F.lit(1), k - F.size("a1") - F.size("a2")))
+    labelled = lambda name: lambda p: F.struct(p.alias("product_id"), F.lit(name).alias("strategy"))
+    tagged = [F.transform(arm, labelled(name)) for arm, name in (("a1", "hybrid"), ("a2", "cold_start"), ("a3", "popularity_fallback"))]
+    return rows.select("user_id", F.posexplode(F.concat(*tagged)).alias("at", "p")).select(
+        "user_id", (F.col("at") + 1).alias("rank"), "p.product_id", "p.strategy")
+
+
 def trending_items(signals: DataFrame, k: int = 10) -> DataFrame:
     damped = F.col("trending") * (0.3 + 0.7 * F.col("availability"))
     order = [F.round(damped, 6).desc(), F.col("id")]

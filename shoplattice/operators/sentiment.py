@@ -62,7 +62,7 @@ class SublinearTfIdf(Transformer):
         return dataset.withColumn(self.target, weigh(*self.names))
 
 
-def fit_classifier(train: DataFrame, vocab: int = 40000, max_iter: int = 50, c: float = 4.0):
+def fit_classifier(train: DataFrame, vocab: int = 40000, max_iter: int = 100, c: float = 4.0):
     """Word 1-2 gram and character 3-5 gram sublinear TF-IDF into balanced multinomial logistic regression."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
@@ -83,7 +83,7 @@ def fit_classifier(train: DataFrame, vocab: int = 40000, max_iter: int = 50, c:
     try:
         weighed = SublinearTfIdf([(f"{name}_tf", IDF(inputCol=f"{name}_tf", outputCol="_").fit(counted).idf.toArray() + 1) for name in ("word", "char")], "features")
         lr = LogisticRegression(labelCol="target", featuresCol="features", weightCol="weight", family="multinomial", regParam=1.0 / (c * n),
-                                standardization=False, maxIter=max_iter).fit(weighed.transform(counted))
+                                standardization=False, maxIter=max_iter, tol=1e-4).fit(weighed.transform(counted))
     finally:
         counted.unpersist()
     return PipelineModel(stages=[indexer, *vectorizers, weighed, lr])

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shoplattice.operators import analytics as A, attribution, catalog as C, features as FE, personal as P
-from shoplattice.plans.registry import query
+from shoplattice.operators import analytics as A, attribution, catalog as C, features as FE, index_store as IX, personal as P, sentiment as SE
+from shoplattice.plans.registry import query, sql_tokens
 from shoplattice.session import work_dir
 from shoplattice.sources import sinks as S
 
@@ -44,6 +44,22 @@ def compute_feature_store(t, path: str, version: str) -> None:
     S.replace_version(products, f"{path}/product_features", "feature_version")
 
 
+def score_pending(t, path: str, version: str) -> None:
+    """Scores of the reviews that have none, replacing those of an earlier run of the version."""
+    from shoplattice.plans.review_queries import classifier
+    _, model = classifier(t)
+    scored = SE.score_reviews(model, t.pending_reviews, version).withColumn("model_version", F.lit(version))
+    S.replace_version(scored.drop("sentiment_model_version"), f"{path}/review_scores")
+
+
+def refresh_trending(t, path: str, version: str) -> None:
+    """The trending list of all and of each category, replacing that of an earlier run of the version."""
+    every = A.trending(t.events, t.products, t.events_as_of).withColumn("scope", F.lit("all"))
+    each = A.trending(t.events, t.products, t.events_as_of, per_category=True).withColumn("scope", F.lit("category"))
+    lists = every.unionByName(each, allowMissingColumns=True).select("scope", "category_id", "product_id", "rank", "score", F.lit(version).alias("model_version"))
+    S.replace_version(lists, f"{path}/trending")
+
+
 def homepage(t, per_rail: int = 8) -> DataFrame:
     """(user, rail, rank, product) for every user; shared rails are short lists repeated per user."""
     from shoplattice.plans.recommender_queries import cart_minus_bought, routed
@@ -112,3 +128,33 @@ def _(t):
 SELECT rail, count(*) AS n FROM (SELECT 'deals' AS rail FROM lt_users, range(8)) GROUP BY 1""")
 def _(t):
     return homepage(t).where("rail = 'deals'").groupBy("rail").agg(F.count("*").alias("n"))
+
+
+@query("job_03_index_refresh", f"""WITH ch AS (SELECT id, title || ' ' || title || ' ' || category_name AS text FROM lt_products WHERE id % 100 <> 7 UNION ALL SELECT id, title || ' refreshed' FROM lt_products WHERE id % 100 = 7),
+tk AS (SELECT id, unnest({sql_tokens('text')}) AS term FROM ch WHERE id % 100 <> 8) SELECT id, term, count(*) AS tf FROM tk GROUP BY 1, 2""")
+def _(t):
+    corpus = t.products.select("id", F.concat_ws(" ", "title", "title", "category_name").alias("text"))
+    path = work_dir(t.spark, "stored-index")
+    IX.build(corpus, path)
+    changed = t.products.where("id % 100 = 7").select("id", F.concat("title", F.lit(" refreshed")).alias("text"))
+    IX.refresh(path, 1, changed, corpus.where("id % 100 = 8").select("id"))
+    return IX.live_postings(t.spark, path).select("id", "term", "tf")
+
+
+@query("job_03_trending_lists", """WITH n AS (SELECT product_id, category_id, count(*) AS n FROM lt_events e JOIN lt_products p ON p.id = product_id, lt_asof
+  WHERE p.is_active AND event_type IN ('product_view','add_to_cart','purchase') AND occurred_at >= e_now - INTERVAL 14 DAY GROUP BY 1, 2)
+SELECT 'all' AS scope, product_id, CAST(row_number() OVER (ORDER BY n DESC, product_id) AS INTEGER) AS rank FROM n QUALIFY rank <= 10
+UNION ALL SELECT 'category', product_id, CAST(row_number() OVER (PARTITION BY category_id ORDER BY n DESC, product_id) AS INTEGER) AS rank FROM n QUALIFY rank <= 10""")
+def _(t):
+    path = work_dir(t.spark, "lists")
+    refresh_trending(t, path, "v1")
+    refresh_trending(t, path, "v1")
+    return t.spark.read.parquet(f"{path}/trending").select("scope", "product_id", "rank")
+
+
+@query("job_03_pending_scores", "SELECT count(*) AS scored, count(*) AS ids FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    path = work_dir(t.spark, "scores")
+    score_pending(t, path, "v1")
+    rows = t.spark.read.parquet(f"{path}/review_scores")
+    return rows.agg(F.count("sentiment_label").alias("scored"), F.count_distinct("id").alias("ids"))

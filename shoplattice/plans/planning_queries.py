@@ -5,11 +5,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from shoplattice.constants import PRICE_FEATURES
+from shoplattice.constants import PRICE_FEATURES, SEGMENT_FEATURES
 from shoplattice.functions.scalars import day
-from shoplattice.operators import forecast as FC, pricing as PR
+from shoplattice.operators import baselines as B, forecast as FC, pricing as PR, recommend as R, segments as SG, sentiment as SE
 from shoplattice.plans.registry import fitted_once, query
-from shoplattice.session import materialise
+from shoplattice.session import materialise, work_dir
+from shoplattice.sources import sinks
 from shoplattice.sources.readers import daily_demand
 
 PANEL = """wk AS MATERIALIZED (SELECT product_id, CAST(date_trunc('week', day) AS DATE) AS week, sum(units) AS units, avg(avg_price) AS avg_price FROM lt_demand GROUP BY 1, 2),
@@ -329,3 +330,42 @@ def _(t):
     data, model = _price_model(t)
     named = PR.drivers(PR.contributions(model, PR.predict(model, data), PR.category_stats(data)))
     return PR.narrative(_model_outlook(t).join(named, "id", "left").withColumn("drivers", F.coalesce("drivers", F.lit("market context")))).select("id", "drivers", "explanation")
+
+
+def observed(t):
+    """What each of the five models sees, a row a value and day."""
+    frame = SG.rfm_frame(t.users_with_signup, t.orders, t.order_items, t.session_events, t.reviews, t.orders_as_of)
+    signals = R.item_signals(t.products, t.events, t.events_as_of).join(t.products.select("id", "launched_at"), "id")
+    reviews = t.reviews.where(F.col("sentiment_label").isNotNull())
+    share = {f"label:{name}": (F.col("sentiment_label") == name).cast("double") for name in ("negative", "neutral", "positive")}
+    parts = [
+        B.observations(frame.join(t.users_with_signup.select(F.col("id").alias("user_id"), "created_at"), "user_id"), "segmentation", F.col("created_at"), {c: F.col(c) for c in SEGMENT_FEATURES}),
+        B.observations(panel(t), "forecasting", F.col("week"), {"units": F.col("units"), "avg_price": F.col("avg_price")}),
+        B.observations(t.products, "price_prediction", F.col("launched_at"), {c: F.col(c) for c in ("price", "inventory", "rating_avg")}),
+        B.observations(signals, "recommendation", F.col("launched_at"), {c: F.col(c) for c in ("popularity", "trending", "conversion", "availability")}),
+        B.observations(reviews, "sentiment", F.col("created_at"), {**share, "chars": F.length(SE.review_text())}),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("dr_04_model_baselines")
+def _(t):
+    moments, bins = B.sketch(observed(t))
+    stored = work_dir(t.spark, "baselines")
+    sinks.replace_version(moments, f"{stored}/moments", "model")
+    sinks.replace_version(bins, f"{stored}/bins", "model")
+    read = lambda table: t.spark.read.parquet(f"{stored}/{table}")
+    return B.statistics(*B.merge(read("moments"), read("bins"))).withColumn("value", F.round("value", 4))
+
+
+@query("dr_04_price_sketch", """WITH o AS (SELECT unnest(['price', 'inventory', 'rating_avg']) AS feature, unnest([price, inventory, rating_avg]) AS v FROM lt_products),
+b AS (SELECT feature, v, CASE WHEN v = 0 THEN 0 ELSE sign(v) * exp((floor(ln(abs(v)) / ln(1.01::DOUBLE)) + 0.5::DOUBLE) * ln(1.01::DOUBLE)) END AS m FROM o),
+s AS (SELECT feature, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, list(m ORDER BY m) AS ms, count(*) FILTER (WHERE v = 0) / count(*) AS z FROM b GROUP BY 1)
+SELECT feature, unnest(['count', 'mean', 'std', 'zero_ratio', 'p50', 'p90', 'p95']) AS statistic, round(unnest([CAST(n AS DOUBLE), mean, std, z,
+  ms[CAST(floor(0.5 * (n - 1)) AS BIGINT) + 1], ms[CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1], ms[CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1]]), 4) AS value FROM s""")
+def _(t):
+    seen = B.observations(t.products, "price_prediction", F.col("launched_at"), {c: F.col(c) for c in ("price", "inventory", "rating_avg")})
+    return B.statistics(*B.merge(*B.sketch(seen))).select("feature", "statistic", F.round("value", 4).alias("value"))

@@ -203,6 +203,43 @@ def _(t):
     return routed(t)
 
 
+def serving(t, lists):
+    """Served lists of all users: their own list, then the stored cold-start lists (10 for each category, 10 for all), then popularity."""
+    recent = P.last_events(t.events, t.products)
+    favourite = P.affinity(recent, "category_id", t.events_as_of).groupBy("user_id").agg(
+        F.min_by("category_id", F.struct(-F.col("affinity"), "category_id")).alias("category_id"))
+    s = materialise(signals(t), "item-signals")
+    cold = s.where("cold_start > 0").select(F.col("id").alias("product_id"), "category_id", "cold_start")
+    order = [F.round("cold_start", 6).desc(), F.col("product_id")]
+    by_category = top_k(cold, ["category_id"], order, 10, rank="pos")
+    for_all = top_k(cold.orderBy(*order).limit(10).withColumn("_g", F.lit(1)), ["_g"], order, 10, rank="pos")
+    popular = numbered(s.select(F.col("id").alias("product_id"), F.round("popularity", 6).alias("p")), [F.col("p").desc(), F.col("product_id")])
+    users = routed(t).join(favourite, "user_id", "left")
+    return R.served_lists(users, lists, by_category, for_all, popular, R.user_history(t.events).select("user_id", "product_id").distinct(), 10)
+
+
+@query("rc_20_refilled_lists", CF[:CF.rindex("SELECT user_id")] + f""", {RECENT}, {ROUTE_SQL}{AFF.format(d='category')}, {SIGNALS},
+fav AS (SELECT user_id, arg_min(category_id, (-affinity, category_id)) AS category_id FROM category_aff GROUP BY 1),
+cl AS (SELECT id, category_id, round(cold_start, 6) AS c FROM sig WHERE cold_start > 0),
+arms AS (SELECT user_id, product_id, 1 AS arm, row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 6) DESC, product_id) AS pos FROM rw JOIN rt USING (user_id) WHERE strategy = 'hybrid'
+UNION ALL SELECT user_id, c.id, 2, pos FROM rt JOIN fav USING (user_id) JOIN (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY c DESC, id) AS pos FROM cl QUALIFY pos <= 10) c USING (category_id) WHERE strategy = 'cold_start'
+UNION ALL SELECT user_id, c.id, 3, pos FROM rt, (SELECT *, row_number() OVER (ORDER BY c DESC, id) AS pos FROM cl QUALIFY pos <= 10) c
+UNION ALL SELECT user_id, c.id, 4, pos FROM rt, (SELECT id, row_number() OVER (ORDER BY round(popularity, 6) DESC, id) AS pos FROM sig) c),
+one AS (SELECT user_id, product_id, min((arm, pos)) AS place FROM arms ANTI JOIN hs USING (user_id, product_id) GROUP BY 1, 2)
+SELECT user_id, product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place) AS INTEGER) AS rank, CASE place[1] WHEN 1 THEN 'hybrid' WHEN 4 THEN 'popularity_fallback' ELSE 'cold_start' END AS strategy
+FROM one QUALIFY rank <= 10""")
+def _(t):
+    history = materialise(R.user_history(t.events), "history")
+    raw = R.item_cf_raw(history, neighbours(t)).join(history.select("user_id", "product_id").distinct(), ["user_id", "product_id"], "left_anti")
+    return serving(t, top_k(raw, ["user_id"], [F.round("raw", 6).desc(), F.col("product_id")], 10))
+
+
+@query("rc_20_served_lists")
+def _(t):
+    u, i = hybrid_inputs(t)
+    return serving(t, R.hybrid_topk(u, i, 10).select("user_id", "product_id", "rank"))
+
+
 VIEWED = """vw AS (SELECT user_id, product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ats DESC) AS INTEGER) AS position FROM
   (SELECT user_id, product_id, max((occurred_at, id)) AS ats FROM lt_events WHERE event_type IN ('product_view','click') GROUP BY 1, 2)),
 ct AS (SELECT user_id, product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ats DESC) AS INTEGER) AS position FROM (SELECT user_id, product_id, max((occurred_at, id)) AS ats

@@ -73,12 +73,12 @@ def _(t):
     return SE.product_rollup(t.reviews).drop("negative_pct", "neutral_pct")
 
 
-KW = f"kw AS (SELECT grp, term, count(*) AS \"count\" FROM (SELECT id % 20 AS grp, unnest(list_distinct({sql_tokens('body')})) AS term FROM lt_reviews) GROUP BY 1, 2)"
+KW = f"kw AS (SELECT product_id, term, count(*) AS \"count\" FROM (SELECT doc_id % (SELECT count(*) FROM part) AS product_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM documents) GROUP BY 1, 2)"
 
 
-@query("agg_21_keywords", f"WITH {KW} SELECT grp, term, \"count\" FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY \"count\" DESC, term) AS rank FROM kw) WHERE rank <= 12 AND length(term) > 3")
+@query("agg_21_keywords", f"WITH {KW} SELECT product_id, term, \"count\" FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY \"count\" DESC, term) AS rank FROM kw) WHERE rank <= 12 AND length(term) > 3")
 def _(t):
-    return SE.keywords(t.reviews.withColumn("grp", F.col("id") % 20), by="grp").drop("rank")
+    return SE.keywords(every_review(t)).drop("rank")
 
 
 LEADS = """rv AS (SELECT d.doc_id % (SELECT count(*) FROM part) AS product_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
