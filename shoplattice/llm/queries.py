@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplattice.llm import (bpe, decontam, hosts, langid, licences, normbuckets, packing, quality, simhash, slicecodes, suffix, superkmers,
                              toxicity)
+from shoplattice.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The stated rules for urls.
@@ -18,6 +19,8 @@ TOXIC_CHAIN = {"junk": "1 - quality", "toxic": "toxic"}
 #: Probability from which a document is rejected.
 TOXIC_FROM = 0.5
 RANKS = "byte_bpe_50k.tiktoken"
+#: Words from which a repeated passage is reported, however few bytes it has.
+PASSAGE = 51
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,8 +28,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix.remove_repeats(docs).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.hash(text).alias("mark"))
+    cut = suffix.remove_repeats(docs).select("doc_id", "mark", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+    passages = materialise(suffix.word_spans(docs, PASSAGE).select("did", "tag", F.lit(True).alias("passage")), "passages")
+    both = cut.join(passages, (F.coalesce(F.col("doc_id"), F.lit(-1)) == F.col("did")) & (F.col("mark") == F.col("tag")), "left")
+    return both.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("passage", F.lit(False)).alias("has_repeated_passage"))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
