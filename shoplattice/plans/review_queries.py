@@ -5,7 +5,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from shoplattice.constants import ASPECT_LEXICON, MODEL_NAMES, NEGATION_TERMS
+from shoplattice.constants import ASPECT_LEXICON, DRIFT_THRESHOLD, MODEL_NAMES, NEGATION_TERMS
 from shoplattice.functions.scalars import ntz
 from shoplattice.operators import analytics as A, evaluate as E, monitoring as M, segments as SG, sentiment as SE
 from shoplattice.plans.analytics_queries import SERVING_SQL
@@ -280,18 +280,19 @@ def _(t):
 
 
 @query("dr_01_relative_change", CURRENT + """, bs AS (SELECT model, feature, value * CASE WHEN feature = 'price_level' THEN 1.5::DOUBLE ELSE 0.95::DOUBLE END AS value FROM cu WHERE model <> 'segmentation' UNION ALL SELECT 'ranking', 'gone', 1.0)
-SELECT coalesce(b.model, c.model) AS model, coalesce(b.feature, c.feature) AS feature, CASE WHEN b.value IS NULL OR c.value IS NULL THEN 'unavailable' WHEN abs(c.value - b.value) / abs(b.value) > 0.2 THEN 'drift_detected' ELSE 'ok' END AS status,
-  round(coalesce(abs(c.value - b.value) / abs(b.value), -1), 5) AS relative_change FROM bs b FULL JOIN cu c ON c.model = b.model AND c.feature = b.feature""")
+SELECT coalesce(b.model, c.model) AS model, coalesce(b.feature, c.feature) AS feature, CASE WHEN b.value IS NULL OR c.value IS NULL THEN 'unavailable' WHEN abs(c.value - b.value) / abs(b.value) > CASE WHEN b.feature = 'price_level' THEN 0.3 ELSE 0.2 END THEN 'drift_detected' ELSE 'ok' END AS status,
+  CASE WHEN b.feature = 'price_level' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS threshold, round(coalesce(abs(c.value - b.value) / abs(b.value), -1), 5) AS relative_change FROM bs b FULL JOIN cu c ON c.model = b.model AND c.feature = b.feature""")
 def _(t):
-    return drift(t).select("model", "feature", "status", F.coalesce("relative_change", F.lit(-1.0)).alias("relative_change"))
+    return drift(t).select("model", "feature", "status", "threshold", F.coalesce("relative_change", F.lit(-1.0)).alias("relative_change"))
 
 
 def drift(t):
     """Current statistics against a shifted baseline, with one statistic on either side only."""
     cur = materialise(current(t), "statistics")
     factor = F.when(F.col("feature") == "price_level", 1.5).otherwise(0.95)
-    base = cur.where("model <> 'segmentation'").withColumn("value", F.col("value") * factor)
-    gone = cur.limit(1).select(F.lit("ranking").alias("model"), F.lit("gone").alias("feature"), F.lit(1.0).alias("value"))
+    wide = F.when(F.col("feature") == "price_level", 1.5 * DRIFT_THRESHOLD).otherwise(DRIFT_THRESHOLD)  # prices may move further
+    base = cur.where("model <> 'segmentation'").withColumns({"value": F.col("value") * factor, "threshold": F.round(wide, 6)})
+    gone = cur.limit(1).select(F.lit("ranking").alias("model"), F.lit("gone").alias("feature"), F.lit(1.0).alias("value"), F.lit(DRIFT_THRESHOLD).alias("threshold"))
     return M.compare(base.unionByName(gone), cur)
 
 
