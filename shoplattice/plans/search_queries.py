@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoplattice.functions.scalars import normalise_query, tokens
-from shoplattice.operators import personal as P, recommend as R, search as S, vectors as V
+from shoplattice.operators import personal as P, recommend as R, search as S, search_modes as M, vectors as V
 from shoplattice.plans.customer_queries import AFF, RECENT, W_SQL
 from shoplattice.plans.recommender_queries import SIGNALS
 from shoplattice.plans.registry import fitted_once, query, sql_tokens
@@ -255,3 +255,77 @@ def _(t):
         part = S.result_page(rows, sort, 5).select(F.lit(sort).alias("sort"), "query_id", "id", "rank")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Four queries of each title: as asked, with a mistyped first word, nothing but filters, unknown words with narrow filters.
+MODES = f"""base AS (SELECT query_id AS b, query, (SELECT title FROM lt_products WHERE id = query_id) AS title FROM lt_pqueries),
+sq AS (SELECT b * 4 AS query_id, b, query, CAST([] AS BIGINT[]) AS cats, CAST([] AS BIGINT[]) AS brands, NULL::DOUBLE AS min_rating, false AS sale FROM base
+UNION ALL SELECT b * 4 + 1, b, CASE b % 3 WHEN 0 THEN title[2] || title[1] || title[3:] WHEN 1 THEN title[1:2] || title[4:] ELSE 'x' || title END, [], [], NULL, false FROM base
+UNION ALL SELECT b * 4 + 2, b, '  ', [b % 6], [], NULL, b % 2 = 0 FROM base
+UNION ALL SELECT b * 4 + 3, b, 'zzyzxqq wvvwq', [b % 6], [b % 25 + 1], 2.5, false FROM base),
+tq AS (SELECT query_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM (SELECT query_id, {sql_tokens('query', False)} AS toks FROM sq)),
+ty AS (SELECT DISTINCT word FROM tq WHERE length(word) > 3), {CLOSE},
+cq AS (SELECT query_id, string_agg(coalesce(c.term, tq.word), ' ' ORDER BY pos) AS corrected FROM tq LEFT JOIN (SELECT * FROM cl WHERE rank = 1) c USING (word) GROUP BY 1 HAVING bool_or(c.term IS NOT NULL)),
+{INTENT.replace('lt_pqueries', 'sq')},
+ef AS (SELECT sq.*, corrected, coalesce(corrected, iq.q) AS effective, budget, price_ascending, quality_bias, in_stock FROM sq JOIN iq USING (query_id) JOIN it USING (query_id) LEFT JOIN cq USING (query_id)),
+qs AS (SELECT query_id, effective AS query, b FROM ef WHERE effective <> ''), {SCORE},
+cs AS (SELECT q.query_id, v.id, list_cosine_similarity(qv.vector, v.vector) AS score FROM qs q JOIN lt_vectors qv ON qv.id = q.b, lt_vectors v),
+sem AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 300),
+ok AS (SELECT ef.query_id, p.id FROM ef JOIN lt_products p ON p.is_active AND (cats = [] OR list_contains(cats, category_id)) AND (brands = [] OR list_contains(brands, brand_id))
+  AND (budget IS NULL OR effective_price <= budget) AND (min_rating IS NULL OR rating_avg >= min_rating) AND (NOT in_stock OR inventory > 0) AND (NOT sale OR discount_pct > 0)),
+hy AS (SELECT query_id, id, l.score AS lexical, greatest(s.score, 0) AS semantic FROM lex l FULL JOIN sem s USING (query_id, id) SEMI JOIN ok USING (query_id, id)),
+fb AS (SELECT query_id, id, score FROM cs SEMI JOIN ok USING (query_id, id) WHERE query_id NOT IN (SELECT query_id FROM hy) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 50),
+cd AS (SELECT query_id, id, lexical, semantic, 'hybrid' AS strategy FROM hy UNION ALL SELECT query_id, id, NULL, greatest(score, 0), 'semantic_fallback' FROM fb
+UNION ALL SELECT query_id, id, NULL, NULL, 'browse' FROM ok WHERE query_id IN (SELECT query_id FROM ef WHERE effective = '')),
+{SIGNALS}, {RECENT.removeprefix('WITH ')}{AFF.format(d='category')}{AFF.format(d='brand')},
+pb AS (SELECT user_id, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM rec WHERE {W_SQL} > 0 GROUP BY 1),
+rr AS (SELECT cd.*, corrected, price_ascending, quality_bias, p.effective_price, p.rating_avg, p.inventory, p.conversion, ln(1 + p.rating_count) AS lp,
+  least(0.6::DOUBLE * coalesce(ca.affinity, 0) + 0.25::DOUBLE * coalesce(ba.affinity, 0) + CASE WHEN p.effective_price BETWEEN lo AND hi THEN 0.15::DOUBLE ELSE 0 END, 1) AS personal
+  FROM cd JOIN ef USING (query_id) JOIN sig p ON p.id = cd.id LEFT JOIN category_aff ca ON ca.user_id = b % 50 AND ca.category_id = p.category_id
+  LEFT JOIN brand_aff ba ON ba.user_id = b % 50 AND ba.brand_id = p.brand_id LEFT JOIN pb ON pb.user_id = b % 50),
+mm AS (SELECT *, min(lexical) OVER q AS l0, max(lexical) OVER q AS l1, min(semantic) OVER q AS s0, max(semantic) OVER q AS s1, min(lp) OVER q AS p0, max(lp) OVER q AS p1 FROM rr WINDOW q AS (PARTITION BY query_id)),
+rk AS (SELECT *, 0.30::DOUBLE * coalesce(CASE WHEN l1 - l0 < 1e-9 THEN CASE WHEN l1 > 0 AND lexical IS NOT NULL THEN 1.0 ELSE 0.0 END ELSE (lexical - l0) / (l1 - l0) END, 0)
+  + 0.25::DOUBLE * coalesce(CASE WHEN s1 - s0 < 1e-9 THEN CASE WHEN s1 > 0 AND semantic IS NOT NULL THEN 1.0 ELSE 0.0 END ELSE (semantic - s0) / (s1 - s0) END, 0)
+  + 0.12::DOUBLE * CASE WHEN p1 - p0 < 1e-9 THEN CASE WHEN p1 > 0 THEN 1.0 ELSE 0.0 END ELSE (lp - p0) / (p1 - p0) END
+  + 0.10::DOUBLE * CASE WHEN quality_bias THEN least(rating_avg / 5.0 * 1.25::DOUBLE, 1) ELSE rating_avg / 5.0 END
+  + 0.10::DOUBLE * conversion + 0.08::DOUBLE * personal + 0.05::DOUBLE * CASE WHEN inventory > 0 THEN 1.0::DOUBLE ELSE 0 END AS score FROM mm)"""
+
+
+def mode_queries(t):
+    base = t.product_queries.join(t.products.select(F.col("id").alias("query_id"), "title"), "query_id")
+    b, title = F.col("query_id"), F.col("title")
+    typo = F.when(b % 3 == 0, F.concat(F.substring(title, 2, 1), F.substring(title, 1, 1), F.substring(title, 3, 200))).when(
+        b % 3 == 1, F.concat(F.substring(title, 1, 2), F.substring(title, 4, 200))).otherwise(F.concat(F.lit("x"), title))
+    none, category = F.array().cast("array<bigint>"), F.array((b % 6).cast("bigint"))
+
+    def kind(variant, text, cats=none, brands=none, rating=None, sale=False):
+        return F.struct(F.lit(variant).alias("variant"), text.alias("query"), cats.alias("category_ids"), brands.alias("brand_ids"),
+                        F.lit(rating).cast("double").alias("min_rating"), (F.lit(sale) if isinstance(sale, bool) else sale).alias("on_sale_only"))
+
+    kinds = F.array(kind(0, F.col("query")), kind(1, typo), kind(2, F.lit("  "), category, sale=b % 2 == 0),
+                    kind(3, F.lit("zzyzxqq wvvwq"), category, F.array((b % 25 + 1).cast("bigint")), 2.5))
+    return base.select(b.alias("base"), F.explode(kinds).alias("k")).select(
+        (F.col("base") * 4 + F.col("k.variant")).alias("query_id"), "base", (F.col("base") % 50).alias("user_id"), "k.*").drop("variant")
+
+
+def searched(t, limit=10, offset=0):
+    recent = materialise(P.last_events(t.events, t.products), "recent-events")
+    profile = M.Profile(P.affinity(recent, "category_id", t.events_as_of), P.affinity(recent, "brand_id", t.events_as_of), P.price_band(recent))
+    asked = mode_queries(t)
+    aim = asked.select("query_id", F.col("base").alias("id")).join(t.vectors, "id").select("query_id", "vector")
+    vocabulary = S.postings(S.product_text(t.products)).groupBy("term").agg(F.count("*").alias("df"))
+    conversion = R.item_signals(t.products, t.events, t.events_as_of).select("id", "conversion")
+    return M.search(asked.drop("base"), aim, t.products, t.vectors, conversion, vocabulary, t.categories, profile, limit=limit, offset=offset)
+
+
+@query("sr_18_search_modes", f"""WITH {PRODS}, {POST}, {MODES}
+SELECT query_id, strategy, coalesce(corrected, '') AS corrected, id, round(score, 5) AS score, count(*) OVER (PARTITION BY query_id) AS total,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN price_ascending THEN effective_price ELSE -round(score, 6) END, id) AS INTEGER) AS rank FROM rk QUALIFY rank <= 10""")
+def _(t):
+    return searched(t)[0].select("query_id", "strategy", F.coalesce("corrected", F.lit("")).alias("corrected"), "id", F.round("score", 5).alias("score"), "total", "rank")
+
+
+@query("sr_14_personal_ranking", f"""WITH {PRODS}, {POST}, {MODES} SELECT query_id, strategy, count(*) AS n, count(*) FILTER (WHERE personal > 0) AS n_personal, round(max(personal), 9) AS best FROM rk GROUP BY 1, 2""")
+def _(t):
+    return searched(t)[1].groupBy("query_id", "strategy").agg(
+        F.count("*").alias("n"), F.count_if(F.col("personal") > 0).alias("n_personal"), F.round(F.max("personal"), 9).alias("best"))
