@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shoplattice.constants import (
     EVENT_WEIGHTS, INTERACTION_DECAY_DAYS, RECOMMENDER_REASONS, RECOMMENDER_WEIGHTS, TRENDING_TYPES, VIEW_TYPES,
 )
-from shoplattice.functions.grouped import block_topk, both_directions, grouped_percentiles, item_pairs, top_k
+from shoplattice.functions.grouped import block_topk, both_directions, grouped_percentiles, item_pairs, salted_join, top_k
 from shoplattice.functions.scalars import age_days, clip, dot, event_weight, minmax, ntz, top_labels
 from shoplattice.operators.catalog import margin
 from shoplattice.session import materialise
@@ -179,6 +179,23 @@ def served_lists(
         "user_id", (F.col("at") + 1).alias("rank"), "p.product_id", "p.strategy")
 
 
+def continue_shopping(cart: DataFrame, viewed: DataFrame, similar: DataFrame, k: int = 8) -> DataFrame:
+    """(user_id, product_id, rank, origin): what is left in the cart, then items like the one viewed last, ``k`` in all.
+
+    ``cart`` is (user_id, product_id, rank), ``viewed`` (user_id, product_id, position), ``similar`` (id, product_id, rank).
+    As each rail of the page is read by itself, a similar item may also be in the cart. The list of similar items is one
+    row per product, and users meet it in salted parts, as many may have viewed the same product last.
+    """
+    kept = cart.where(F.col("rank") <= k).select("user_id", "product_id", "rank", F.lit("cart").alias("origin"))
+    taken = kept.groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+    last = viewed.where("position = 1").select("user_id", F.col("product_id").alias("id")).join(taken, "user_id", "left")
+    likes = similar.where(F.col("rank") <= k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id"))).alias("likes"))
+    met = salted_join(last.where(F.coalesce("n", F.lit(0)) < k), likes, ["id"], "user_id")
+    fill = met.select("user_id", F.coalesce("n", F.lit(0)).alias("n"), F.explode("likes").alias("s")).select(
+        "user_id", "s.product_id", (F.col("s.rank") + F.col("n")).alias("rank"), F.lit("similar").alias("origin"))
+    return kept.unionByName(fill.where(F.col("rank") <= k))
+
+
 def trending_items(signals: DataFrame, k: int = 10) -> DataFrame:
     damped = F.col("trending") * (0.3 + 0.7 * F.col("availability"))
     order = [F.round(damped, 6).desc(), F.col("id")]

@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shoplattice.operators import analytics as A, attribution, catalog as C, features as FE, index_store as IX, personal as P, sentiment as SE
+from shoplattice.operators import analytics as A, attribution, catalog as C, features as FE, index_store as IX, personal as P, recommend as R, sentiment as SE
+from shoplattice.plans.recommender_queries import HOME, item_cf_lists
 from shoplattice.plans.registry import query, sql_tokens
 from shoplattice.session import work_dir
 from shoplattice.sources import sinks as S
@@ -92,6 +93,23 @@ def homepage(t, per_rail: int = 8) -> DataFrame:
     return out
 
 
+RAIL_STRATEGY = {"continue": "continue_shopping", "recent": "recently_viewed", "deals": "deals", "trending": "trending_events", "category_affinity": "trending_events"}
+
+
+def whole_homepage(t, own: DataFrame | None = None, per_rail: int = 8) -> DataFrame:
+    """(user, rail, rank, product, strategy): every rail of every user. ``own`` are the users' lists, else the hybrid ones."""
+    from shoplattice.plans import recommender_queries as RQ
+    if own is None:
+        own = R.hybrid_topk(*RQ.hybrid_inputs(t), 10).select("user_id", "product_id", "rank")
+    cols = ["rail", "user_id", "product_id", "rank"]
+    warm = RQ.routed(t).where("strategy = 'hybrid'").select("user_id")
+    carry = RQ.continued(t, per_rail).join(warm, "user_id", "left_semi").withColumn("rail", F.lit("continue"))
+    others = homepage(t, per_rail).where("rail <> 'continue'").select(cols).unionByName(carry.select(cols))
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in RAIL_STRATEGY.items() for x in pair]), F.col("rail"))
+    mine = RQ.serving(t, own).where(F.col("rank") <= per_rail).withColumn("rail", F.lit("for_you"))
+    return others.withColumn("strategy", label).unionByName(mine.select(*cols, "strategy"))
+
+
 @query("job_01_dashboard")
 def _(t):
     out = None
@@ -158,3 +176,9 @@ def _(t):
     score_pending(t, path, "v1")
     rows = t.spark.read.parquet(f"{path}/review_scores")
     return rows.agg(F.count("sentiment_label").alias("scored"), F.count_distinct("id").alias("ids"))
+
+
+@query("set_04_whole_rails", HOME + " SELECT rail, strategy, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(rank) AS BIGINT) AS ranks FROM page GROUP BY 1, 2")
+def _(t):
+    return whole_homepage(t, item_cf_lists(t)).groupBy("rail", "strategy").agg(
+        F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.sum("rank").alias("ranks"))

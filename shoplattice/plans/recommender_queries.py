@@ -159,12 +159,15 @@ def _(t):
     return signals(t).select("id", F.round("business", 6).alias("business"))
 
 
-@query("rc_16_similar_items", f"""WITH {NEIGH}, n AS (SELECT count(*) AS c FROM lt_vectors),
+SIMILAR = """n AS (SELECT count(*) AS c FROM lt_vectors),
 bs AS (SELECT src, CASE WHEN count(*) < (SELECT c FROM n) THEN least(min(similarity), 0) ELSE min(similarity) END AS lo, max(similarity) AS hi FROM nb GROUP BY 1),
 pp AS (SELECT a.id, b.id AS product_id, list_dot_product(a.vector, b.vector) AS c, a.category_id = b.category_id AS same FROM lt_vectors a, lt_vectors b),
 pc AS (SELECT *, min(c) OVER (PARTITION BY id) AS clo, max(c) OVER (PARTITION BY id) AS chi FROM pp),
 f AS (SELECT pc.id, pc.product_id, 0.5::DOUBLE * (c - clo) / (chi - clo) + 0.35::DOUBLE * CASE WHEN hi - lo >= 1e-9 THEN (coalesce(similarity, 0) - lo) / (hi - lo) ELSE 0 END
-  + CASE WHEN same THEN 0.15::DOUBLE ELSE 0 END AS score FROM pc LEFT JOIN bs ON bs.src = pc.id LEFT JOIN nb ON nb.src = pc.id AND nb.dst = pc.product_id WHERE pc.id <> pc.product_id)
+  + CASE WHEN same THEN 0.15::DOUBLE ELSE 0 END AS score FROM pc LEFT JOIN bs ON bs.src = pc.id LEFT JOIN nb ON nb.src = pc.id AND nb.dst = pc.product_id WHERE pc.id <> pc.product_id)"""
+
+
+@query("rc_16_similar_items", f"""WITH {NEIGH}, {SIMILAR}
 SELECT id, product_id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 5) DESC, product_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
 def _(t):
     return R.similar_items(t.vectors, neighbours(t)).withColumn("score", F.round("score", 5))
@@ -218,20 +221,27 @@ def serving(t, lists):
     return R.served_lists(users, lists, by_category, for_all, popular, R.user_history(t.events).select("user_id", "product_id").distinct(), 10)
 
 
-@query("rc_20_refilled_lists", CF[:CF.rindex("SELECT user_id")] + f""", {RECENT}, {ROUTE_SQL}{AFF.format(d='category')}, {SIGNALS},
+SERVED = CF[:CF.rindex("SELECT user_id")] + f""", {RECENT}, {ROUTE_SQL}{AFF.format(d='category')}, {SIGNALS},
 fav AS (SELECT user_id, arg_min(category_id, (-affinity, category_id)) AS category_id FROM category_aff GROUP BY 1),
 cl AS (SELECT id, category_id, round(cold_start, 6) AS c FROM sig WHERE cold_start > 0),
 arms AS (SELECT user_id, product_id, 1 AS arm, row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 6) DESC, product_id) AS pos FROM rw JOIN rt USING (user_id) WHERE strategy = 'hybrid'
 UNION ALL SELECT user_id, c.id, 2, pos FROM rt JOIN fav USING (user_id) JOIN (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY c DESC, id) AS pos FROM cl QUALIFY pos <= 10) c USING (category_id) WHERE strategy = 'cold_start'
 UNION ALL SELECT user_id, c.id, 3, pos FROM rt, (SELECT *, row_number() OVER (ORDER BY c DESC, id) AS pos FROM cl QUALIFY pos <= 10) c
 UNION ALL SELECT user_id, c.id, 4, pos FROM rt, (SELECT id, row_number() OVER (ORDER BY round(popularity, 6) DESC, id) AS pos FROM sig) c),
-one AS (SELECT user_id, product_id, min((arm, pos)) AS place FROM arms ANTI JOIN hs USING (user_id, product_id) GROUP BY 1, 2)
-SELECT user_id, product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place) AS INTEGER) AS rank, CASE place[1] WHEN 1 THEN 'hybrid' WHEN 4 THEN 'popularity_fallback' ELSE 'cold_start' END AS strategy
-FROM one QUALIFY rank <= 10""")
-def _(t):
+one AS (SELECT user_id, product_id, min((arm, pos)) AS place FROM arms ANTI JOIN hs USING (user_id, product_id) GROUP BY 1, 2),
+sl AS (SELECT user_id, product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place) AS INTEGER) AS rank, CASE place[1] WHEN 1 THEN 'hybrid' WHEN 4 THEN 'popularity_fallback' ELSE 'cold_start' END AS strategy
+FROM one QUALIFY rank <= 10)"""
+
+
+def item_cf_lists(t):
     history = materialise(R.user_history(t.events), "history")
     raw = R.item_cf_raw(history, neighbours(t)).join(history.select("user_id", "product_id").distinct(), ["user_id", "product_id"], "left_anti")
-    return serving(t, top_k(raw, ["user_id"], [F.round("raw", 6).desc(), F.col("product_id")], 10))
+    return top_k(raw, ["user_id"], [F.round("raw", 6).desc(), F.col("product_id")], 10)
+
+
+@query("rc_20_refilled_lists", SERVED + " SELECT user_id, product_id, rank, strategy FROM sl")
+def _(t):
+    return serving(t, item_cf_lists(t))
 
 
 @query("rc_20_served_lists")
@@ -297,6 +307,40 @@ def _(t):
     return homepage(t).where(F.col("rail").isin("recent", "continue", "deals")).select("rail", "user_id", "product_id", "rank")
 
 
+# The whole page reads the lists served above, the similar items of the last view, and the trending counts.
+FILLED = f"""{VIEWED}, {SIMILAR},
+sr AS (SELECT id, product_id, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 5) DESC, product_id) AS INTEGER) AS rank FROM f),
+cm AS (SELECT user_id, product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY position) AS INTEGER) AS rank FROM (SELECT * FROM ct WHERE position <= 30) ANTI JOIN bo USING (user_id, product_id) QUALIFY rank <= 8),
+cf AS (SELECT user_id, product_id, rank, 'cart' AS origin FROM cm UNION ALL SELECT vw.user_id, sr.product_id, CAST(sr.rank + coalesce(n, 0) AS INTEGER), 'similar' FROM vw JOIN sr ON sr.id = vw.product_id
+  LEFT JOIN (SELECT user_id, count(*) AS n FROM cm GROUP BY 1) USING (user_id) WHERE position = 1 AND sr.rank + coalesce(n, 0) <= 8)"""
+
+
+def continued(t, k=8):
+    return R.continue_shopping(cart_minus_bought(t), P.recently_viewed(t.events, n=1), R.similar_items(t.vectors, neighbours(t), k), k)
+
+
+@query("rc_21_continue_filled", f"WITH {NEIGH}, {FILLED} SELECT user_id, product_id, rank, origin FROM cf")
+def _(t):
+    return continued(t)
+
+
+HOME = SERVED + f""", {FILLED}, {TREND_USER},
+tn AS (SELECT product_id, category_id, count(*) AS n FROM lt_events e JOIN lt_products p ON p.id = product_id, lt_asof
+  WHERE p.is_active AND event_type IN ('product_view','add_to_cart','purchase') AND occurred_at >= e_now - INTERVAL 14 DAY GROUP BY 1, 2),
+page AS (SELECT 'for_you' AS rail, strategy, user_id, product_id, rank FROM sl WHERE rank <= 8
+UNION ALL SELECT 'continue', 'continue_shopping', user_id, product_id, cf.rank FROM cf JOIN rt USING (user_id) WHERE rt.strategy = 'hybrid'
+UNION ALL SELECT 'recent', 'recently_viewed', user_id, product_id, position FROM vw JOIN rt USING (user_id) WHERE rt.strategy = 'hybrid' AND position <= 8
+UNION ALL SELECT 'deals', 'deals', user_id, product_id, dl.rank FROM rt, dl
+UNION ALL SELECT 'trending', 'trending_events', user_id, product_id, x.rank FROM rt, (SELECT product_id, CAST(row_number() OVER (ORDER BY n DESC, product_id) AS INTEGER) AS rank FROM tn QUALIFY rank <= 8) x
+UNION ALL SELECT 'category_affinity', 'trending_events', user_id, product_id, x.rank FROM fav JOIN (SELECT category_id, product_id, CAST(row_number() OVER (PARTITION BY category_id ORDER BY n DESC, product_id) AS INTEGER) AS rank FROM tn QUALIFY rank <= 8) x USING (category_id))"""
+
+
+@query("rc_22_whole_homepage", HOME + " SELECT rail, strategy, user_id, product_id, rank FROM page")
+def _(t):
+    from shoplattice.plans.jobs import whole_homepage
+    return whole_homepage(t, item_cf_lists(t))
+
+
 @query("rc_23_explanations", f"""WITH {SIGNALS}, b AS (SELECT id, [('popularity', blend, 0), ('business', business, 1)] AS l, blend, business FROM sig)
 SELECT id, CASE WHEN blend <= 0.05 AND business <= 0.05 THEN 'Recommended based on overall store trends'
   WHEN business <= 0.05 THEN 'Recommended because it is trending across the store' WHEN blend <= 0.05 THEN 'Recommended because it is well stocked and highly rated'

@@ -112,3 +112,12 @@ def test_panel_is_spread_over_tasks(spark, tables, monkeypatch):
     assert len(held) >= 3 and spread.count() == whole.count()
     empty = FC.weekly_panel(daily_demand(tables.order_items.where("false")), tables.products)
     assert empty.count() == 0
+
+
+def test_the_cart_comes_first_then_items_like_the_last_view(spark):
+    cart = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (3, 10, 1), (3, 11, 2), (3, 12, 3)], "user_id long, product_id long, rank int")
+    viewed = spark.createDataFrame([(1, 50, 1), (1, 51, 2), (2, 50, 1), (3, 50, 1), (4, 99, 1)], "user_id long, product_id long, position int")
+    similar = spark.createDataFrame([(50, 60 + i, i) for i in range(1, 6)] + [(51, 70, 1)], "id long, product_id long, rank int")
+    got = sorted(tuple(r) for r in R.continue_shopping(cart, viewed, similar, 3).collect())
+    assert got == [(1, 10, 1, "cart"), (1, 11, 2, "cart"), (1, 61, 3, "similar"), (2, 61, 1, "similar"), (2, 62, 2, "similar"), (2, 63, 3, "similar"),
+                   (3, 10, 1, "cart"), (3, 11, 2, "cart"), (3, 12, 3, "cart")]
