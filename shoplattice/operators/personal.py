@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplattice.constants import EVENT_WEIGHTS, PROFILE_HALF_LIFE_DAYS, REVENUE_STATUSES, VIEW_TYPES
 from shoplattice.functions.grouped import grouped_percentiles, top_k
@@ -98,3 +98,43 @@ def preference_vector(category: DataFrame, brand: DataFrame, dim: int = 16, key:
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
     return wide.withColumn("_n", norm).withColumn("preference", F.transform(
         "v", lambda x: F.when(F.col("_n") > 0, F.round(x / F.col("_n"), 5)).otherwise(0.0))).drop("v", "_n")
+
+
+def _listed(rows: DataFrame, key: str, name: str, item: Column | str, order: str, n: int) -> DataFrame:
+    """The first ``n`` items of a short ranked list per key, as an array."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), (F.col(item) if isinstance(item, str) else item).alias("item"))))
+    return rows.where(F.col(order) <= n).groupBy(key).agg(F.transform(pairs, lambda p: p["item"]).alias(name))
+
+
+def behaviour(recent: DataFrame, as_of: datetime, key: str = "user_id") -> DataFrame:
+    """One row per key of ``last_events``: interactions, strongest affinities, price range, lists and preference vector.
+
+    Works for users as for anonymous sessions. Every part is reduced to a row per key, with bounded lists, before parts meet.
+    Affinities are lists of (id, affinity), strongest first, at most ten.
+    """
+    category, brand = affinity(recent, "category_id", as_of, key), affinity(recent, "brand_id", as_of, key)
+    out = recent.where(F.col("event_type").isin(*WEIGHTED)).groupBy(key).agg(F.count("*").alias("interaction_count"))
+
+    def strongest(rows: DataFrame, dimension: str, name: str) -> DataFrame:
+        best = top_k(rows, [key], [F.col("affinity").desc(), F.col(dimension)], 10)
+        return _listed(best, key, name, F.struct(F.col(dimension).alias("id"), "affinity"), "rank", 10)
+
+    parts = [strongest(category, "category_id", "category_affinity"), strongest(brand, "brand_id", "brand_affinity"), price_band(recent, key),
+             _listed(recently_viewed(recent, key), key, "recently_viewed", "product_id", "position", 20),
+             _listed(cart_state(recent, key), key, "cart", "product_id", "position", 30),
+             _listed(wishlist(recent, key), key, "wishlist", "product_id", "position", 30), preference_vector(category, brand, key=key)]
+    for part in parts:
+        out = out.join(part, key, "left")
+    lists = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("category_affinity", "brand_affinity", "recently_viewed", "cart", "wishlist", "preference")}
+    return out.withColumns(lists)
+
+
+def whole_profiles(facts: DataFrame, behaviours: DataFrame, order_items: DataFrame, searches: DataFrame) -> DataFrame:
+    """``profiles`` with the behaviour columns, the latest 20 purchases and the search terms among the latest 20 searches of every user."""
+    bought = _listed(purchased_lists(order_items), "user_id", "purchased", "product_id", "position", 20)
+    asked = top_k(searches.select("user_id", "normalized_query", "occurred_at", "id"), ["user_id"], [F.col("occurred_at").desc(), F.col("id").desc()], 20)
+    terms = asked.where(F.col("normalized_query") != "").groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(
+        F.struct("rank", "normalized_query"))), lambda p: p["normalized_query"]), 1, 10).alias("search_terms"))
+    out = facts.join(behaviours.drop("interaction_count"), "user_id", "left").join(bought, "user_id", "left").join(terms, "user_id", "left")
+    lists = [c for c in (*behaviours.columns, "purchased", "search_terms") if c in out.columns and out.schema[c].dataType.typeName() == "array"]
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in lists})

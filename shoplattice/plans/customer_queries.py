@@ -7,6 +7,7 @@ from shoplattice.constants import SEGMENT_FEATURES, SEGMENT_REST, SEGMENT_RULES
 from shoplattice.functions.scalars import micros
 from shoplattice.operators import features as FE, personal as P, segments as SG
 from shoplattice.plans.registry import fitted_once, query
+from shoplattice.session import materialise
 
 W_SQL = "CASE event_type WHEN 'product_view' THEN 1 WHEN 'click' THEN 1.5 WHEN 'wishlist' THEN 3 WHEN 'add_to_cart' THEN 4 WHEN 'remove_from_cart' THEN -1 WHEN 'purchase' THEN 6 ELSE 0 END"
 RECENT = """rec AS (SELECT r.*, category_id, brand_id, price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at DESC, id DESC) AS rn
@@ -86,6 +87,59 @@ def _(t):
     return P.affinity(P.last_events(t.session_events, t.products, "session_id", 200), "category_id", t.events_as_of, "session_id")
 
 
+def behaviour_sql(events: str, key: str, n: int) -> str:
+    """The behaviour columns of a key as strings, affinities in millionths: the SQL side of ``flat``."""
+    at = f"PARTITION BY {key} ORDER BY"
+    listed = lambda name, types, keep, n: (
+        f"{name}_l AS (SELECT {key}, string_agg(product_id, ',' ORDER BY ats DESC) AS {name} FROM (SELECT * FROM (SELECT {key}, product_id, max((occurred_at, id)) AS ats, arg_max(event_type, (occurred_at, id)) AS newest "
+        f"FROM rec WHERE event_type IN ({types}) GROUP BY 1, 2) WHERE {keep} QUALIFY row_number() OVER ({at} ats DESC) <= {n}) GROUP BY 1)")
+    aff = lambda d: (
+        f"{d}_s AS (SELECT {key}, {d}_id, sum({W_SQL} * power(0.5::DOUBLE, greatest((epoch_us(e_now) - epoch_us(occurred_at)) / 86400000000.0, 0) / 45.0)) AS s FROM rec, lt_asof GROUP BY 1, 2), "
+        f"{d}_aff AS (SELECT {key}, {d}_id, round(s / m, 6) AS affinity FROM (SELECT *, max(s) OVER (PARTITION BY {key}) AS m FROM {d}_s) WHERE m > 0), "
+        f"{d}_l AS (SELECT {key}, string_agg({d}_id || '=' || CAST(round(affinity * 1000000) AS BIGINT), ',' ORDER BY affinity DESC, {d}_id) AS {d}_affinity "
+        f"FROM (SELECT * FROM {d}_aff QUALIFY row_number() OVER ({at} affinity DESC, {d}_id) <= 10) GROUP BY 1)")
+    return f"""rec AS (SELECT r.*, category_id, brand_id, price FROM (SELECT *, row_number() OVER ({at} occurred_at DESC, id DESC) AS rn FROM {events}) r JOIN lt_products p ON p.id = r.product_id WHERE rn <= {n}),
+{aff('category')}, {aff('brand')}, {listed('recently_viewed', "'product_view','click'", 'true', 20)}, {listed('wishlist', "'wishlist'", 'true', 30)},
+{listed('cart', "'add_to_cart','remove_from_cart'", "newest = 'add_to_cart'", 30)},
+band AS (SELECT {key}, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM rec WHERE {W_SQL} > 0 GROUP BY 1),
+slots AS (SELECT {key}, slot, sum(w) AS w FROM (SELECT {key}, category_id % 16 AS slot, affinity AS w FROM category_aff UNION ALL SELECT {key}, (brand_id * 7) % 16, affinity * 0.5::DOUBLE FROM brand_aff) GROUP BY 1, 2),
+vec AS (SELECT {key}, count(*) FILTER (WHERE round(w / l, 5) <> 0) AS n_slots FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS l FROM slots) GROUP BY 1),
+bh AS (SELECT {key}, n AS interaction_count, coalesce(category_affinity, '') AS category_affinity, coalesce(brand_affinity, '') AS brand_affinity, round(lo, 4) AS price_p10, round(hi, 4) AS price_p90,
+  coalesce(recently_viewed, '') AS recently_viewed, coalesce(cart, '') AS cart, coalesce(wishlist, '') AS wishlist, coalesce(n_slots, 0) AS n_slots
+  FROM (SELECT {key}, count(*) AS n FROM rec WHERE {W_SQL} <> 0 GROUP BY 1) LEFT JOIN category_l USING ({key}) LEFT JOIN brand_l USING ({key}) LEFT JOIN band USING ({key})
+  LEFT JOIN recently_viewed_l USING ({key}) LEFT JOIN cart_l USING ({key}) LEFT JOIN wishlist_l USING ({key}) LEFT JOIN vec USING ({key}))"""
+
+
+def flat(rows):
+    """Behaviour columns as strings and plain numbers."""
+    pairs = lambda c: F.array_join(F.transform(c, lambda p: F.concat(p["id"].cast("string"), F.lit("="), F.round(p["affinity"] * 1000000).cast("bigint").cast("string"))), ",")
+    return rows.withColumns({
+        **{c: pairs(F.col(c)) for c in ("category_affinity", "brand_affinity")}, **{c: F.array_join(c, ",") for c in ("recently_viewed", "cart", "wishlist")},
+        **{c: F.round(c, 4) for c in ("price_p10", "price_p90")}, "n_slots": F.size(F.filter("preference", lambda x: x != 0)).cast("bigint")}).drop("preference")
+
+
+@query("pf_04_whole_profiles", SG.SEGMENT_SQL + f""", {behaviour_sql('lt_events', 'user_id', 600)},
+pu AS (SELECT user_id, string_agg(product_id, ',' ORDER BY placed_at DESC, order_id DESC, product_id) AS purchased FROM (SELECT * FROM lt_items QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY placed_at DESC, order_id DESC, product_id) <= 20) GROUP BY 1),
+se AS (SELECT user_id, array_to_string(list(normalized_query ORDER BY rn)[1:10], '|') AS search_terms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at DESC, id DESC) AS rn FROM lt_search) WHERE rn <= 20 AND normalized_query <> '' GROUP BY 1),
+sg AS (SELECT user_id, arg_max(segment_label, created_at) AS segment FROM seg GROUP BY 1)
+SELECT u.id AS user_id, coalesce(interaction_count, 0) AS interaction_count, coalesce(category_affinity, '') AS category_affinity, coalesce(brand_affinity, '') AS brand_affinity, price_p10, price_p90, coalesce(recently_viewed, '') AS recently_viewed,
+  coalesce(cart, '') AS cart, coalesce(wishlist, '') AS wishlist, coalesce(n_slots, 0) AS n_slots, coalesce(purchased, '') AS purchased, coalesce(search_terms, '') AS search_terms, coalesce(po.n, 0) AS order_count, round(coalesce(amt, 0), 2) AS total_spend, segment
+FROM lt_users u LEFT JOIN bh ON bh.user_id = u.id LEFT JOIN pu ON pu.user_id = u.id LEFT JOIN se ON se.user_id = u.id LEFT JOIN po ON po.user_id = u.id LEFT JOIN sg ON sg.user_id = u.id""")
+def _(t):
+    recent = materialise(_recent(t), "recent-events")
+    facts = P.profiles(t.users, recent, t.orders, t.session_events, t.reviews, t.search_events, SG.rule_segments(t))
+    rows = flat(P.whole_profiles(facts, P.behaviour(recent, t.events_as_of), t.order_items, t.search_events))
+    return rows.withColumns({"purchased": F.array_join("purchased", ","), "search_terms": F.array_join("search_terms", "|")}).select(
+        "user_id", "interaction_count", "category_affinity", "brand_affinity", "price_p10", "price_p90", "recently_viewed", "cart", "wishlist", "n_slots", "purchased",
+        "search_terms", "order_count", "total_spend", "segment")
+
+
+@query("pf_05_whole_anonymous_profiles", f"WITH {behaviour_sql('lt_sessions', 'session_id', 200)} SELECT * FROM bh")
+def _(t):
+    recent = materialise(P.last_events(t.session_events, t.products, "session_id", 200), "recent-session-events")
+    return flat(P.behaviour(recent, t.events_as_of, "session_id"))
+
+
 def _affinities(t):
     recent = _recent(t)
     return P.affinity(recent, "category_id", t.events_as_of), P.affinity(recent, "brand_id", t.events_as_of)
