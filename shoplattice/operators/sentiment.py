@@ -5,8 +5,9 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Transformer
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplattice.constants import ASPECT_LEXICON, CLAUSE_BREAK, LEXICON_FRAGMENT, NEGATION_TERMS
@@ -49,15 +50,21 @@ class SublinearTfIdf(Transformer):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         idfs = self.idfs
 
-        @F.udf(VectorUDT())
-        def weigh(*blocks):
+        @F.pandas_udf(VectorUDT())  # a sparse vector travels as its parts, a batch of rows at a time
+        def weigh(*blocks: pd.DataFrame) -> pd.DataFrame:
             at, indices, values = 0, [], []
             for counts, idf in zip(blocks, idfs):
-                v = (1 + np.log(counts.values)) * idf[counts.indices]
-                indices.append(counts.indices + at)
-                values.append(v / (np.sqrt((v * v).sum()) or 1.0))
-                at += counts.size
-            return SparseVector(at, np.concatenate(indices), np.concatenate(values))
+                sizes = counts["indices"].map(len).to_numpy()
+                places = np.concatenate([*counts["indices"], np.zeros(0, np.int32)])
+                v = (1 + np.log(np.concatenate([*counts["values"], np.zeros(0)]))) * idf[places]
+                squares = np.bincount(np.repeat(np.arange(len(sizes)), sizes), v * v, len(sizes))
+                v /= np.repeat(np.sqrt(squares), sizes)
+                cuts = np.cumsum(sizes)[:-1]
+                indices.append(np.split(places + at, cuts))
+                values.append(np.split(v, cuts))
+                at += len(idf)
+            join = lambda parts: [np.concatenate(row) for row in zip(*parts)]
+            return pd.DataFrame({"type": np.zeros(len(blocks[0]), np.int8), "size": np.full(len(blocks[0]), at, np.int32), "indices": join(indices), "values": join(values)})
 
         return dataset.withColumn(self.target, weigh(*self.names))
 
@@ -100,18 +107,22 @@ def _grams(df: DataFrame) -> DataFrame:
     return df.withColumn("word", F.concat(words, word_ngrams(words, 2))).withColumn("char", char_wb_ngrams(words, 3, 5))
 
 
-def score_text(model, texts: DataFrame) -> DataFrame:
-    """Add ``label`` and ``score`` = P(positive) - P(negative) to any frame with ``text``.
+def text_features(model, texts: DataFrame) -> DataFrame:
+    """Add ``features``, the sparse term weights of the fitted vocabulary, to any frame with ``text``.
 
     The counts are written once, compact, before they are weighed in Python."""
-    from pyspark.ml.functions import vector_to_array
-    names = list(model.stages[0].labels)
     counted = _grams(_spread(texts))
     for vectorizer in model.stages[1:-2]:
         counted = vectorizer.transform(counted)
-    scored = materialise(counted.select(*texts.columns, "word_tf", "char_tf"), "review-counts")
-    for stage in model.stages[-2:]:
-        scored = stage.transform(scored)
+    counted = materialise(counted.select(*texts.columns, "word_tf", "char_tf"), "review-counts")
+    return model.stages[-2].transform(counted).drop("word_tf", "char_tf")
+
+
+def score_text(model, texts: DataFrame) -> DataFrame:
+    """Add ``label`` and ``score`` = P(positive) - P(negative) to any frame with ``text``."""
+    from pyspark.ml.functions import vector_to_array
+    names = list(model.stages[0].labels)
+    scored = model.stages[-1].transform(text_features(model, texts))
     scored = scored.withColumn("_p", vector_to_array("probability"))
     p = lambda name: F.col("_p")[names.index(name)] if name in names else F.lit(0.0)
     labels = F.array(*[F.lit(x) for x in names])

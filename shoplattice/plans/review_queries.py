@@ -123,6 +123,15 @@ def _(t):
     return SE.score_text(model, rows.where("is_test").select("id", "text")).select("id", "label", "score")
 
 
+@query("se_03_term_weights")
+def _(t):
+    rows, model = classifier(t)
+    parts = F.unwrap_udt("features")
+    square = F.aggregate(parts["values"], F.lit(0.0), lambda a, x: a + x * x)
+    return SE.text_features(model, rows.where("is_test").select("id", "text")).select(
+        "id", parts["size"].alias("n_terms"), F.size(parts["indices"]).alias("n_weights"), F.round(F.sqrt(square), 6).alias("norm"))
+
+
 @query("se_04_logistic_report")
 def _(t):
     rows, model = classifier(t)
