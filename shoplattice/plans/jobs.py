@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shoplattice.operators import analytics as A, attribution, catalog as C, features as FE, index_store as IX, personal as P, recommend as R, sentiment as SE
+from shoplattice.plans import analytics_queries, catalog_queries  # noqa: F401  their SQL is that of the sections
 from shoplattice.plans.recommender_queries import HOME, item_cf_lists
-from shoplattice.plans.registry import query, sql_tokens
+from shoplattice.plans.registry import SQL, query, sql_tokens
 from shoplattice.session import work_dir
 from shoplattice.sources import sinks as S
 
@@ -21,7 +22,7 @@ def dashboard(t, days: int = 30) -> dict[str, DataFrame]:
         "customers": A.customer_counts(t.users_with_signup, t.orders, t.orders_as_of, days),
         "top_customers": A.top_customers(t.users, t.orders),
         **product_analytics(t),
-        "sentiment": A.sentiment_distribution(t.reviews),
+        "sentiment": A.sentiment_distribution(t.reviews.unionByName(t.pending_reviews)),
         "revenue_timeseries": A.revenue_timeseries(t.orders, t.orders_as_of, days),
         "event_funnel": A.event_funnel(t.events, t.events_as_of, days),
     }
@@ -110,24 +111,59 @@ def whole_homepage(t, own: DataFrame | None = None, per_rail: int = 8) -> DataFr
     return others.withColumn("strategy", label).unionByName(mine.select(*cols, "strategy"))
 
 
-@query("job_01_dashboard")
-def _(t):
+#: Section: (query with its SQL, key column or None where the section is one row, measures).
+PRODUCT_SECTIONS = {
+    "best_sellers": ("agg_11_best_sellers", "id", ("price", "inventory", "units_sold", "revenue")),
+    "low_inventory": ("topk_03_low_inventory", "id", ("inventory",)),
+    "high_conversion": ("agg_12_conversion_best", "id", ("views", "purchases", "conversion_rate")),
+    "poor_performers": ("agg_12_conversion_worst", "id", ("views", "purchases", "conversion_rate")),
+    "category_breakdown": ("agg_09_category_breakdown", "slug", ("products", "revenue")),
+}
+SECTIONS = {
+    "business": ("agg_01_business_metrics", None, (
+        "revenue", "revenue_change_pct", "orders", "orders_change_pct", "average_order_value", "aov_change_pct", "unique_buyers", "active_users", "sessions",
+        "conversion_rate", "repeat_buyers", "retention_rate", "total_customers", "total_products")),
+    "recommendation": ("agg_03_recommendation_metrics", None, ("impressions", "clicks", "conversions", "ctr", "conversion_rate")),
+    "by_strategy": ("agg_04_ctr_by_strategy", "strategy", ("impressions", "clicks", "ctr")),
+    "search": ("agg_05_search_metrics", None, ("searches", "clicks", "conversions", "ctr", "conversion_rate", "abandonment_rate", "zero_result_rate", "avg_latency_ms")),
+    "customers": ("agg_06_customer_counts", None, ("new_users", "window_buyers")),
+    "top_customers": ("agg_08_top_customers", "user_id", ("total_spend", "orders")),
+    **PRODUCT_SECTIONS,
+    "sentiment": ("agg_18_sentiment_distribution", "sentiment_label", ("count", "share", "total_labelled", "total_reviews")),
+    "revenue_timeseries": ("agg_02_revenue_timeseries", "date", ("revenue", "orders")),
+    "event_funnel": ("agg_10_event_funnel", None, ("views", "carts", "purchases", "view_to_cart", "cart_to_purchase", "view_to_purchase")),
+}
+
+
+def section_values(sections: dict[str, DataFrame], layout: dict[str, tuple]) -> DataFrame:
+    """(section, key, measure, value) of all that the sections hold; measures without a value are left out."""
     out = None
-    for name, df in dashboard(t).items():
-        part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows")
+    for name, (_, key, measures) in layout.items():
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("m")
+        label = (F.lit("") if key is None else F.col(key).cast("string")).alias("key")
+        part = sections[name].select(F.lit(name).alias("section"), label, each).select("section", "key", "m.measure", F.round("m.value", 4).alias("value"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.where("value IS NOT NULL")
+
 
+def section_sql(layout: dict[str, tuple]) -> str:
+    parts = []
+    for name, (of, key, measures) in layout.items():
+        names, values = ", ".join(f"'{m}'" for m in measures), ", ".join(f'CAST("{m}" AS DOUBLE)' for m in measures)
+        label = "''" if key is None else f"CAST({key} AS VARCHAR)"
+        limited = f"SELECT * FROM ({SQL[of]}) LIMIT 10" if of == "topk_03_low_inventory" else SQL[of]
+        parts.append(f"SELECT '{name}' AS section, {label} AS key, unnest([{names}]) AS measure, round(unnest([{values}]), 4) AS value FROM ({limited})")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE value IS NOT NULL"
 
-@query("job_02_product_analytics", """
-SELECT 'best_sellers' AS section, CAST(10 AS BIGINT) AS rows UNION ALL SELECT 'low_inventory', least(10, (SELECT count(*) FROM lt_products WHERE is_active AND inventory <= 10))
-UNION ALL SELECT 'high_conversion', 10 UNION ALL SELECT 'poor_performers', 10 UNION ALL SELECT 'category_breakdown', count(DISTINCT category_id) FROM lt_products""")
+
+@query("job_01_dashboard", section_sql(SECTIONS))
 def _(t):
-    out = None
-    for name, df in product_analytics(t).items():
-        part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return section_values(dashboard(t), SECTIONS)
+
+
+@query("job_02_product_analytics", section_sql(PRODUCT_SECTIONS))
+def _(t):
+    return section_values(product_analytics(t), PRODUCT_SECTIONS)
 
 
 @query("job_03_feature_store", """

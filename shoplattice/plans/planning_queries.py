@@ -322,7 +322,9 @@ def _(t):
 
 @query("pr_08_model_opportunities")
 def _(t):
-    return PR.opportunities(_model_outlook(t), t.products)
+    """Products that the model prices above their listing, and those it prices below, ten of each."""
+    priced = materialise(_model_outlook(t), "model-outlook")
+    return PR.opportunities(priced, t.products).unionByName(PR.opportunities(priced, t.products, "down"))
 
 
 @query("pr_09_model_narratives")

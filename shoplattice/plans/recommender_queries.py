@@ -1,10 +1,12 @@
 """Recommender signals, graphs and ranked lists."""
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window as W, functions as F
 
 from shoplattice.functions.grouped import best_unseen, numbered, scalar, top_k
-from shoplattice.functions.scalars import minmax
+from shoplattice.functions.scalars import minmax, ntz
 from shoplattice.operators import analytics as A, catalog as C, evaluate as E, personal as P, recommend as R
 from shoplattice.plans.customer_queries import AFF, RECENT, W_SQL
 from shoplattice.plans.registry import query
@@ -114,6 +116,18 @@ def _(t):
     return out.withColumn("score", F.round("score", 5))
 
 
+# A model of the last 90 days; products that it doesn't know take the counts over all orders.
+@query("rc_17_bought_together_fallback", "WITH fresh AS (SELECT order_id, product_id FROM lt_items, lt_asof WHERE placed_at >= o_now - INTERVAL 90 DAY), " + GRAPH.replace("lt_lines", "fresh") + """,
+md AS (SELECT src AS product_id, dst AS other_id, round(weight, 5) AS score, rank, 'co_purchase_model' AS strategy FROM gr WHERE rank <= 5),
+cn AS (SELECT a.product_id, b.product_id AS other_id, count(*) AS n FROM (SELECT DISTINCT order_id, product_id FROM lt_lines) a JOIN lt_lines b ON a.order_id = b.order_id AND a.product_id <> b.product_id GROUP BY 1, 2)
+SELECT * FROM md UNION ALL SELECT product_id, other_id, round(n / max(n) OVER (PARTITION BY product_id), 5) AS score, CAST(row_number() OVER (PARTITION BY product_id ORDER BY n DESC, other_id) AS INTEGER) AS rank,
+  'co_purchase_sql' AS strategy FROM cn WHERE product_id NOT IN (SELECT product_id FROM md) QUALIFY rank <= 5""")
+def _(t):
+    fresh = t.order_items.where(F.col("placed_at") >= ntz(t.orders_as_of - timedelta(days=90)))
+    out = R.bought_together(R.co_purchase_graph(fresh), A.co_purchase_counts(t.order_lines, 5), 5)
+    return out.withColumn("score", F.round("score", 5))
+
+
 CF = f"""WITH {NEIGH}, {HIST},
 sd AS (SELECT user_id, product_id AS src, count(*) AS times FROM hs WHERE recency <= 25 GROUP BY 1, 2),
 rw AS (SELECT user_id, dst AS product_id, sum(similarity * times) AS raw FROM sd JOIN nb USING (src) GROUP BY 1, 2),

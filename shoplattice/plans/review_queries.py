@@ -9,7 +9,7 @@ from shoplattice.constants import ASPECT_LEXICON, DRIFT_THRESHOLD, MODEL_NAMES,
 from shoplattice.functions.scalars import ntz
 from shoplattice.operators import analytics as A, evaluate as E, monitoring as M, segments as SG, sentiment as SE
 from shoplattice.plans.analytics_queries import SERVING_SQL
-from shoplattice.plans.recommender_queries import SIGNALS, signals
+from shoplattice.plans.recommender_queries import CF, SIGNALS, item_cf_lists, signals
 from shoplattice.plans.registry import fitted_once, query, sql_tokens
 from shoplattice.session import materialise
 from shoplattice.sources import sinks
@@ -203,6 +203,13 @@ def _(t):
     return E.catalogue_coverage(rec_lists(t), t.products.agg(F.count("*")).scalar())
 
 
+@query("ev_06_coverage_of_own_lists", CF[:CF.rindex("SELECT user_id")] + """, ow AS (SELECT user_id, product_id FROM rw ANTI JOIN hs USING (user_id, product_id)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 6) DESC, product_id) <= 10)
+SELECT round(count(DISTINCT product_id) / (SELECT count(*) FROM lt_products), 5) AS coverage FROM ow""")
+def _(t):
+    return E.catalogue_coverage(item_cf_lists(t), t.products.agg(F.count("*")).scalar())
+
+
 ERR = """er AS (SELECT category_id, rating_avg AS actual, discount_pct / 6.0 AS predicted FROM lt_products),
 em AS (SELECT category_id, round(avg(abs(predicted - actual)), 5) AS mae, round(sqrt(avg((predicted - actual) * (predicted - actual))), 5) AS rmse, round(avg(abs((predicted - actual) / actual)) * 100, 4) AS mape,
   round(avg(CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0 ELSE abs(predicted - actual) / ((abs(actual) + abs(predicted)) / 2.0) END) * 100, 4) AS smape, round(avg(predicted - actual), 5) AS bias, count(*) AS support,

@@ -153,14 +153,25 @@ rk AS (SELECT *, 0.30::DOUBLE * text_s + 0.25::DOUBLE * sem_s + 0.12::DOUBLE * p
 
 
 def retrieved(t):
+    """Candidates of all queries, retrieved once for every query that reads them."""
+    return fitted_once(t, "search-candidates", _retrieve)
+
+
+def _retrieve(t):
     lex = S.bm25(t.product_queries, S.product_text(t.products))
     qv = t.product_queries.join(t.vectors.select(F.col("id").alias("query_id"), "vector"), "query_id").select("query_id", "vector")
-    return S.candidates(lex, S.cosine_topk(qv, t.vectors, S.CANDIDATE_POOL))
+    return materialise(S.candidates(lex, S.cosine_topk(qv, t.vectors, S.CANDIDATE_POOL)), "search-candidates")
+
+
+def ranked(t):
+    """The ranked candidates, ranked once for every query that reads them."""
+    return fitted_once(t, "ranked-candidates", _rank)
 
 
-def ranked(t, **kw):
+def _rank(t):
     conversion = R.item_signals(t.products, t.events, t.events_as_of).select("id", "conversion")
-    return S.rank_candidates(retrieved(t), S.parse_intent(t.product_queries, t.categories), t.products, conversion, **kw)
+    ranking = S.rank_candidates(retrieved(t), S.parse_intent(t.product_queries, t.categories), t.products, conversion)
+    return materialise(ranking, "ranked-candidates")
 
 
 @query("sr_10_hybrid_candidates", f"WITH {CAND} SELECT query_id, id, round(coalesce(lexical, 0), 5) AS lexical, round(coalesce(semantic, 0), 5) AS semantic FROM cd")

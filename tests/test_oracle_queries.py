@@ -11,6 +11,7 @@ SAMPLE = (
     "topk_06_fallbacks", "pf_01_affinity", "pf_03_recent_lists", "pf_04_whole_profiles", "pf_05_whole_anonymous_profiles", "fs_01_user_features", "sg_01_rfm_frame", "rc_03_bm25_matrix", "rc_05_item_neighbours",
     "rc_09_co_purchase_graph", "rc_13_personal_scores", "sr_02_bm25", "sr_04_closest_terms", "sr_08_cosine_topk", "sr_18_search_modes", "ev_04_average_precision", "ev_10_psi", "mr_01_register",
     "scl_06_ngrams", "scl_11_percentiles", "st_03_live_funnel", "st_04_session_stream", "st_05_cart_state", "st_08_late_rows",
+    "job_01_dashboard", "job_02_product_analytics", "ev_06_coverage_of_own_lists", "rc_17_bought_together_fallback", "srt_02_search_sorts",
 )
 
 
