@@ -16,6 +16,8 @@ into single strings, which need only be counted. No case is capped or dropped.
 Defined results: null text is empty; texts shorter than ``repeat`` have no repeats; repeated rows repeat each other;
 matches never cross documents; rows with a null doc_id take part like others.
 
+``repeat_groups`` gives the repeats themselves: each group's string with all its occurrences.
+
 With ``words``, passages of so many words are found in the same way whatever their bytes: each word becomes a code of
 ``CODE`` bytes, and strings of ``words`` codes are looked for in the coded texts. A match between two codes would need a
 code's bytes to agree by chance, so a passage of one word less isn't taken.
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplattice.llm.common import slices, utf8
@@ -312,6 +314,13 @@ def _frequent(contents: DataFrame, repeat: int, gram: int) -> DataFrame:
     return parts.join(found, ["block", "part"]).select("key", "body", "l", "r")
 
 
+def _classes(numbered: DataFrame, repeat: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """All frames, and the different ones of keys with more than one frame or copy."""
+    members = materialise(_all_frames(numbered, repeat, gram), "frames")
+    classes = members.groupBy("key", "body").agg(F.min(F.struct("did", "tag", "place")).alias("rep"), (F.count("*") > 1).alias("copies"))
+    return members, materialise(_sized(classes).select("key", "body", "m", "copies", "rep.*"), "frame-classes")
+
+
 def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
     """did, tag and ``spans``: stretches (start, stop) whose every byte lies in a string of ``repeat`` bytes that also
     starts elsewhere, in this document or another. Stretches may overlap."""
@@ -321,9 +330,7 @@ def spans(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
 
 
 def _spans(numbered: DataFrame, repeat: int, gram: int) -> DataFrame:
-    members = materialise(_all_frames(numbered, repeat, gram), "frames")
-    classes = members.groupBy("key", "body").agg(F.min(F.struct("did", "tag", "place")).alias("rep"), (F.count("*") > 1).alias("copies"))
-    classes = materialise(_sized(classes).select("key", "body", "m", "copies", "rep.*"), "frame-classes")
+    members, classes = _classes(numbered, repeat, gram)
     right, left = F.col("place").bitwiseAND(1023).cast("int"), F.shiftright("place", 10).bitwiseAND(1023).cast("int")
     copied = classes.where("copies").select("key", "body", left.alias("l"), right.alias("r"))
     contents = _contents(numbered, classes.where("m > 1"))
@@ -339,6 +346,109 @@ def _spans(numbered: DataFrame, repeat: int, gram: int) -> DataFrame:
     return covered.groupBy("did", "tag").agg(F.collect_set("span").alias("spans"))
 
 
+def _steps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each text in sorted order, and the common prefixes of neighbours in that order."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    rank = np.empty(len(texts), np.int64)
+    rank[order] = np.arange(len(texts))
+    return rank, np.array([common(texts[a], texts[b]) for a, b in zip(order, order[1:])], np.int64)
+
+
+def repeats_of(group: list[tuple[int, int, bytes, bool]], repeat: int) -> Iterator[tuple[int, int, int, int]]:
+    """The maximal repeats among the frames of a key (body, bytes to the left of the anchor, content, whether it has copies):
+    frame, identity of the repeat, its length and the distance from its start to the anchor.
+
+    A string that starts ``s`` bytes before the anchor is shared by the frames that lie in one interval of ``repeat - s`` common
+    bytes to the right and in one interval of ``s`` common bytes to the left. From start to start the intervals only change
+    where a common prefix ends, so only those starts are looked at; starts with the same frames are one repeat, which ends
+    where the bytes on one of its sides differ between its occurrences."""
+    left = np.array([g[1] for g in group])
+    least = np.array([repeat - len(content) + before for _, before, content, _ in group])
+    copies = np.array([g[3] for g in group])
+    marks = np.array([xxhash.xxh64_intdigest(body.to_bytes(8, "little", signed=True)) for body, *_ in group], np.uint64)
+    right_rank, right_common = _steps([content[before:] for _, before, content, _ in group])
+    left_rank, left_common = _steps([content[:before][::-1] for _, before, content, _ in group])
+    starts = np.unique(np.concatenate([repeat - 1 - right_common, left_common, left, least - 1]))
+    starts = starts[(starts >= least.min()) & (starts <= left.max())][::-1]
+    now, since = np.zeros(len(group), np.uint64), np.zeros(len(group), np.int64)
+
+    def ended(which: np.ndarray, at: int) -> Iterator[tuple[int, int, int, int]]:
+        for frame in np.flatnonzero(which & (now != 0)).tolist():
+            first = int(since[frame])
+            yield frame, _signed(int(now[frame]).to_bytes(8, "little"), first), repeat + first - at, first
+
+    for start in starts.tolist():
+        apart = [np.concatenate(([0], np.cumsum(shared < wanted)))[rank] for rank, shared, wanted in (
+            (right_rank, right_common, repeat - start), (left_rank, left_common, start))]
+        holds = np.flatnonzero((left >= start) & (least <= start))
+        _, kind, size = np.unique(apart[0][holds] * len(group) + apart[1][holds], return_inverse=True, return_counts=True)
+        total = np.zeros(len(size), np.uint64)
+        np.add.at(total, kind, marks[holds])
+        following = np.zeros(len(group), np.uint64)
+        following[holds] = np.where((size[kind] > 1) | copies[holds], total[kind] | np.uint64(1), 0)
+        changed = following != now
+        yield from ended(changed, start + 1)
+        since[changed] = start
+        now = following
+    yield from ended(now != 0, int(least.min()))
+
+
+def repeat_groups(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM) -> DataFrame:
+    """The repeats with all their occurrences: group, ``length`` in bytes, did, tag and the ``position`` (byte) of one occurrence.
+
+    A group is a string of ``repeat`` bytes or more that occurs at least twice, as long as it can be with the same occurrences
+    around its anchor: one byte more to the left or right, and some occurrence differs, or another anchor's groups begin. Each
+    start of a string of ``repeat`` bytes that repeats lies in exactly one group, together with all equal strings.
+    Frames of a key with over ``GROUP`` of them are cut into single strings, which are grouped by what shares them and
+    joined to runs again."""
+    if repeat > 1023 or gram >= repeat:
+        raise ValueError("frames hold strings of at most 1023 bytes, longer than their gram")
+    numbered = _numbered(docs)
+    members, classes = _classes(numbered, repeat, gram)
+    right, left = F.col("place").bitwiseAND(1023).cast("int"), F.shiftright("place", 10).bitwiseAND(1023).cast("int")
+    names, types = ["key", "body", "group", "length", "start"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    schema = "key bigint, body bigint, `group` bigint, length int, start int"
+    alone = classes.where("m = 1 AND copies").select("key", "body", F.xxhash64("key", "body").alias("group"), (left + right).alias("length"), left.alias("start"))
+    contents = _contents(numbered, classes.where("m > 1")).join(classes.where("m > 1").select("key", "body", "copies"), ["key", "body"])
+    contents = materialise(contents, "group-contents")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, rows = None, [], []
+
+        def close() -> None:
+            rows.extend((key, group[frame][0], _signed(name.to_bytes(8, "little", signed=True), key % (1 << 64)), length, start)
+                        for frame, name, length, start in (repeats_of(group, repeat) if group else ()))
+
+        for batch in batches:
+            for now, *frame in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "left", "content", "copies"))):
+                if now != key:
+                    close()
+                    key, group = now, []
+                group.append(tuple(frame))
+                if len(rows) >= _ROWS:
+                    yield _batch(rows, names, types)
+                    rows.clear()
+        close()
+        yield _batch(rows, names, types)
+
+    few = contents.where(F.col("m") <= GROUP).repartition("key").sortWithinPartitions("key").mapInArrow(scan, schema)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, body, left, content, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "left", "content", "copies"))):
+                rows = [(key, body, left - at, _signed(content[at:at + repeat], 0), copies) for at in range(len(content) - repeat + 1)]
+                yield _batch(rows, ["key", "body", "start", "string", "copies"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()])
+
+    single = contents.where(F.col("m") > GROUP).mapInArrow(strings, "key bigint, body bigint, start int, string bigint, copies boolean")
+    shared = single.groupBy("key", "start", "string").agg(F.count("*").alias("n"), F.max("copies").alias("copies"), F.bit_xor(F.xxhash64("body")).alias("name"))
+    named = single.drop("copies").join(shared.where("n > 1 OR copies").select("key", "start", "string", "name"), ["key", "start", "string"])
+    run = F.col("start") + F.row_number().over(Window.partitionBy("key", "body", "name").orderBy(F.col("start").desc()))
+    many = named.withColumn("run", run).groupBy("key", "body", "name", "run").agg(F.max("start").alias("start"), F.count("*").alias("n")).select(
+        "key", "body", F.xxhash64("key", "name", "start").alias("group"), (F.col("n") + repeat - 1).cast("int").alias("length"), "start")
+    found = materialise(alone.union(few).union(many), "repeat-groups")
+    return members.join(found, ["key", "body"]).select("group", "length", "did", "tag", (F.shiftright("place", 20) - F.col("start")).alias("position"))
+
+
 class _Codes(dict):
     """Codes of words seen before, a bounded number of them."""
 

@@ -78,6 +78,53 @@ def test_repeats_of_nothing(spark):
     assert suffix.remove_repeats(frame(spark, [(1, "short")]), 20, 6).first().cut.n_removed == 0
 
 
+@pytest.mark.parametrize("group", [2048, 2])
+def test_repeat_groups_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    size, gram = 20, 6
+    draw = random.Random(3 + group)
+    parts = ["".join(draw.choices("abcé", k=draw.randint(4, 40))) for _ in range(10)]
+    rows = [(n, "".join(draw.choices(parts, k=draw.randint(1, 6)))) for n in range(40)]
+    rows += [(100, None), (101, ""), (102, "aaaaaaaa" * 10), (None, parts[0] * 3), (104, rows[0][1]), (105, "z" * 19)]
+    texts = {-1 if i is None else i: (t or "").encode() for i, t in rows}
+    equal = {}
+    for i, text in texts.items():
+        for at in range(len(text) - size + 1):
+            equal.setdefault(text[at:at + size], set()).add((i, at))
+    members = {}
+    for r in suffix.repeat_groups(frame(spark, rows), size, gram).collect():
+        members.setdefault((r.group, r.length), []).append((r.did, r.position))
+    placed = {}
+    for name, found in members.items():
+        length = name[1]
+        assert len(found) == len(set(found)) > 1 and length >= size
+        assert len({texts[i][at:at + length] for i, at in found}) == 1
+        for offset in range(length - size + 1):
+            together = {(i, at + offset) for i, at in found}
+            for start in together:
+                assert placed.setdefault(start, (name, together)) == (name, together)  # in one group only
+    assert placed.keys() == {start for some in equal.values() if len(some) > 1 for start in some}
+    for some in equal.values():
+        assert len(some) == 1 or all(placed[start][1] == some for start in some)  # with all equal strings
+    anchors = {}
+    for i, text in texts.items():
+        for nth, (_, at, left, right) in enumerate(suffix.frames(text, size, gram)):
+            for a, b, c in zip(at.tolist(), left.tolist(), right.tolist()):
+                anchors.update({(i, start): (nth, a) for start in range(a - b, a + c - size + 1)})
+    for (i, at), (name, together) in placed.items():  # no longer than that with the same occurrences around the anchor
+        if anchors.get((i, at)) == anchors.get((i, at + 1)) and (i, at + 1) in placed and placed[(i, at + 1)][0] != name:
+            assert {(j, other + 1) for j, other in together} != placed[(i, at + 1)][1]
+
+
+def test_repeat_groups_of_repeated_rows(spark):
+    text = "one two three four five six"
+    got = suffix.repeat_groups(frame(spark, [(1, text), (1, text), (2, "x" + text)]), 20, 6).collect()
+    longest = [(r.did, r.position) for r in got if r.length == max(g.length for g in got)]
+    assert sorted(longest).count((1, longest[0][1] if longest[0][0] == 1 else min(p for d, p in longest if d == 1))) == 2
+    assert {r.did for r in got} == {1, 2}
+    assert suffix.repeat_groups(frame(spark, []), 20, 6).count() == 0
+
+
 def test_repeats_as_text_drop_cut_characters(spark):
     shared = "0123456789" * 3
     got = suffix.remove_repeats(frame(spark, [(1, "aé" + shared), (2, "bê" + shared)]), 31, 6, as_text=True).collect()
