@@ -5,12 +5,14 @@ import re
 import struct
 from itertools import product
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
 from shoplattice.llm import bpe, langid, licences, packing, quality, queries, suffix
+from tests.conftest import DATA
 from tests.llm import brute
 
 SCHEMA = "doc_id bigint, text string, ids string, cut string, kept string, spans string, packed string"
@@ -159,11 +161,62 @@ def test_licences(spark):
     assert licences.recognise(frame(spark, rows)).count() == len(rows) and licences.recognise(frame(spark, [])).count() == 0
 
 
+LICENSED = {
+    "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, "
+    "including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following "
+    "conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, "
+    "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n": ("MIT",),
+    "# Copyright (C) 2019 A. Person. All rights reserved.\n#\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#\n# 1. Redistributions of source code "
+    "must retain the above copyright notice, this\n#    list of conditions and the following disclaimer.\n# 2. Redistributions in binary form must reproduce the above copyright notice,\n#    this list of conditions and the following disclaimer in the "
+    "documentation\n#    and/or other materials provided with the distribution.\n": ("BSD-2-Clause",),
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\n"
+    "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.\n": ("GPL-3.0-or-later",),
+    "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */": ("MPL-2.0",),
+    "// SPDX-License-Identifier: Apache-2.0\n#include <x>": ("Apache-2.0",),
+    "code\n/* SPDX-License-Identifier: GPL-2.0-or-later */\nmore": ("GPL-2.0-or-later",),
+    "Some text.\nLicensed under the MIT License (see LICENSE).\n": ("MIT",),
+    "This project is licensed under the ISC License, see the LICENSE file for details.": ("ISC",),
+    "One line\nAll rights reserved.\nend": ("Proprietary",),
+    "Copyright 2021 Some Firm, all rights reserved": ("Proprietary",),
+    "(c) 2021 Some Firm": (),
+    "You were granted permission to read the report of 2021": (),
+}
+
+
+def test_licences_of_real_texts(spark):
+    rows = list(enumerate(LICENSED)) + [(99, "word " * 200_000 + "\nMIT License.\n" + "tail " * 200_000)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS sentences", "2 AS licences", "3 AS rest", "4 AS cut")
+    got = {r.doc_id: tuple(r.licences) for r in licences.recognise(clash).collect()}
+    assert got == {n: want for n, want in enumerate(LICENSED.values())} | {99: ("MIT",)}
+
+
+@pytest.mark.parametrize("name", ["op2_licences"])
+def test_licences_match_sql_on_real_texts(spark, tmp_path, name):
+    spark.createDataFrame(list(enumerate(LICENSED)) + [(50, None), (51, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(queries.SQL[name]).df()
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns and sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
+
+
+def test_licence_lines_of_the_documents_are_found(spark):
+    """Of the lines of documents that speak of a licence, the share in documents with a licence found."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    spoken = docs.where("text RLIKE '(?i)licensed under|released under the|rights reserved|spdx-license'").select("doc_id").distinct()
+    found = licences.recognise(docs).where("size(licences) > 0").select("doc_id").distinct()
+    assert spoken.count() > 0 and spoken.join(found, "doc_id", "left_anti").count() <= 0.05 * spoken.count()
+
+
 def test_licence_tables():
     assert all(re.search(licences.CUE, text) for text in licences.SENTENCES.values())
     assert all(re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", text) for text in licences.SENTENCES.values())
     assert len(set(licences.SENTENCES.values())) == len(licences.SENTENCES)
-    assert {i for _, run in licences.RULES for i in run} <= set(licences.SENTENCES)
+    assert all(re.search(licences.CUE, text.replace("spdx license identifier ", "spdx-license-identifier-")) for text in licences.TABLE)
+    assert {i for _, run in licences.RULES for i in run} <= set(licences.TABLE.values())
+    assert set(licences.TABLE.values()) - {i for _, run in licences.RULES for i in run} <= {"apache-comply", "apache-obtain", "apache-as-is", "apache-see", "gpl-warranty", "mit-notice", "mit-as-is"}
     for nth, (_, run) in enumerate(licences.RULES):  # a rule inside another has to come after it
         joined = "".join(f"<{i}>" for i in run)
         assert not any(joined in "".join(f"<{i}>" for i in later) and later != run for _, later in licences.RULES[nth + 1:])
