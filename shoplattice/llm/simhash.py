@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplattice.llm.common import id_and_text, slices, utf8
@@ -27,6 +27,8 @@ from shoplattice.session import materialise
 SEED = 42
 #: Distinct fingerprints of a signature that one task compares at once; larger buckets are dealt into pairs of blocks.
 BLOCK = 2048
+#: Fingerprints of which a task makes the signatures, 66 each.
+SHARE = 4096
 _STEP = 1 << 16
 
 
@@ -138,11 +140,17 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
         state = now
 
 
+def _tasks(spark: SparkSession, n: int) -> int:
+    """Tasks over ``n`` fingerprints: of SHARE each while that is no more than the session's shuffles have, later of up to 256 times as many."""
+    return max(1, min(-(-n // SHARE), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // (256 * SHARE)))
+
+
 def _rooted(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Every row's fingerprint; every fingerprint's smallest doc_id and the root of its component."""
     prints = materialise(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes, most), "simhash-links")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    spread = classes.select("fp").repartition(_tasks(docs.sparkSession, classes.count()), "fp")  # a small table would be read in two tasks
+    roots = components(links(spread, most), "simhash-links")
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return prints, materialise(rooted, "simhash-roots")
 
