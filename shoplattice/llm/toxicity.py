@@ -2,7 +2,8 @@
 
 The categories are predicted one after another; each model also sees the probabilities of the categories before it.
 While it is fitted, those are out-of-fold predictions, made by models that had not seen the row, so that a later model
-learns how far an earlier one can be trusted. Folds go by the text, so copies of a text share one.
+learns how far an earlier one can be trusted: neither their weights nor their grams come from rows of its fold. Folds go by
+the text, so copies of a text share one.
 
 Features: character grams of words, chosen by how strongly they go with a category among the training rows,
 each counted once per text, and a few measures of form. At most ``MAX_TRAINING`` labelled documents are used to fit
@@ -17,7 +18,6 @@ repeated documents come back repeated; columns other than doc_id, text and the l
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -103,78 +103,98 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, n_features: int, dense: np
     return weights
 
 
-def fit_chain(categories: list[str], features: dict[str, int], texts: list[tuple[list[int], list[float], int]], truth: np.ndarray) -> Chain:
-    """``texts``: columns, measures and fold of each row; ``truth``: row by category, NaN where unknown."""
+def fit_chain(categories: list[str], features: dict[str, int], texts: list[tuple[list[int], list[float], int]], truth: np.ndarray,
+              chosen: list[set[int]] | None = None) -> Chain:
+    """``texts``: columns, measures and fold of each row; ``truth``: row by category, NaN where unknown; ``chosen``: for each
+    fold the columns that were chosen without its rows (none given: the features), which may lie behind the features."""
     chain = Chain(categories, features)
-    n = len(texts)
+    n, size = len(texts), len(features)
     rows = np.repeat(np.arange(n), [len(t[0]) for t in texts])
     columns = np.array([c for t in texts for c in t[0]], np.int64)
     dense = np.array([t[1] for t in texts], float).reshape(n, FORM)
     folds = np.array([t[2] for t in texts])
+    width = max([size, *(1 + max(some, default=-1) for some in chosen or [])])
+    own = columns < size
+    apart = [np.isin(columns, np.array(sorted(some), np.int64)) for some in chosen] if chosen else [own] * FOLDS
     for at in range(len(categories)):
         target = truth[:, at]
         outside = np.zeros(n)
         for fold in range(FOLDS):
-            weights = fit_linear(rows, columns, len(features), dense, np.where(folds == fold, np.nan, target))
-            odds = np.bincount(rows, weights[columns], n) + dense @ weights[len(features):-1] + weights[-1]
+            some, those = rows[apart[fold]], columns[apart[fold]]
+            weights = fit_linear(some, those, width, dense, np.where(folds == fold, np.nan, target))
+            odds = np.bincount(some, weights[those], n) + dense @ weights[width:-1] + weights[-1]
             outside = np.where(folds == fold, 1 / (1 + np.exp(-np.clip(odds, -35, 35))), outside)
-        chain.models.append(fit_linear(rows, columns, len(features), dense, target))
+        chain.models.append(fit_linear(rows[own], columns[own], size, dense, target))
         dense = np.column_stack([dense, outside])
     return chain
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int = MAX_TRAINING) -> DataFrame:
-    """doc_id, text and a column of 0, 1 or null for each category, of at most ``most`` labelled documents."""
+    """doc_id, text, ``__fold`` and a column of 0, 1 or null for each category, of at most ``most`` labelled documents."""
     known = labels.select("doc_id", *(F.expr(value).cast("double").alias(name) for name, value in categories.items())).where("doc_id is not null")
     each = known.groupBy("doc_id").agg(*(F.min(name).alias(name) for name in categories))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id")  # ``most`` short rows
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min(name).alias(name) for name in categories))
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min(name).alias(name) for name in categories))
+    return rows.withColumn("__fold", F.crc32(F.coalesce("text", F.lit(""))) % FOLDS)
 
 
 def _counted(training: DataFrame, categories: list[str]) -> DataFrame:
-    """gram, ``n`` rows with it, and for each category the rows with it and the label."""
-    names = ["gram", "n", *categories]
+    """gram, ``__fold``, ``__n`` rows with it, and for each category the rows with it and the label."""
+    names = ["__n", *categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in names[1:]]
-
-        def out() -> pa.RecordBatch:
-            grams_seen = list(counts[0])
-            batch = pa.RecordBatch.from_arrays([pa.array(grams_seen, pa.string()), *(pa.array([c[g] for g in grams_seen], pa.int64()) for c in counts)], names)
-            for c in counts:
+        counts = [[Counter() for _ in names] for _ in range(FOLDS)]
+
+        def out(fold: int) -> pa.RecordBatch:
+            grams_seen = list(counts[fold][0])
+            batch = pa.RecordBatch.from_arrays([
+                pa.array(grams_seen, pa.string()), pa.array([fold] * len(grams_seen), pa.int64()),
+                *(pa.array([c[g] for g in grams_seen], pa.int64()) for c in counts[fold])], ["gram", "__fold", *names])
+            for c in counts[fold]:
                 c.clear()
             return batch
 
         for batch in batches:
             marks = [batch.column(c).to_pylist() for c in categories]
-            for nth, text in enumerate(batch.column("text").to_pylist()):
+            for nth, (text, fold) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__fold").to_pylist())):
                 found = {g for word in words_of(text or "") for g in grams(word)}
-                counts[0].update(found)
-                for count, mark in zip(counts[1:], marks):
+                counts[fold][0].update(found)
+                for count, mark in zip(counts[fold][1:], marks):
                     if mark[nth]:
                         count.update(found)
-                if len(counts[0]) > _FLUSH:
-                    yield out()
-        yield out()
+                if len(counts[fold][0]) > _FLUSH:
+                    yield out(fold)
+        yield from map(out, range(FOLDS))
 
-    schema = ", ".join(["gram string", *(f"`{c}` bigint" for c in names[1:])])
-    counted = training.select("text", *categories).mapInArrow(run, schema)
-    return counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names[1:])).where(F.col("n") >= LEAST_ROWS)
+    schema = ", ".join(["gram string", "__fold bigint", *(f"`{c}` bigint" for c in names)])
+    counted = training.select("text", "__fold", *categories).mapInArrow(run, schema)
+    return counted.groupBy("gram", "__fold").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def _chosen(training: DataFrame, categories: list[str]) -> dict[str, int]:
-    """The FEATURES grams of each category with the largest log odds over their standard error."""
-    sizes = training.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories)).first()
+def _chosen(training: DataFrame, categories: list[str]) -> tuple[dict[str, int], int, list[set[int]]]:
+    """The FEATURES grams of each category with the largest log odds over their standard error: chosen from all rows (the
+    first columns, with their number), and for each fold the columns chosen from the rows outside it."""
+    sums = ["__n", *categories]
+    sizes = training.groupBy("__fold").agg(F.count("*").alias("__n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories)).collect()  # a row a fold
     counted = materialise(_counted(training, categories), "toxic-grams")
-    chosen: dict[str, int] = {}
-    for c in categories:
-        with_label, without = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5
-        odds = F.log(with_label / (sizes[c] + 1)) - F.log(without / (sizes["n"] - sizes[c] + 1))
-        strength = odds / F.sqrt(1 / with_label + 1 / without)
-        for row in counted.select("gram", strength.alias("z")).where("z > 3").orderBy(F.desc("z"), "gram").limit(FEATURES).collect():
-            chosen.setdefault(row["gram"], len(chosen))
-    return chosen
+    columns: dict[str, int] = {}
+
+    def pick(without: int | None) -> set[int]:
+        size = {c: sum(r[c] for r in sizes if r["__fold"] != without) for c in sums}
+        each = (counted if without is None else counted.where(F.col("__fold") != without)).groupBy("gram").agg(*(F.sum(c).alias(c) for c in sums))
+        each = each.where(F.col("__n") >= LEAST_ROWS)
+        picked = set()
+        for c in categories:
+            with_label, others = F.col(c) + 0.5, F.col("__n") - F.col(c) + 0.5
+            odds = F.log(with_label / (size[c] + 1)) - F.log(others / (size["__n"] - size[c] + 1))
+            strength = odds / F.sqrt(1 / with_label + 1 / others)
+            for row in each.select("gram", strength.alias("z")).where("z > 3").orderBy(F.desc("z"), "gram").limit(FEATURES).collect():
+                picked.add(columns.setdefault(row["gram"], len(columns)))
+        return picked
+
+    own = len(pick(None))
+    return columns, own, [pick(fold) for fold in range(FOLDS)]
 
 
 class _Columns:
@@ -196,21 +216,22 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most:
     """The chain over ``categories``, in their order (name: SQL expression over ``labels``, 0 or 1)."""
     names = list(categories)
     training = materialise(training_rows(docs, labels, categories, most), "toxic-training")
-    features = _chosen(training, names)
+    every, own, chosen = _chosen(training, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Columns(features)
+        memory = _Columns(every)
         for batch in slices(batches):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([memory.of(t) for t in texts], pa.list_(pa.int64())), pa.array([[float(x) for x in form(t)] for t in texts], pa.list_(pa.float64())),
-                pa.array([zlib.crc32(t.encode()) % FOLDS for t in texts], pa.int64()), *(batch.column(c) for c in names)], ["doc_id", "columns", "measures", "fold", *names])
+                batch.column("__fold"), *(batch.column(c) for c in names)], ["doc_id", "__columns", "__measures", "__fold", *names])
 
     kind = training.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, columns array<bigint>, measures array<double>, fold bigint, " + ", ".join(f"`{c}` double" for c in names)
-    rows = sorted(training.select("doc_id", "text", *names).mapInArrow(run, schema).collect(), key=lambda r: r["doc_id"])  # ``most`` rows
+    schema = f"doc_id {kind}, __columns array<bigint>, __measures array<double>, __fold bigint, " + ", ".join(f"`{c}` double" for c in names)
+    rows = sorted(training.select("doc_id", "text", "__fold", *names).mapInArrow(run, schema).collect(), key=lambda r: r["doc_id"])  # ``most`` rows
     truth = np.array([[np.nan if r[c] is None else r[c] for c in names] for r in rows], float).reshape(len(rows), len(names))
-    return fit_chain(names, features, [(r["columns"], r["measures"], r["fold"]) for r in rows], truth)
+    features = {gram: column for gram, column in every.items() if column < own}
+    return fit_chain(names, features, [(r["__columns"], r["__measures"], r["__fold"]) for r in rows], truth, chosen)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
