@@ -1,8 +1,11 @@
 """Operators that compare rows with each other or with a reference set, and the pipeline, against plain versions."""
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -170,6 +173,71 @@ def test_toxicity_chain(spark):
     assert few.count() == 50
 
 
+def test_grams_of_one_fold_are_not_chosen_for_it(spark):
+    rows, labels = toxic_rows()
+    fold = lambda text: zlib.crc32(text.encode()) % toxicity.FOLDS
+    rows = [(n, text.replace("zorfling", "zorfling" if fold(text) == 1 else "quackling") if n % 5 == 0 else text) for n, text in rows]
+    marked = [(n, text) for n, text in rows if "zorfling" in text]
+    rows = [(n, text) for n, text in rows if "zorfling" not in text or fold(text) == 1]  # what changed its fold is left out
+    assert len(marked) > 8
+    training = toxicity.training_rows(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), queries.TOXIC_CHAIN)
+    assert {r["__fold"] for r in training.where("text LIKE '%zorfling%'").collect()} == {1}
+    every, own, chosen = toxicity._chosen(training, list(queries.TOXIC_CHAIN))
+    special = {column for gram, column in every.items() if "zorf" in gram}
+    assert special and any(column < own for column in special)
+    assert not special & chosen[1] and special & chosen[0] and special & chosen[2]
+
+
+def test_chain_against_plain_rows():
+    """Every fold's probabilities come from a model of the other folds' rows and of the columns chosen there."""
+    draw = random.Random(4)
+    texts = [(sorted(draw.sample(range(8), 3)), [draw.random() for _ in range(toxicity.FORM)], n % toxicity.FOLDS) for n in range(60)]
+    truth = np.array([[float(0 in t[0]), float(1 in t[0] or draw.random() < 0.2)] for t in texts])
+    truth[7, 0] = np.nan
+    features, chosen = {f"g{n}": n for n in range(6)}, [{0, 1, 2}, {0, 1, 6}, {1, 3, 7}]
+    chain = toxicity.fit_chain(["a", "b"], features, texts, truth, chosen)
+
+    def linear(some, columns, dense, width):
+        pairs = [(row, c) for row, n in enumerate(some) for c in texts[n][0] if c in columns]
+        return toxicity.fit_linear(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), width, dense[some], target[some])
+
+    dense = np.array([t[1] for t in texts])
+    for at in range(2):
+        target, outside = truth[:, at], np.zeros(60)
+        assert np.allclose(chain.models[at], linear(list(range(60)), set(range(6)), dense, 6), atol=1e-6)
+        for fold in range(toxicity.FOLDS):
+            weights = linear([n for n in range(60) if n % toxicity.FOLDS != fold], chosen[fold], dense, 8)
+            for n in range(fold, 60, toxicity.FOLDS):
+                odds = sum(weights[c] for c in texts[n][0] if c in chosen[fold]) + weights[8:-1] @ dense[n] + weights[-1]
+                outside[n] = 1 / (1 + np.exp(-odds))
+        dense = np.column_stack([dense, outside])
+
+
+def test_near_copies_edges(spark):
+    text = " ".join(f"w{n}" for n in range(40))
+    rows = [(5, text), (5, text), (4, text + " more"), (None, text), (7, None), (8, ""), (None, "alone in here")]
+    clash = frame(spark, rows).selectExpr("*", "1 AS size", "2 AS keys", "3 AS ties")
+    got = nearcopies.one_of_each(clash)
+    assert got.columns == clash.columns and sorted(str(r.doc_id) for r in got.collect()) == ["4", "7", "None"]
+    assert nearcopies.one_of_each(clash.where("false")).count() == 0
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bench(spark, []).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_signatures_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARE", 2)
+    monkeypatch.setattr(simhash, "components", lambda pairs, label: pairs.select("a").withColumnRenamed("a", "node").withColumn("root", F.col("node")).limit(0))
+    seen = []
+    monkeypatch.setattr(simhash, "links", lambda classes, most: seen.append(classes.rdd.getNumPartitions()) or classes.selectExpr("fp AS a", "fp AS b"))
+    simhash.near_duplicates(frame(spark, [(n, f"text number {n} {n * n}") for n in range(40)])).count()
+    assert seen[0] > 1 and simhash._tasks(spark, 0) == 1 and simhash._tasks(spark, 512 * 10 ** 6) == 10 ** 6
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     draw = random.Random(11)
     rows, labels = toxic_rows()
@@ -190,7 +258,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     kept = {r.doc_id: r.text for r in frames[1].collect()}
     assert kept == state
     ids = sorted(state)
-    roots = brute.groups([brute.simhash(state[i]) for i in ids], brute.near)
+    sets = [set(zip(*(w[at:] for at in range(5)))) if len(w) > 5 else {tuple(w)} for i in ids for w in [(state[i] or "").lower().split()]]
+    roots = brute.groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     state = {ids[n]: state[ids[n]] for n in sorted(set(roots))}
     assert {r.doc_id: r.text for r in frames[2].collect()} == state and 1100 not in state
     texts = [(t or "").encode() for t in state.values()]
