@@ -154,6 +154,13 @@ def test_silhouette_falls_with_wrong_labels(spark):
     assert segments.silhouette(swapped) < 0
 
 
+def test_percentile_of_event_times(spark):
+    """Sketches that meet in another order give other edges: both passes must use the same."""
+    us = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    want = np.quantile(us.toPandas()["us"].to_numpy().astype(float), 0.85)
+    assert grouped_percentiles(us, [], "us", {"cut": 0.85}).first()["cut"] == pytest.approx(want, abs=1)
+
+
 def test_percentiles_with_an_outlier(spark):
     values = [float(n) for n in range(1000)] + [1e12]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
