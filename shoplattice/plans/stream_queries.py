@@ -74,10 +74,8 @@ def _(t):
 
 @query("st_07_incremental_scoring", "SELECT doc_id AS id, CASE WHEN length(text) % 2 = 0 THEN 'positive' ELSE 'negative' END AS label FROM documents")
 def _(t):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.path).select(F.col("doc_id").alias("id"), "text")
     label = F.when(F.length("text") % 2 == 0, "positive").otherwise("negative")
-    return ST.score_incrementally(docs, lambda b: b.select("id", label.alias("label")))
+    return ST.score_incrementally(ST.document_stream(t.spark, t.path), lambda b: b.select("id", label.alias("label")))
 
 
 @query("st_08_late_rows", """SELECT id FROM (SELECT id, occurred_at, max(occurred_at) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
@@ -101,6 +99,4 @@ def _(t):
 def _(t):
     from shoplattice.plans.review_queries import classifier
     _, model = classifier(t)
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.path).select(F.col("doc_id").alias("id"), "text")
-    return ST.score_incrementally(docs, lambda batch: SE.score_text(model, batch).select("id", "label", F.round("score", 5).alias("score")))
+    return ST.score_incrementally(ST.document_stream(t.spark, t.path), lambda batch: SE.score_text(model, batch).select("id", "label", F.round("score", 5).alias("score")))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from shoplattice.session import work_dir
 from shoplattice.streaming import events as ST, state as KS
+from tests.conftest import DATA
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id long, user_id long, event_type string, product_id long, occurred_at timestamp"
@@ -67,3 +68,11 @@ def test_slices_of_several_files_are_one_trigger(tables):
     one = ST.run_to_table(ST.live_funnel(ST.replayed(tables.raw("events"))), "funnel").drop("batch_id").withColumn("revenue", F.round("revenue", 4)).collect()
     several = ST.run_to_table(ST.live_funnel(ST.replayed(tables.raw("events"), files=3)), "funnel").drop("batch_id").withColumn("revenue", F.round("revenue", 4)).collect()
     assert sorted(map(str, one)) == sorted(map(str, several)) and one
+
+
+def test_documents_stream_from_a_file_and_a_folder(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (DATA, str(tmp_path)):
+        scored = ST.score_incrementally(ST.document_stream(spark, folder), lambda batch: batch.select("id", F.length("text").alias("n")))
+        assert sorted(map(tuple, scored.collect())) == sorted((r.doc_id, len(r.text)) for r in docs.collect())
