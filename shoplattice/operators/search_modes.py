@@ -148,7 +148,8 @@ def search(
     aimed = typed.join(query_vectors, "query_id")
     pool = S.candidates(lexical, S.cosine_topk(aimed.select("query_id", "vector"), vectors, S.CANDIDATE_POOL))
     hybrid = pool.join(typed.select("query_id", *OPEN_FILTERS), "query_id").join(live.select("id", *FILTERED), "id").where(admits(F.col))
-    hybrid = materialise(hybrid.select("query_id", "id", "lexical", "semantic"), "search-hybrid")
+    near = F.coalesce("semantic", F.lit(0.0)).alias("semantic")  # found by its text alone: as far as a cosine of zero
+    hybrid = materialise(hybrid.select("query_id", "id", "lexical", near), "search-hybrid")
     missed = aimed.join(hybrid.select("query_id").distinct(), "query_id", "left_anti")
     nearest = filtered_topk(missed, live.join(vectors.select("id", "vector"), "id"), limit + offset + FALLBACK_SPARE)
     none = F.lit(None).cast("double")
