@@ -1,8 +1,12 @@
 """Sublinear term weights in batches against the formula, row by row."""
 import math
+import time
 
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from shoplattice.functions.scalars import tokens, word_ngrams
+from shoplattice.operators import sentiment
 from shoplattice.operators.sentiment import SublinearTfIdf
 
 
@@ -20,3 +24,17 @@ def test_weights_match_the_formula(spark):
         assert got[i].size == 5 and list(got[i].indices) == sorted(want)
         assert all(abs(got[i][k] - v) < 1e-12 for k, v in want.items())
     assert SublinearTfIdf([("a", idf[0])], "out").transform(df.limit(0)).count() == 0
+
+
+def test_texts_are_spread_over_all_cores(spark):
+    texts = spark.range(400).select("id", F.concat(F.lit("some words of "), "id").alias("text"))
+    assert sentiment._spread(texts).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_ngrams_of_a_long_text(spark):
+    """Linear in the words; with the text tokenised anew for every gram this took minutes."""
+    text = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("word"), i)), " ").alias("text"))
+    began = time.monotonic()
+    row = text.select(word_ngrams(tokens("text"), 2).alias("two"), word_ngrams(tokens("text"), 3).alias("three")).first()
+    assert time.monotonic() - began < 20
+    assert len(row.two) == 19_999 and row.two[0] == "word1 word2" and row.three[-1] == "word19998 word19999 word20000"
