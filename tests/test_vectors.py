@@ -1,5 +1,6 @@
 """The vector index against exact search, the text vectors against a plain decomposition."""
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -70,3 +71,9 @@ def test_text_vectors_span_the_leading_subspace(tables):
     got = {r.id: r.vector for r in fitted(texts).collect()}
     assert np.allclose([got[r.id] for r in rows], want)
     assert V.fit_text_embedder(texts).directions.shape[1] == min(128, len(rows) - 1)
+
+
+def test_vectors_meet_centroids_in_small_parts():
+    whole = pd.DataFrame({"id": np.arange(10_000)})
+    parts = list(V._parts(iter([whole, whole.iloc[:0]])))
+    assert max(map(len, parts)) <= V.SLICE and pd.concat(parts).equals(whole)
