@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplattice.llm import bpe, decontam, nearcopies, queries, suffix, toxicity
+from shoplattice.llm import bpe, decontam, nearcopies, queries, simhash, suffix, toxicity
 from shoplattice.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles 0.8 alike): the one with the smallest doc_id."""
-    return nearcopies.one_of_each(docs.select(COLUMNS))
+    """One document, that with the smallest doc_id, of each component of near copies: candidates are texts whose SimHash
+    fingerprints link at 3 or fewer differing bits, or that share a MinHash band; all are verified (five-word shingles 0.8 alike)."""
+    docs = docs.select(COLUMNS)
+    return nearcopies.one_of_each(docs, simhash.groups(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

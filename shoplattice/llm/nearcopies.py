@@ -98,21 +98,23 @@ def forest(fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of all sets that share a band with another, over any number of steps."""
+def candidates(prints: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``root`` of all sets that share a band, or one of ``groups``, with another, over any number of steps."""
     members = prints.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
     members = materialise(members, "near-bands")
     shared = materialise(members.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low"), "near-shared")
     ties = members.join(shared, "key").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    if groups is not None:
+        ties = ties.union(ties_of_groups(prints, groups))
     found = components(ties.distinct(), "near-ties")
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())  # a root isn't a node of its own
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def links(docs: DataFrame, prints: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Verified links (a, b) between sets whose components are those of all similar candidates."""
     named = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("did"), "mark")
     classes = prints.groupBy("fp").agg(F.min(named).alias("rep"), F.first("size").alias("size"))
-    tied = classes.join(candidates(prints), F.col("fp") == F.col("node")).select("fp", "size", "root", "rep.did", "rep.mark")
+    tied = classes.join(candidates(prints, groups), F.col("fp") == F.col("node")).select("fp", "size", "root", "rep.did", "rep.mark")
     tied = materialise(tied, "near-tied")
     sums = tied.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = tied.join(materialise(sums, "near-sums"), "root").select("did", "mark", "fp", "root", "blocks")
@@ -149,10 +151,20 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def ties_of_groups(prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """Ties (a, b) of each set that isn't empty to the smallest of its group; ``groups`` has doc_id, mark and root of the rows."""
+    row = [F.coalesce("doc_id", F.lit(-1)).alias("did"), "mark"]
+    met = prints.where("size > 0").select(*row, "fp").join(groups.select(*row, "root").distinct(), ["did", "mark"]).select("fp", "root").distinct()
+    met = materialise(met, "near-grouped")
+    least = met.groupBy("root").agg(F.min("fp").alias("low"))
+    return met.join(least, "root").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with one row left of each component of near copies: that of the smallest doc_id (nulls last, then
-    by a hash of the text); of repeated rows one stays."""
+    by a hash of the text); of repeated rows one stays. Rows of one of ``groups`` (doc_id, mark, root), such as those of
+    ``simhash.groups``, are candidates beside those of the bands."""
     prints = materialise(sketches(docs), "near")
-    roots = components(links(docs, prints), "near-links")
+    roots = components(links(docs, prints, groups), "near-links")
     rooted = prints.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return first_rows(docs, prints, materialise(rooted, "near-roots"))

@@ -163,6 +163,12 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def groups(docs: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, mark (a hash of the text) and root, the component's name, of every row."""
+    prints, rooted = _rooted(docs, most)
+    return prints.join(rooted, "fp").select("doc_id", "mark", "root")
+
+
 def one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
     """The rows of ``docs`` with one row left of each component: that of the smallest doc_id (nulls last, then by a hash of
     the text); of repeated rows one stays."""

@@ -222,6 +222,17 @@ def test_near_copies_edges(spark):
     assert nearcopies.one_of_each(clash.where("false")).count() == 0
 
 
+def test_pipeline_takes_candidates_by_fingerprint(spark, monkeypatch):
+    """Without a single MinHash band, near copies are found by their SimHash fingerprints alone."""
+    sketches = nearcopies.sketches
+    monkeypatch.setattr(nearcopies, "sketches", lambda docs: sketches(docs).withColumn("keys", F.array().cast("array<bigint>")))
+    long = " ".join(f"word{n}" for n in range(3000))
+    rows = [(1, long), (2, long + " end"), (3, "another text"), (4, None)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "CAST(length(text) AS bigint) AS n_chars")
+    assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).bit_count() <= 3
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3, 4}
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
