@@ -256,6 +256,16 @@ def test_hybrid_ranking_against_plain_loops(spark):
         assert all(abs(a + b) < 2e-6 for (_, a), (b, _) in zip(got[u], best))
 
 
+def test_hybrid_ranking_with_item_blocks_without_vectors(spark):
+    items = [(i, i / 40, 0.5, 1.0, "1|1", [1.0, 2.0] if i == 0 else None, [1.0, 0.0, 2.0] if i == 0 else None) for i in range(40)]
+    it = spark.createDataFrame(items, "id long, blend double, business double, availability double, combo string, latent array<double>, content array<double>")
+    us = spark.createDataFrame([(u, [0.5, 1.0], [1.0, 1.0, 0.0], None, None, None) for u in range(4)], recommend.USER_SCHEMA)
+    one = recommend.hybrid_topk(us, it, 5)  # a single block
+    cut = recommend.hybrid_topk(us, it, 5, block_rows=1)
+    rows = lambda df: sorted((r["user_id"], r["rank"], r["product_id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(cut) == rows(one) and len(rows(cut)) == 20
+
+
 def test_streams_run_in_several_batches(spark, tables):
     from shoplattice.streaming import events as ST
     from shoplattice.streaming import state as KS
