@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shoplattice.constants import (
     EVENT_WEIGHTS, INTERACTION_DECAY_DAYS, RECOMMENDER_REASONS, RECOMMENDER_WEIGHTS, TRENDING_TYPES, VIEW_TYPES,
 )
-from shoplattice.functions.grouped import block_topk, both_directions, grouped_percentiles, item_pairs, salted_join, top_k
+from shoplattice.functions.grouped import block_best, both_directions, grouped_percentiles, item_pairs, salted_join, top_k
 from shoplattice.functions.scalars import age_days, clip, dot, event_weight, minmax, ntz, top_labels
 from shoplattice.operators.catalog import margin
 from shoplattice.session import materialise
@@ -226,11 +226,11 @@ def item_cf_scores(history: DataFrame, neighbours: DataFrame, n_items: int | Col
 
 
 def seed_vectors(history: DataFrame, vectors: DataFrame, seeds: int = 25) -> DataFrame:
-    """Unit-length sum of the seed items' vectors per user, summed dimension by dimension."""
+    """Unit-length sum of the seed items' vectors per user, of which there are at most ``seeds``, in order of id."""
     s = history.where(F.col("recency") <= seeds).groupBy("user_id", F.col("product_id").alias("id")).agg(F.count("*").alias("times"))
-    dims = s.join(vectors.select("id", "vector"), "id").select("user_id", "times", F.posexplode("vector").alias("i", "v"))
-    summed = dims.groupBy("user_id", "i").agg(F.sum(F.col("v").cast("double") * F.col("times")).alias("v"))
-    packed = summed.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
+    few = s.join(vectors.select("id", "vector"), "id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", "times", "vector"))).alias("seeds"))
+    add = lambda a, x: F.zip_with(a, x["vector"], lambda p, v: F.coalesce(p, F.lit(0.0)) + F.coalesce(v.cast("double"), F.lit(0.0)) * x["times"])
+    packed = few.select("user_id", F.aggregate("seeds", F.array().cast("array<double>"), add).alias("v"))
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
     return packed.withColumn("_n", norm).where("_n > 0").select(
         F.col("user_id").alias("id"), F.transform("v", lambda x: x / F.col("_n")).alias("vector"))
@@ -238,10 +238,10 @@ def seed_vectors(history: DataFrame, vectors: DataFrame, seeds: int = 25) -> Dat
 
 def content_topk(history: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """Best content matches per user with the score scaled over the whole catalogue."""
-    profile = seed_vectors(history, vectors)
-    best = block_topk(profile, vectors, k)
-    worst = block_topk(profile.select("id", F.transform("vector", lambda x: -x).alias("vector")), vectors, 1).select(
-        "query_id", (-F.col("score")).alias("_lo"))
+    profile = materialise(seed_vectors(history, vectors), "profiles")
+    part = materialise(block_best(profile, vectors, k, least=True), "content-best")
+    best = top_k(part.where("id IS NOT NULL").select("query_id", "id", "score"), ["query_id"], [F.round("score", 6).desc(), F.col("id")], k)
+    worst = part.where("id IS NULL").groupBy("query_id").agg(F.min("score").alias("_lo"))
     hi = F.max("score").over(W.partitionBy("query_id"))
     return best.join(worst, "query_id").withColumn("_hi", hi).select(
         F.col("query_id").alias("user_id"), F.col("id").alias("product_id"),
@@ -476,13 +476,17 @@ def similar_items(vectors: DataFrame, neighbours: DataFrame, k: int = 10) -> Dat
 
     Items without a behavioural link are ranked by content plus a category
     bonus alone, so the best k of that ranking and the (at most 50) linked items
-    contain the answer; the linked ones are scored directly.
+    contain the answer; the linked ones are scored directly. As the bonus isn't
+    negative, that ranking's best are among the best of all and those of the
+    item's own category, which one pass gathers with the least content score.
     """
-    flipped = vectors.select("id", F.transform("vector", lambda x: -x.cast("double")).alias("vector"))
-    lows = block_topk(flipped, vectors, 1).select(F.col("query_id").alias("id"), (-F.col("score")).alias("c_lo"))
-    v = vectors.join(lows, "id").withColumn("c_hi", dot("vector", "vector")).withColumn("bonus", 0.3 * (F.col("c_hi") - F.col("c_lo")))
-    plain = block_topk(v, v, k + 10, exclude_self=True, group="category_id", bonus="bonus").select(
-        F.col("query_id").alias("id"), F.col("id").alias("other"))
+    part = materialise(block_best(vectors, vectors, k + 10, exclude_self=True, group="category_id", least=True), "similar-best")
+    lows = part.where("id IS NULL").groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("c_lo"))
+    v = vectors.join(lows, "id").withColumn("c_hi", dot("vector", "vector"))
+    raised = part.where("id IS NOT NULL").select(F.col("query_id").alias("id"), F.col("id").alias("other"), "score", "own").join(
+        v.select("id", (0.3 * (F.col("c_hi") - F.col("c_lo"))).alias("bonus")), "id")
+    best = raised.groupBy("id", "other").agg(F.max(F.col("score") + F.when(F.col("own"), F.col("bonus")).otherwise(0.0)).alias("score"))
+    plain = top_k(best, ["id"], [F.round("score", 6).desc(), F.col("other")], k + 10).select("id", "other")
     edges = neighbours.select(F.col("src").alias("id"), F.col("dst").alias("other"), "similarity")
     span = edges.groupBy("id").agg(F.min("similarity").alias("_bl"), F.max("similarity").alias("b_hi"), F.count("*").alias("_bn"))
     n_items = vectors.agg(F.count("*")).scalar()
@@ -492,6 +496,6 @@ def similar_items(vectors: DataFrame, neighbours: DataFrame, k: int = 10) -> Dat
     b_lo = F.when(F.col("_bn") < n_items, F.least(F.col("_bl"), F.lit(0.0))).otherwise(F.col("_bl"))
     behaviour = F.coalesce(minmax(F.coalesce("similarity", F.lit(0.0)), b_lo, F.col("b_hi")), F.lit(0.0))
     final = (0.5 * minmax(dot("vector", "v2"), F.col("c_lo"), F.col("c_hi")) + 0.35 * behaviour
-             + 0.15 * (F.col("category_id") == F.col("c2")).cast("double"))
+             + F.when(F.col("category_id") == F.col("c2"), 0.15).otherwise(0.0))
     return top_k(scored.select("id", F.col("other").alias("product_id"), final.alias("score")), ["id"],
                  [F.round("score", 5).desc(), F.col("product_id")], k)

@@ -80,6 +80,36 @@ def test_block_topk_equals_brute_force(spark):
         assert [i for _, i in sorted(got[q])] == list(np.argsort(-scores[q])[:3])
 
 
+def test_block_best_by_steps(monkeypatch):
+    from shoplattice.functions import grouped
+    monkeypatch.setattr(grouped, "STEP", 7)
+    rng = np.random.default_rng(9)
+    vecs = np.concatenate([rng.integers(-2, 3, (40, 3)).astype(float), [[np.nan, 0, 0]]])  # many ties, one score that isn't finite
+    ids = rng.permutation(41)
+    rows, found, got, least = grouped._best(ids, vecs, ids, vecs, 5, True)
+    scores = np.round(vecs @ vecs.T, 6)
+    for n in range(41):
+        want = sorted((-s, i) for s, i in zip(scores[n], ids) if i != ids[n] and np.isfinite(s))[:5]
+        assert list(zip(-got[rows == n], found[rows == n])) == want
+        assert least[n] == min((s for s in scores[n] if np.isfinite(s)), default=np.inf)
+
+
+def test_similar_items_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in v], i % 3 if i else None) for i, v in enumerate(vecs)], "id long, vector array<double>, category_id int")
+    edges = spark.createDataFrame([(1, 9, 0.5), (1, 40, 0.25), (2, 1, 0.75)], "src long, dst long, similarity double")
+    got = {}
+    for r in recommend.similar_items(df, edges, 4).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["product_id"])
+    dots = vecs @ vecs.T
+    near = {(1, 9): 1.0, (1, 40): 0.5, (2, 1): 1.0}
+    for n in range(60):
+        content = (dots[n] - dots[n].min()) / (dots[n, n] - dots[n].min())
+        scores = [0.5 * content[i] + 0.35 * near.get((n, i), 0.0) + 0.15 * (n > 0 and i > 0 and n % 3 == i % 3) for i in range(60)]
+        assert got[n] == [i for _, i in sorted((-round(s, 5), i) for i, s in enumerate(scores) if i != n)[:4]]
+
+
 def test_minmax_flavours(spark):
     one = spark.range(1)
     five = F.lit(5.0)
