@@ -110,6 +110,17 @@ def test_similar_items_against_plain_loops(spark):
         assert got[n] == [i for _, i in sorted((-round(s, 5), i) for i, s in enumerate(scores) if i != n)[:4]]
 
 
+def test_read_in_parts_follows_the_rows(spark):
+    from shoplattice.session import materialise, read_in_parts
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    df = materialise(spark.range(32_000).repartition(32, "id"), "parts")
+    assert df.select("id").rdd.getNumPartitions() < 16
+    with read_in_parts(df, 2_000):
+        inside = df.select("id")
+        assert inside.rdd.getNumPartitions() >= 16 and inside.count() == 32_000
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == size
+
+
 def test_minmax_flavours(spark):
     one = spark.range(1)
     five = F.lit(5.0)
