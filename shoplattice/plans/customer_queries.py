@@ -276,7 +276,7 @@ def _(t):
 
 
 def _fit(t):
-    f = _frame(t)
+    f = materialise(_frame(t), "rfm-frame")
     z = SG.standardise(f, SG.scaling(f))
     return f, z, fitted_once(t, "segments", lambda t: SG.fit_kmeans(z))
 

@@ -104,6 +104,26 @@ def test_pairwise_silhouette_is_the_textbook_one(spark):
     assert SG.pairwise_silhouette(rows.where("cluster_id = 0")) == 0.0 and -1 <= SG.pairwise_silhouette(rows, sample=20) <= 1
 
 
+def test_segment_fits_share_their_passes(spark):
+    draw = np.random.default_rng(3)
+    centres = np.array([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0], [9.0, 9.0]])
+    points = np.concatenate([draw.normal(c, 0.4, (40, 2)) for c in centres])
+    rows = spark.createDataFrame([(n, p.tolist()) for n, p in enumerate(points)], "user_id long, z array<double>")
+    jobs, found = {}, {}
+    for seeds in ((42,), tuple(range(42, 52))):
+        spark.sparkContext.setJobGroup(f"fit-{len(seeds)}", "fit")
+        found[len(seeds)] = SG.fit_kmeans(rows, ks=(3, 4), seeds=seeds)
+        jobs[len(seeds)] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{len(seeds)}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[10] < 3 * jobs[1]
+    best = found[10]
+    within = sum(((points[40 * i:40 * i + 40] - points[40 * i:40 * i + 40].mean(axis=0)) ** 2).sum() for i in range(4))
+    assert best["k"] == 4 and math.isclose(best["search"][1]["inertia"], within, rel_tol=1e-9)
+    assert np.allclose(sorted(best["centroids"].values()), sorted(points[40 * i:40 * i + 40].mean(axis=0).tolist() for i in range(4)))
+    same = spark.createDataFrame([(n, [1.0, 2.0]) for n in range(5)], "user_id long, z array<double>")
+    assert set(map(tuple, SG.fit_kmeans(same, ks=(2,), seeds=(42,))["centroids"].values())) == {(1.0, 2.0)}
+
+
 def test_panel_is_spread_over_tasks(spark, tables, monkeypatch):
     whole = FC.weekly_panel(daily_demand(tables.order_items), tables.products)
     monkeypatch.setattr(FC, "PANEL_ROWS", max(1, whole.count() // 6))
