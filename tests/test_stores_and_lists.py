@@ -134,6 +134,20 @@ def test_panel_is_spread_over_tasks(spark, tables, monkeypatch):
     assert empty.count() == 0
 
 
+def test_panel_fills_gaps_and_missing_prices_without_windows(spark, tables, monkeypatch):
+    monkeypatch.setattr(FC, "FORECAST_MIN_UNITS", 2)
+    monkeypatch.setattr(FC, "FORECAST_MIN_WEEKS", 2)
+    days = [(1, "2024-01-15", 2.0, None), (1, "2024-01-29", 1.0, 5.0), (1, "2024-02-12", None, None), (2, "2024-01-01", 4.0, 7.0), (2, "2024-02-19", 1.0, 8.0),
+            (3, "2024-01-08", 9.0, None), (3, "2024-01-15", 9.0, None), (4, "2024-01-15", 9.0, 1.0)]
+    daily = spark.createDataFrame(days, "product_id long, day string, units double, avg_price double").withColumn("day", F.to_date("day"))
+    panel = FC.weekly_panel(daily, tables.products)
+    assert "Window" not in panel._jdf.queryExecution().executedPlan().toString()
+    listed = tables.products.where("id = 3").first()["price"]
+    got = {(r.product_id, r.week_index): (r.units, r.avg_price) for r in panel.collect()}
+    want = {1: ([0, 0, 2, 0, 1, 0, 0, 0], [5.0] * 8), 2: ([4, 0, 0, 0, 0, 0, 0, 1], [7.0] * 7 + [8.0]), 3: ([0, 9, 9, 0, 0, 0, 0, 0], [listed] * 8)}
+    assert got == {(p, w): (units[w], prices[w]) for p, (units, prices) in want.items() for w in range(8)}
+
+
 def test_the_cart_comes_first_then_items_like_the_last_view(spark):
     cart = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (3, 10, 1), (3, 11, 2), (3, 12, 3)], "user_id long, product_id long, rank int")
     viewed = spark.createDataFrame([(1, 50, 1), (1, 51, 2), (2, 50, 1), (3, 50, 1), (4, 99, 1)], "user_id long, product_id long, position int")
