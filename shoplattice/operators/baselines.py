@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplattice.functions.scalars import day
+from shoplattice.session import materialise
 
 #: Relative width of a bin; a quantile is off by half of it at most.
 WIDTH = 0.01
@@ -32,12 +33,14 @@ def _bin(value: Column) -> Column:
 
 
 def sketch(observed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Moments and bins by (model, feature, day)."""
+    """Moments and bins by (model, feature, day), from one pass over the observations: both come from the written bins."""
     keys = ["model", "feature", "day"]
     v = F.col("value")
-    moments = observed.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.count_if(v == 0).alias("zeros"))
-    bins = observed.select(*keys, _bin(v).alias("b")).groupBy(*keys, "b.sign", "b.size").agg(F.count("*").alias("n"))
-    return moments, bins
+    each = observed.select(*keys, "value", _bin(v).alias("b")).groupBy(*keys, "b.sign", "b.size").agg(
+        F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.count_if(v == 0).alias("zeros"))
+    bins = materialise(each, "sketch")
+    moments = bins.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares", "zeros")])
+    return moments, bins.select(*keys, "sign", "size", "n")
 
 
 def merge(moments: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -148,6 +148,23 @@ def test_panel_fills_gaps_and_missing_prices_without_windows(spark, tables, monk
     assert got == {(p, w): (units[w], prices[w]) for p, (units, prices) in want.items() for w in range(8)}
 
 
+def test_baselines_read_their_observations_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    observed = spark.range(100).selectExpr("'m' AS model", "'f' AS feature", "cast(id % 3 as string) AS day", "cast(id % 7 - 2 as double) AS value").mapInArrow(
+        count, "model string, feature string, day string, value double")
+    moments, bins = B.sketch(observed)
+    assert sorted((r.day, r.n, r.total, r.squares, r.zeros) for r in moments.collect()) == [
+        (str(d), len(v), sum(v), sum(x * x for x in v), v.count(0)) for d in range(3) for v in [[float(i % 7 - 2) for i in range(100) if i % 3 == d]]]
+    assert bins.agg(F.sum("n")).first()[0] == 100 and set(bins.columns) == {"model", "feature", "day", "sign", "size", "n"}
+    assert seen.value == 100
+
+
 def test_the_cart_comes_first_then_items_like_the_last_view(spark):
     cart = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (3, 10, 1), (3, 11, 2), (3, 12, 3)], "user_id long, product_id long, rank int")
     viewed = spark.createDataFrame([(1, 50, 1), (1, 51, 2), (2, 50, 1), (3, 50, 1), (4, 99, 1)], "user_id long, product_id long, position int")
