@@ -26,7 +26,8 @@ def _(t):
 
 @query("st_02_stream_attribution", f"WITH {ATTRIBUTED} SELECT impression_id, converted FROM att WHERE clicked")
 def _(t):
-    actions = ST.run_to_table(KS.credited_actions(stream(t), ST.LATENESS), "credited", keyed_state=True)
+    buckets = KS.buckets_for(t.raw("events").count() // 4)  # four triggers
+    actions = ST.run_to_table(KS.credited_actions(stream(t), ST.LATENESS, buckets), "credited", keyed_state=True)
     return actions.groupBy("impression_id").agg(F.max(F.col("event_type") == "purchase").alias("converted"))
 
 

@@ -16,6 +16,8 @@ from shoplattice.constants import CLICK_WINDOW_HOURS, CONVERSION_WINDOW_HOURS
 HOUR = 3_600_000_000
 #: After so many hours without an event a cart or a user's last activity is forgotten.
 IDLE_HOURS = 90 * 24
+#: Buckets of users and products, at least, and the rows of a trigger in one of them, about.
+BUCKETS, BUCKET_ROWS = 192, 5_000
 
 
 class _Expiring(StatefulProcessor):
@@ -91,36 +93,49 @@ class LastActive(_Expiring):
 
 
 class NewestImpression(_Expiring):
-    """The impressions of a user and product that an action can still be credited to: the newest one before the watermark
-    and those after it. Emits one row for each action with an impression in its window."""
+    """The impressions that an action can still be credited to, for a bucket of users and products: of each user and product
+    the newest one before the watermark and those after it, if still in the window. Emits one row for each action with an
+    impression in its window.
+
+    A user has few rows of each product, and a call of Python for every one of those would take most of the time; a bucket
+    holds many of them, each whole."""
 
     def __init__(self) -> None:
         super().__init__(CONVERSION_WINDOW_HOURS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.shown = handle.getListState("shown", "at long, id long")
+        self.shown = handle.getListState("shown", "user_id long, product_id long, at long, id long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        shown, acts = [(item[0], item[1]) for item in self.shown.get()], []
+        shown: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        acts: dict[tuple[int, int], list[tuple[int, int, str]]] = {}
+        for user, product, at, number in self.shown.get():
+            shown.setdefault((user, product), []).append((at, number))
         for pdf in rows:
-            for at, number, kind in zip(pdf["at"], pdf["id"], pdf["event_type"]):
+            columns = [pdf[name].tolist() for name in ("user_id", "product_id", "at", "id", "event_type")]
+            for user, product, at, number, kind in zip(*columns):
                 if kind == "product_view":
-                    shown.append((int(at), int(number)))
+                    shown.setdefault((user, product), []).append((at, number))
                 else:
-                    acts.append((int(at), int(number), kind))
-        shown.sort()
-        credited, seen = [], 0
-        for at, number, kind in sorted(acts):
-            while seen < len(shown) and shown[seen][0] <= at:
-                seen += 1
-            window = (CLICK_WINDOW_HOURS if kind == "click" else CONVERSION_WINDOW_HOURS) * HOUR
-            if seen and shown[seen - 1][0] >= at - window:
-                credited.append((number, kind, shown[seen - 1][1]))
-        settled = sum(at <= timerValues.getCurrentWatermarkInMs() * 1000 for at, _ in shown)
-        if shown:
-            self.shown.put(shown[max(0, settled - 1):])
-            self._expire_after(shown[-1][0], timerValues)
+                    acts.setdefault((user, product), []).append((at, number, kind))
+        watermark, kept, credited = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+        for pair, views in shown.items():
+            views.sort()
+            seen = 0
+            for at, number, kind in sorted(acts.get(pair, ())):
+                while seen < len(views) and views[seen][0] <= at:
+                    seen += 1
+                window = (CLICK_WINDOW_HOURS if kind == "click" else CONVERSION_WINDOW_HOURS) * HOUR
+                if seen and views[seen - 1][0] >= at - window:
+                    credited.append((number, kind, views[seen - 1][1]))
+            settled = sum(at <= watermark for at, _ in views)
+            kept += [(*pair, at, number) for at, number in views[max(0, settled - 1):] if at >= watermark - CONVERSION_WINDOW_HOURS * HOUR]
+        if kept:
+            self.shown.put(kept)
+            self._expire_after(max(row[2] for row in kept), timerValues)
+        elif shown:
+            self.shown.clear()
         if credited:
             yield pd.DataFrame(credited, columns=["event_id", "event_type", "impression_id"])
 
@@ -147,8 +162,17 @@ def last_active(stream: DataFrame, lateness: str, idle_hours: int = IDLE_HOURS)
     return out.select("user_id", F.timestamp_micros("at").alias("last_active_at"))
 
 
-def credited_actions(stream: DataFrame, lateness: str) -> DataFrame:
-    """(event_id, event_type, impression_id): each click (6 h) and purchase (2 d) with the newest impression before it."""
+def credited_actions(stream: DataFrame, lateness: str, buckets: int = BUCKETS) -> DataFrame:
+    """(event_id, event_type, impression_id): each click (6 h) and purchase (2 d) with the newest impression before it.
+
+    ``buckets`` should follow the rows of a trigger, of which a bucket's share meets in one call; a checkpoint keeps its number.
+    """
     rows = _keyed(stream.where("event_type IN ('product_view', 'click', 'purchase') AND product_id IS NOT NULL AND user_id IS NOT NULL"), lateness)
-    return rows.groupBy("user_id", "product_id").transformWithStateInPandas(
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("user_id", "product_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         NewestImpression(), "event_id long, event_type string, impression_id long", "Append", "EventTime")
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for a trigger of so many rows."""
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))

@@ -54,6 +54,18 @@ def test_actions_are_credited_once_to_the_newest_impression(spark):
     assert sorted((r.event_id, r.event_type, r.impression_id) for r in got) == [(3, "click", 2), (6, "click", 2), (7, "click", 5), (9, "purchase", 5)]
 
 
+def test_credits_meet_in_buckets(spark):
+    """Many users and products are few keys of the state, each holding only what an action can still be credited to."""
+    views = [(n, n % 40, "product_view", n % 7, n / 280) for n in range(280)]
+    clicks = [(1000 + n, n % 40, "click", n % 7, 2) for n in range(280)]
+    later = [(2000, 1, "product_view", 1, 60), (2001, 1, "purchase", 1, 40)]
+    stream, ck = streamed(spark, [views, clicks, later, [(2002, 1, "click", 1, 61), (2003, 2, "product_view", 2, 100)], [(2004, 2, "product_view", 2, 101)]]), work_dir(spark, "credit-state")
+    got = ST.run_to_table(KS.credited_actions(stream, "1 hour", buckets=3), "credits", keyed_state=True, checkpoint=ck).collect()
+    assert {(r.event_id, r.impression_id) for r in got} == {(1000 + n, n) for n in range(280)} | {(2001, 1), (2002, 2000)} and len(got) == 282
+    state = spark.read.format("statestore").option("stateVarName", "shown").load(ck)
+    assert state.select("key").distinct().count() <= 3 and state.count() < 280
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_late_rows_of_a_stream(tables, files):
     moved = F.when(F.col("id") % 13 == 5, F.col("occurred_at") - F.expr("interval 5 hours")).otherwise(F.col("occurred_at"))
