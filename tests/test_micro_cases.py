@@ -312,3 +312,11 @@ def test_streams_run_in_several_batches(spark, tables):
     from shoplattice.streaming import state as KS
     table = ST.run_to_table(KS.last_active(ST.replayed(tables.raw("events")), ST.LATENESS), "active", "update", keyed_state=True)
     assert table.select("batch_id").distinct().count() >= 3
+
+
+def test_vocabulary_counts_documents_without_groups_of_ids(spark):
+    docs = spark.createDataFrame([(1, "red red chair"), (2, "red lamp"), (3, None), (4, "")], "id long, text string")
+    got = search.vocabulary(docs)
+    assert sorted(map(tuple, got.collect())) == [("chair", 1), ("lamp", 1), ("red", 2)]
+    groups = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate(keys" in line]
+    assert groups and all("keys=[term#" in line and "id#" not in line.split("functions")[0] for line in groups)
