@@ -320,3 +320,20 @@ def test_vocabulary_counts_documents_without_groups_of_ids(spark):
     assert sorted(map(tuple, got.collect())) == [("chair", 1), ("lamp", 1), ("red", 2)]
     groups = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate(keys" in line]
     assert groups and all("keys=[term#" in line and "id#" not in line.split("functions")[0] for line in groups)
+
+
+def test_panel_vectors_are_those_of_the_assembler(spark):
+    """The dense vectors hold the columns in their order, also whole numbers, and NaN for what is unknown."""
+    row = {c: (None if c.startswith("roll_std") else n * 1.5) for n, c in enumerate(forecast.FEATURES)} | {"on_promotion": 1, "month": 7}
+    schema = ", ".join(f"{c} {'int' if c in ('on_promotion', 'month') else 'double'}" for c in forecast.FEATURES)
+    got = forecast.assembled(spark.createDataFrame([tuple(row[c] for c in forecast.FEATURES)], schema)).first()["features"].toArray()
+    assert np.array_equal(got, np.array([np.nan if row[c] is None else float(row[c]) for c in forecast.FEATURES]), equal_nan=True)
+
+
+def test_a_fit_makes_one_weekly_panel(tables, monkeypatch):
+    from shoplattice.plans import planning_queries
+    made, weekly = [], forecast.weekly_panel
+    monkeypatch.setattr(forecast, "weekly_panel", lambda *args: made.append(1) or weekly(*args))
+    monkeypatch.setattr(forecast, "fit_residual", lambda train: None)
+    planning_queries._fit_forecast(tables)
+    assert made == [1]
