@@ -337,3 +337,15 @@ def test_a_fit_makes_one_weekly_panel(tables, monkeypatch):
     monkeypatch.setattr(forecast, "fit_residual", lambda train: None)
     planning_queries._fit_forecast(tables)
     assert made == [1]
+
+
+def test_bm25_deals_documents_by_the_rows(spark, monkeypatch):
+    """More rows are more parts, not larger ones; the ranking stays."""
+    docs = spark.createDataFrame([(n, f"red chair number{n % 5} " + "lamp " * (n % 4)) for n in range(60)] + [(60, None)], "id long, text string")
+    asked = spark.createDataFrame([(1, "red lamp"), (2, "number3 chair chair"), (3, "absent"), (4, None)], "query_id long, query string")
+    whole = search.bm25(asked, docs, 7).collect()
+    monkeypatch.setattr(search, "TASK_ROWS", 20)
+    parts = search.bm25(asked, docs, 7)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole)) and len(whole) == 14
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(query_id#") - plan.count("hashpartitioning(query_id#", plan.find("Initial Plan")) == 1
