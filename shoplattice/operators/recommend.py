@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from shoplattice.constants import (
     EVENT_WEIGHTS, INTERACTION_DECAY_DAYS, RECOMMENDER_REASONS, RECOMMENDER_WEIGHTS, TRENDING_TYPES, VIEW_TYPES,
 )
-from shoplattice.functions.grouped import block_best, both_directions, grouped_percentiles, item_pairs, salted_join, top_k
+from shoplattice.functions.grouped import block_best, both_directions, group_items, grouped_percentiles, item_pairs, salted_join, top_k
 from shoplattice.functions.scalars import age_days, clip, dot, event_weight, minmax, ntz, top_labels
 from shoplattice.operators.catalog import margin
 from shoplattice.session import materialise
@@ -113,7 +113,7 @@ def co_purchase_graph(order_lines: DataFrame, k: int = 12) -> DataFrame:
 
     weight = log1p(n_ab) * min(n_ab * N / (n_a * n_b), 25)
     """
-    baskets = order_lines.select("order_id", "product_id").distinct()
+    baskets = group_items(order_lines, "order_id", "product_id")
     counts = baskets.groupBy("product_id").agg(F.count("*").alias("n"))
     total = baskets.agg(F.count_distinct("order_id")).scalar()
     pairs = item_pairs(baskets, "order_id", "product_id").groupBy("a", "b").agg(F.count("*").alias("n_ab"))

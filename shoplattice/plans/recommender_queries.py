@@ -105,9 +105,8 @@ def _(t):
 SELECT a.product_id AS a, b.product_id AS b, count(*) AS n FROM (SELECT DISTINCT order_id, product_id FROM lt_lines) a
 JOIN (SELECT DISTINCT order_id, product_id FROM lt_lines) b ON a.order_id = b.order_id AND a.product_id < b.product_id GROUP BY 1, 2""")
 def _(t):
-    from shoplattice.functions.grouped import item_pairs
-    baskets = t.order_lines.select("order_id", "product_id").distinct()
-    return item_pairs(baskets, "order_id", "product_id").groupBy("a", "b").agg(F.count("*").alias("n"))
+    from shoplattice.functions.grouped import group_items, item_pairs
+    return item_pairs(group_items(t.order_lines, "order_id", "product_id"), "order_id", "product_id").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("rc_17_bought_together", f"WITH {GRAPH} SELECT src AS product_id, dst AS other_id, round(weight, 5) AS score, rank, 'co_purchase_model' AS strategy FROM gr WHERE rank <= 5")

@@ -349,3 +349,21 @@ def test_bm25_deals_documents_by_the_rows(spark, monkeypatch):
     assert sorted(map(str, parts.collect())) == sorted(map(str, whole)) and len(whole) == 14
     plan = parts._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(query_id#") - plan.count("hashpartitioning(query_id#", plan.find("Initial Plan")) == 1
+
+
+@pytest.mark.parametrize("repeats", [0, 8])
+def test_item_pairs_leave_in_parts_that_follow_from_the_pairs(spark, monkeypatch, repeats):
+    """Dealt by (a, b) where pairs seldom repeat, else combined before the shuffle; the counts are the same."""
+    from collections import Counter
+    from itertools import combinations
+    from shoplattice.functions import grouped
+    monkeypatch.setattr(grouped, "PAIR_ROWS", 20)
+    monkeypatch.setattr(grouped, "PAIR_REPEATS", repeats)
+    baskets = {g: sorted({(g * n) % 23 for n in range(1, 8)}) for g in range(1, 12)} | {12: [4], 13: list(range(30))}
+    rows = [(g, i) for g, held in baskets.items() for i in held]
+    lines = spark.createDataFrame(rows + rows[:9] + [(14, None)], "g long, i long")
+    pairs = grouped.item_pairs(grouped.group_items(lines.where("i IS NOT NULL"), "g", "i"), "g", "i", block=8)
+    want = Counter(p for held in baskets.values() for p in combinations(held, 2))
+    assert {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.count("*").alias("n")).collect()} == want
+    plan = pairs.groupBy("a", "b").count()._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-sum(want.values()) // 20)})" in plan and ("hashpartitioning(a#" in plan)
