@@ -100,7 +100,7 @@ def links(classes: DataFrame, most: int = 3) -> DataFrame:
     signed = signatures(classes)
     counts = signed.groupBy("signature").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
     shared = counts.where("n > 1 and (low = 2 or low <> high)").select("signature", "n")
-    members = signed.join(shared, "signature")
+    members = signed.hint("merge").join(shared, "signature")  # Spark would size ``signed`` by the fingerprints, a 66th of it, and broadcast it
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     dealt = members.select("signature", "side", "fp", blocks.alias("blocks"), mine.alias("mine")).select(

@@ -44,6 +44,12 @@ def test_links_against_all_pairs(spark, monkeypatch, block):
             assert (root.get(signed[a], signed[a]) == root.get(signed[b], signed[b])) == (want[a] == want[b])
 
 
+def test_signatures_are_not_broadcast(spark):
+    """66 signatures come of a fingerprint, while Spark sizes them by the fingerprints."""
+    few = spark.range(40).select(F.xxhash64("id").alias("fp"))
+    assert "BroadcastHashJoin" not in simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates(spark):
     long = " ".join(f"w{n % 977}x{n % 13}" for n in range(3000))
     rows = [(4, long), (9, long + " end"), (2, "Alpha beta gamma"), (3, "alpha BETA gamma"), (5, None), (6, ""), (7, " \n\t"), (8, "É alpha"), (8, "É alpha"), (None, "alpha beta gamma"), (11, "b")]
