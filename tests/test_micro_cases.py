@@ -307,6 +307,22 @@ def test_hybrid_ranking_with_item_blocks_without_vectors(spark):
     assert rows(cut) == rows(one) and len(rows(cut)) == 20
 
 
+def test_contenders_leave_the_hybrid_lists_as_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), float(rng.integers(0, 3)) / 4, float(rng.integers(0, 9)) / 9, float(rng.integers(0, 2)), f"{rng.integers(3)}|1",
+             [1.0, float(i)] if i % 40 == 0 else None, [1.0, 0.0, float(i)] if i % 50 == 0 else None) for i in range(600)]
+    it = spark.createDataFrame(rows, "id long, blend double, business double, availability double, combo string, latent array<double>, content array<double>")
+    us = spark.createDataFrame([(u, [0.5, -0.01 * u], [1.0, 1.0, 0.1] if u else None, {7 * u: 0.5}, {"0|1": 0.3, "1|1": 0.1 * u}, [u, 3 * u + 1]) for u in range(6)], recommend.USER_SCHEMA)
+    grid = [{"business": b, "popularity": p} for b in (0.0, 0.4) for p in (0.0, 0.3)]
+    lists = lambda: sorted((r["grid_id"], r["user_id"], r["rank"], r["product_id"], round(r["score"], 9)) for r in recommend.hybrid_topk(us, it, 4, grid=grid).collect())
+    monkeypatch.setattr(recommend, "GROUP_ROWS", 100)
+    few = recommend.contenders(it, us, 4)
+    assert few.columns == it.columns and 18 <= few.count() < 300
+    got = lists()
+    monkeypatch.setattr(recommend, "contenders", lambda items, users, k: items)
+    assert got == lists() and len(got) == 4 * 6 * 4
+
+
 def test_streams_run_in_several_batches(spark, tables):
     from shoplattice.streaming import events as ST
     from shoplattice.streaming import state as KS
