@@ -307,6 +307,16 @@ def test_hybrid_ranking_with_item_blocks_without_vectors(spark):
     assert rows(cut) == rows(one) and len(rows(cut)) == 20
 
 
+def test_percentiles_equal_sql_to_the_last_bit(spark):
+    import duckdb
+    rng = np.random.default_rng(3)
+    rows = [(g, round(900 + int(p) / 10, 1)) for g in range(40) for p in rng.integers(0, 20000, g + 2)]
+    got = {r["g"]: (r["a"], r["b"]) for r in grouped_percentiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", {"a": 0.1, "b": 0.9}).collect()}
+    for g, found in got.items():
+        values = [v for n, v in rows if n == g]
+        assert found == duckdb.connect().execute("SELECT quantile_cont(v, 0.1), quantile_cont(v, 0.9) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()[0]
+
+
 def test_contenders_leave_the_hybrid_lists_as_they_are(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(int(i), float(rng.integers(0, 3)) / 4, float(rng.integers(0, 9)) / 9, float(rng.integers(0, 2)), f"{rng.integers(3)}|1",
