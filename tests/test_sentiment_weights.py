@@ -5,7 +5,7 @@ import time
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from shoplattice.functions.scalars import tokens, word_ngrams
+from shoplattice.functions.scalars import char_wb_ngrams, tokens, word_ngrams
 from shoplattice.operators import sentiment
 from shoplattice.operators.sentiment import SublinearTfIdf
 
@@ -38,3 +38,45 @@ def test_ngrams_of_a_long_text(spark):
     row = text.select(word_ngrams(tokens("text"), 2).alias("two"), word_ngrams(tokens("text"), 3).alias("three")).first()
     assert time.monotonic() - began < 20
     assert len(row.two) == 19_999 and row.two[0] == "word1 word2" and row.three[-1] == "word19998 word19999 word20000"
+
+
+TEXTS = ["Good sound, good sound. It's 5x!", "", None, "ab a  ÉÀ Élan vital\n42", "the same the same the same", "x" * 40]
+
+
+def test_grams_counted_by_word_equal_those_of_the_columns(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string").repartition(2)
+    words = tokens("text", drop_stopwords=False)
+    want = {}
+    for kind, grams in (("word", F.concat(words, word_ngrams(words, 2))), ("char", char_wb_ngrams(words, 3, 5))):
+        for r in df.select("id", F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("tf"), F.count_distinct("id").alias("df")).collect():
+            want[kind, r.gram] = (r.tf, r.df)
+    for held in (400_000, 20):
+        monkeypatch.setattr(sentiment, "GRAMS_HELD", held)
+        assert {(r.kind, r.gram): (r.tf, r.df) for r in sentiment.gram_counts(df).collect()} == want
+
+
+def test_features_equal_those_of_the_vectorizers(spark):
+    from pyspark.ml.feature import CountVectorizer
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    words = tokens("text", drop_stopwords=False)
+    grams = df.withColumns({"word": F.concat(words, word_ngrams(words, 2)), "char": char_wb_ngrams(words, 3, 5)})
+    fitted = [CountVectorizer(inputCol=n, outputCol=f"{n}_tf", vocabSize=30).fit(grams) for n in ("word", "char")]
+    weighed = SublinearTfIdf([(f"{v.getInputCol()}_tf", [1 + i / 7 for i in range(len(v.vocabulary))]) for v in fitted], "features")
+    counted = fitted[1].transform(fitted[0].transform(grams))
+    want = {r.id: r.features for r in weighed.transform(counted).collect()}
+    got = {r.id: r.features for r in sentiment.TextTfIdf([v.vocabulary for v in fitted], weighed.idfs, "features").transform(df).collect()}
+    assert got == want
+
+
+def test_only_clauses_that_name_an_aspect_are_scored(spark, monkeypatch):
+    scored = []
+
+    def score(model, texts):
+        scored.extend(r.text for r in texts.collect() if "pos" in texts.columns)
+        return texts.withColumns({"label": F.lit("neutral"), "score": F.lit(0.5)})
+
+    monkeypatch.setattr(sentiment, "score_text", score)
+    reviews = spark.createDataFrame([(1, "Fine", "The battery is great. We went home. Nothing else")], "id long, title string, body string")
+    row = sentiment.score_reviews(None, reviews, "v").first()
+    assert len(scored) == 1 and "battery" in scored[0] and set(row.aspects) == {r.aspect for r in sentiment.aspect_mentions(
+        sentiment.clause_table(reviews.select("id", sentiment.review_text().alias("text")))).collect()}
