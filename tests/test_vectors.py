@@ -77,3 +77,12 @@ def test_vectors_meet_centroids_in_small_parts():
     whole = pd.DataFrame({"id": np.arange(10_000)})
     parts = list(V._parts(iter([whole, whole.iloc[:0]])))
     assert max(map(len, parts)) <= V.SLICE and pd.concat(parts).equals(whole)
+
+
+def test_rows_of_one_small_file_are_spread_over_all_cores(spark):
+    """Products pack into one file and would be read, and all their grams made, in one task."""
+    texts = spark.range(300).select("id", F.concat(F.lit("The fine pen of "), F.col("id") % 7).alias("text")).coalesce(1)
+    rows = V.sparse_rows(texts, {"fine": 0, "fine pen": 1, "#the": 2, "# pen ": 3, "the": 4}, np.ones(5))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = rows.first()
+    assert np.frombuffer(got["at"], "<i4").tolist() == [0, 1, 2, 3] and np.allclose(np.frombuffer(got["weight"], "<f8"), 0.5 ** 0.5)
