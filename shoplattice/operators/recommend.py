@@ -116,23 +116,29 @@ def co_purchase_graph(order_lines: DataFrame, k: int = 12) -> DataFrame:
 
     weight = log1p(n_ab) * min(n_ab * N / (n_a * n_b), 25)
     """
-    baskets = group_items(order_lines, "order_id", "product_id")
+    baskets = materialise(group_items(order_lines, "order_id", "product_id"), "baskets")  # read by counts, total and pairs
     counts = baskets.groupBy("product_id").agg(F.count("*").alias("n"))
     total = baskets.agg(F.count_distinct("order_id")).scalar()
-    pairs = item_pairs(baskets, "order_id", "product_id").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
-    joined = pairs.join(counts.select(F.col("product_id").alias("a"), F.col("n").alias("n_a")), "a").join(
-        counts.select(F.col("product_id").alias("b"), F.col("n").alias("n_b")), "b")
+    # pairs carry their items' counts: there are more pairs than items of baskets, and none is joined again
+    pairs = item_pairs(baskets.join(counts, "product_id"), "order_id", "product_id", ["n"]).groupBy("a", "b").agg(
+        F.count("*").alias("n_ab"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     lift = F.col("n_ab") * total / (F.col("n_a") * F.col("n_b"))
-    weighted = joined.select("a", "b", (F.log1p("n_ab") * F.least(lift, F.lit(25.0))).alias("weight"))
+    weighted = pairs.select("a", "b", (F.log1p("n_ab") * F.least(lift, F.lit(25.0))).alias("weight"))
     return top_k(both_directions(weighted, "weight"), ["src"], [F.round("weight", 6).desc(), F.col("dst")], k)
 
 
-def bought_together(graph: DataFrame, fallback: DataFrame, k: int = 5) -> DataFrame:
-    """Model edges where an item has any, otherwise counted co-purchases."""
-    model = graph.where((F.col("weight") > 0) & (F.col("rank") <= k)).select(
+def bought_together(graph: DataFrame, order_lines: DataFrame, k: int = 5) -> DataFrame:
+    """Model edges where an item has any, otherwise counted co-purchases over the orders that hold such an item."""
+    from shoplattice.operators.analytics import co_purchase_counts
+    model = materialise(graph.where((F.col("weight") > 0) & (F.col("rank") <= k)).select(
         F.col("src").alias("product_id"), F.col("dst").alias("other_id"), F.col("weight").alias("score"), "rank",
-        F.lit("co_purchase_model").alias("strategy"))
-    rest = fallback.join(model.select("product_id").distinct(), "product_id", "left_anti").where(F.col("rank") <= k).select(
+        F.lit("co_purchase_model").alias("strategy")), "bought-together")
+    unknown = materialise(order_lines.select("product_id").distinct().join(model.select("product_id").distinct(), "product_id", "left_anti"), "without-edges")
+    if unknown.isEmpty():
+        return model
+    orders = order_lines.join(unknown, "product_id", "left_semi").select("order_id").distinct()
+    fallback = co_purchase_counts(order_lines.join(orders, "order_id", "left_semi"), k)
+    rest = fallback.join(unknown, "product_id", "left_semi").select(
         "product_id", "other_id", "score", "rank", F.lit("co_purchase_sql").alias("strategy"))
     return model.unionByName(rest)
 

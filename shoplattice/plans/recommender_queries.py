@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 
 from shoplattice.functions.grouped import best_unseen, numbered, scalar, top_k
 from shoplattice.functions.scalars import minmax, ntz
-from shoplattice.operators import analytics as A, catalog as C, evaluate as E, personal as P, recommend as R
+from shoplattice.operators import catalog as C, evaluate as E, personal as P, recommend as R
 from shoplattice.plans.customer_queries import AFF, RECENT, W_SQL
 from shoplattice.plans.registry import query
 from shoplattice.session import materialise
@@ -111,7 +111,7 @@ def _(t):
 
 @query("rc_17_bought_together", f"WITH {GRAPH} SELECT src AS product_id, dst AS other_id, round(weight, 5) AS score, rank, 'co_purchase_model' AS strategy FROM gr WHERE rank <= 5")
 def _(t):
-    out = R.bought_together(R.co_purchase_graph(t.order_lines), A.co_purchase_counts(t.order_lines, 5), 5)
+    out = R.bought_together(R.co_purchase_graph(t.order_lines), t.order_lines, 5)
     return out.withColumn("score", F.round("score", 5))
 
 
@@ -123,7 +123,7 @@ SELECT * FROM md UNION ALL SELECT product_id, other_id, round(n / max(n) OVER (P
   'co_purchase_sql' AS strategy FROM cn WHERE product_id NOT IN (SELECT product_id FROM md) QUALIFY rank <= 5""")
 def _(t):
     fresh = t.order_items.where(F.col("placed_at") >= ntz(t.orders_as_of - timedelta(days=90)))
-    out = R.bought_together(R.co_purchase_graph(fresh), A.co_purchase_counts(t.order_lines, 5), 5)
+    out = R.bought_together(R.co_purchase_graph(fresh), t.order_lines, 5)
     return out.withColumn("score", F.round("score", 5))
 
 

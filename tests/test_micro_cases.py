@@ -307,6 +307,17 @@ def test_hybrid_ranking_with_item_blocks_without_vectors(spark):
     assert rows(cut) == rows(one) and len(rows(cut)) == 20
 
 
+def test_counts_are_made_only_for_products_without_edges(spark, monkeypatch):
+    from shoplattice.operators import analytics
+    old = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (2, 3), (3, 3), (3, 4), (4, 4), (4, 5), (5, 9)], "order_id long, product_id long")
+    fresh = old.where("order_id < 3")
+    rows = {tuple(r) for r in recommend.bought_together(recommend.co_purchase_graph(fresh), old, 5).where("strategy = 'co_purchase_sql'").collect()}
+    counted = {tuple(r) for r in analytics.co_purchase_counts(old, 5).where("product_id > 3").select("product_id", "other_id", "score", "rank", F.lit("co_purchase_sql")).collect()}
+    assert rows == counted and len(rows) == 3
+    monkeypatch.setattr(analytics, "co_purchase_counts", None)
+    assert recommend.bought_together(recommend.co_purchase_graph(fresh), fresh, 5).count() == 4
+
+
 def test_percentiles_equal_sql_to_the_last_bit(spark):
     import duckdb
     rng = np.random.default_rng(3)
